@@ -187,12 +187,20 @@ def _to_observations(t: Tables, sums: DataFrame, keys: list[str]) -> DataFrame:
     )
 
 
-def observations(t: Tables) -> DataFrame:
-    """Latest yearly figures per nation and in total."""
+def load_observations(t: Tables) -> DataFrame:
+    """Latest yearly figures per nation and in total, straight from the orders."""
     return _to_observations(t, yearly_sums(t), ["place", "year"])
 
 
+def observations(t: Tables) -> DataFrame:
+    return t.stored("observations", load_observations)
+
+
 def vintages(t: Tables) -> DataFrame:
+    return t.stored("vintages", load_vintages)
+
+
+def load_vintages(t: Tables) -> DataFrame:
     """The same figures as each of the three runs had them (run_id 1, 2, 3)."""
     runs = F.sequence(F.col("known_run"), F.lit(len(RUN_CUTS) + 1))
     sums = yearly_sums(t).withColumn("run_id", F.explode(runs))

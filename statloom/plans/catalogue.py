@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from statloom.plans import core_queries, registry, scoring_queries  # noqa: F401
+from statloom.plans import core_queries, derive_queries, registry, scoring_queries  # noqa: F401
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

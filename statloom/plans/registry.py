@@ -9,6 +9,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from statloom.session import materialize
+
+_STORED: dict[tuple[str, str, str], DataFrame] = {}
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 # Named SQL views the oracles may use: name -> select text.
@@ -24,6 +27,16 @@ class Tables:
     def __getattr__(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
 
+    def stored(self, name: str, build: Callable[[Tables], DataFrame]) -> DataFrame:
+        """A derived table that loads leave behind and read queries start from.
+
+        The first query of a session that needs it runs the load and writes it to the shared folder.
+        """
+        key = (self.spark.sparkContext.applicationId, self.folder, name)
+        if key not in _STORED:
+            _STORED[key] = materialize(build(self), name)
+        return _STORED[key]
+
 
 def presentable(df: DataFrame) -> DataFrame:
     """Types every engine prints alike: dates as text, doubles to six decimals, counts as bigint."""

@@ -142,21 +142,25 @@ def chosen(t: Tables) -> DataFrame:
     return S.select_values(values(t), CUTOFFS, B.NATIONAL)
 
 
-def scores(t: Tables) -> DataFrame:
-    """The whole score table; the yearly figures feed both the goalposts and the selection."""
-    rows = materialize(values(t), "values")
+def load_scores(t: Tables) -> DataFrame:
+    """The whole score table from the stored yearly figures."""
+    rows = values(t)
     return S.score_all(
         rows, posts(t, rows), SCORED, B.INDICES, B.ranked_places(t), CUTOFFS, B.NATIONAL, B.COMPOSITE, B.MIN_PILLARS
     )
 
 
+def scores(t: Tables) -> DataFrame:
+    return t.stored("scores", load_scores)
+
+
 def _everyone(t: Tables) -> DataFrame:
     total = t.spark.createDataFrame([(B.NATIONAL,)], "place string")
     return B.ranked_places(t).select("place").unionByName(total)
 
 
 def _indicator_scores(t: Tables) -> DataFrame:
-    rows = materialize(values(t), "values")
+    rows = values(t)
     return S.indicator_scores(S.select_values(rows, CUTOFFS, B.NATIONAL), posts(t, rows), SCORED)
 
 
@@ -309,7 +313,11 @@ def k12(t: Tables) -> DataFrame:
 
 @query("K13_score_all", "select * from scores", rounds="score coverage")
 def k13(t: Tables) -> DataFrame:
-    return scores(t)
+    """From the orders to the ranked score table, without using any stored step."""
+    rows = materialize(B.load_observations(t).filter(F.col("indicator_id").isin([s.id for s in SCORED])), "values")
+    return S.score_all(
+        rows, posts(t, rows), SCORED, B.INDICES, B.ranked_places(t), CUTOFFS, B.NATIONAL, B.COMPOSITE, B.MIN_PILLARS
+    )
 
 
 @query("K14_scoring_values", """
