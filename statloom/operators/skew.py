@@ -131,7 +131,7 @@ def neighbours(
     """
     keys, order, payload = list(keys), list(order), list(payload)
     carried = F.struct(*[F.col(c) for c in payload])
-    edge = F.struct(*[F.col(c) for c in [*order, *payload]])
+    edge = F.struct(*[F.col(c).alias(f"_order{i}") for i, c in enumerate(order)], *[F.col(c) for c in payload])
     rows = df.withColumn("_bucket", bucket)
     inside = Window.partitionBy(*keys, "_bucket").orderBy(*order)
     rows = rows.withColumn("previous", F.lag(carried).over(inside)).withColumn(
