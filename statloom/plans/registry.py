@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 
 from statloom.session import materialize
 
+_SCHEMAS: dict[tuple[str, str], T.StructType] = {}
 _STORED: dict[tuple[str, str, str], DataFrame] = {}
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -25,7 +26,12 @@ class Tables:
         self.spark, self.folder = spark, folder.rstrip("/")
 
     def __getattr__(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+        """The schema is read from the footers once per session; later reads only list files."""
+        path = f"{self.folder}/{name}.parquet"
+        key = (self.spark.sparkContext.applicationId, path)
+        if key not in _SCHEMAS:
+            _SCHEMAS[key] = self.spark.read.parquet(path).schema
+        return self.spark.read.schema(_SCHEMAS[key]).parquet(path)
 
     def stored(self, name: str, build: Callable[[Tables], DataFrame]) -> DataFrame:
         """A derived table that loads leave behind and read queries start from.
