@@ -446,8 +446,9 @@ def score_all(
     cards = materialize(scorecards(ind, everyone, [y for y, _ in cutoffs]), "cards")
     pillars = F.col("pillars")
     cards = cards.withColumn("pillars", pillar_entries(specs))
+    main = F.array(composite_entry(pillars, composite, min_pillars))
     upper = (
-        cards.withColumn("upper", F.concat(F.array(composite_entry(pillars, composite, min_pillars)), index_entries(indices)))
+        cards.withColumn("upper", F.concat(main, index_entries(indices)) if indices else main)
         .withColumn(
             "_e",
             F.explode(
