@@ -19,7 +19,7 @@ VALUE = r"(?:-?\d[\d,]*(?:\.\d+)?|-)"
 ROW = r"^(\d{1,2})\s+(.*)$"
 TOTAL = r"(?i)^total\s*\(?all[- ]india\)?\s+(.*)$"
 NATIONAL = "All India"
-ITEM_VALUE = r"(?i)^(?:\(?\d+(?:\.\d+)?\)?|\*|na)$"
+ITEM_VALUE = r"(?:\(?\d+(?:\.\d+)?\)?|\*|na)"
 PERCENT = r"^(\d{1,3})%$"
 
 
@@ -58,12 +58,27 @@ def locate_tables(pages: DataFrame, headings: Mapping[str, str], last_only: Sequ
 
 def trailing_values(line: Column, value: str = VALUE) -> tuple[Column, Column]:
     """(name, values) of a line: the longest run of numbers at its end, and the text before it."""
-    pattern = rf"^(.*?)\s*((?:(?<!\S){value}(?:\s+|$))*)$"
-    name = F.trim(F.regexp_extract(line, pattern, 1))
-    run = F.trim(F.regexp_extract(line, pattern, 2))
+    text = F.trim(line)
+    run = F.regexp_extract(text, rf"(?:^|\s)({value}(?:\s+{value})*)$", 1)
+    name = F.trim(F.substr(text, F.lit(1), F.length(text) - F.length(run)))
     return name, F.filter(F.split(run, r"\s+"), lambda v: v != "")
 
 
+def _with_neighbours(pages: DataFrame) -> DataFrame:
+    """One row per line with the lines before and after it ('' at the ends of the page)."""
+    kept = [c for c in pages.columns if c != "text"]
+    lines, size = F.col("_lines"), F.size("_lines")
+    blank = F.array(F.lit(""))
+    zipped = F.arrays_zip(
+        lines.alias("text"),
+        F.concat(blank, F.slice(lines, F.lit(1), size - 1)).alias("before"),
+        F.concat(F.slice(lines, 2, F.greatest(size, F.lit(1))), blank).alias("after"),
+    )
+    split = pages.select(*kept, lines_of(F.col("text")).alias("_lines"))
+    rows = split.select(*kept, F.posexplode(zipped).alias("line_no", "_l"))
+    return rows.select(*kept, "line_no", "_l.text", "_l.before", "_l.after")
+
+
 def split_trailing_values(lines: DataFrame, column: str = "text") -> DataFrame:
     name, values = trailing_values(F.col(column))
     return lines.withColumn("name", name).withColumn("values", values)
@@ -74,37 +89,25 @@ def rejoin_wrapped(pages: DataFrame, min_values: int = 3) -> DataFrame:
 
     A name wrapped around its numbers is put together from the lines before and after.
     """
-    def parse(line: Column, i: Column) -> Column:
-        lines = F.col("_lines")
-        total = line.rlike(TOTAL)
-        rest = F.when(total, F.regexp_extract(line, TOTAL, 1)).otherwise(F.regexp_extract(line, ROW, 2))
-        name, values = trailing_values(rest)
-        before = F.when(i > 0, F.element_at(lines, F.greatest(i, F.lit(1)))).otherwise("")
-        after = F.when(i + 1 < F.size(lines), F.element_at(lines, F.least(i + 2, F.size(lines)))).otherwise("")
-        wrapped = F.trim(F.concat(before, F.lit(" "), after))
-        return F.struct(
-            i.alias("line_no"),
-            F.when(total, NATIONAL).when(name == "", wrapped).otherwise(name).alias("name"),
-            values.alias("values"),
-            F.when(total, (name == "") & (F.size(values) > 0)).otherwise(line.rlike(ROW) & (F.size(values) >= min_values)).alias("ok"),
-        )
-
     kept = [c for c in pages.columns if c != "text"]
-    rows = pages.withColumn("_lines", lines_of(F.col("text"))).withColumn("_rows", F.filter(F.transform("_lines", parse), lambda r: r["ok"]))
-    return rows.select(*kept, F.explode("_rows").alias("_r")).select(*kept, "_r.line_no", "_r.name", "_r.values")
+    line = F.col("text")
+    rows = _with_neighbours(pages).withColumn("_total", line.rlike(TOTAL)).filter(F.col("_total") | line.rlike(ROW))
+    rest = F.when(F.col("_total"), F.regexp_extract(line, TOTAL, 1)).otherwise(F.regexp_extract(line, ROW, 2))
+    name, values = trailing_values(F.col("_rest"))
+    rows = rows.withColumn("_rest", rest).withColumn("_name", name).withColumn("values", values)
+    good = F.when(F.col("_total"), (F.col("_name") == "") & (F.size("values") > 0)).otherwise(F.size("values") >= min_values)
+    wrapped = F.trim(F.concat("before", F.lit(" "), "after"))
+    name = F.when(F.col("_total"), NATIONAL).when(F.col("_name") == "", wrapped).otherwise(F.col("_name"))
+    return rows.filter(good).select(*kept, "line_no", name.alias("name"), "values")
 
 
 def carry_pending(pages: DataFrame, row_pattern: str) -> DataFrame:
     """Rows matching a pattern, as text, with the digit-free line just before put in front."""
-    def parse(line: Column, i: Column) -> Column:
-        before = F.when(i > 0, F.element_at(F.col("_lines"), F.greatest(i, F.lit(1)))).otherwise("")
-        pending = (before != "") & ~before.rlike(r"\d") & ~before.rlike(row_pattern)
-        whole = F.when(pending, F.concat(before, F.lit(" "), line)).otherwise(line)
-        return F.struct(i.alias("line_no"), whole.alias("row"), line.rlike(row_pattern).alias("ok"))
-
     kept = [c for c in pages.columns if c != "text"]
-    rows = pages.withColumn("_lines", lines_of(F.col("text"))).withColumn("_rows", F.filter(F.transform("_lines", parse), lambda r: r["ok"]))
-    return rows.select(*kept, F.explode("_rows").alias("_r")).select(*kept, "_r.line_no", F.col("_r.row").alias("text"))
+    rows = _with_neighbours(pages).filter(F.col("text").rlike(row_pattern))
+    pending = (F.col("before") != "") & ~F.col("before").rlike(r"\d")
+    whole = F.when(pending, F.concat("before", F.lit(" "), "text")).otherwise(F.col("text"))
+    return rows.select(*kept, "line_no", whole.alias("text"))
 
 
 def extract_rows(lines: DataFrame, pattern: str, groups: Mapping[str, int], numbers: Sequence[str] = ()) -> DataFrame:
@@ -180,35 +183,18 @@ def segment_items(docs: DataFrame) -> DataFrame:
     kept = [c for c in docs.columns if c != "text"]
     parts = F.filter(F.split(F.col("text"), r"(?m)(?=^\d{1,3}\.\s)"), lambda p: p.rlike(r"^\d{1,3}\.\s"))
     items = docs.select(*kept, F.posexplode(parts).alias("item", "_part"))
-    words = F.filter(F.split(F.trim(F.col("_part")), r"\s+"), lambda w: w != "")
-    tokens = F.slice(words, 2, F.greatest(F.size(words), F.lit(1)))
-    # Mark every value word with the number of label words before it: equal marks are one run.
-    start = F.struct(F.lit(0).alias("labels"), F.array().cast("array<struct<run:int,value:string>>").alias("values"))
-
-    def step(acc: Column, w: Column) -> Column:
-        is_value = w.rlike(ITEM_VALUE)
-        entry = F.struct(acc["labels"].alias("run"), w.alias("value"))
-        return F.struct(
-            F.when(is_value, acc["labels"]).otherwise(acc["labels"] + 1).alias("labels"),
-            F.when(is_value, F.concat(acc["values"], F.array(entry))).otherwise(acc["values"]).alias("values"),
-        )
-
-    marked = items.withColumn("_tokens", tokens).withColumn("_v", F.aggregate("_tokens", start, step, lambda acc: acc["values"]))
-    runs = F.array_distinct(F.transform("_v", lambda v: v["run"]))
-    long_runs = F.filter(runs, lambda r: F.size(F.filter(F.col("_v"), lambda v: v["run"] == r)) >= 2)
-    marked = marked.withColumn("_run", F.array_max(long_runs)).filter("_run is not null")
-    values = F.transform(F.filter(F.col("_v"), lambda v: v["run"] == F.col("_run")), lambda v: v["value"])
-    # The run's words are the ones after its `run` label words and the values of earlier runs.
-    earlier = F.size(F.filter(F.col("_v"), lambda v: v["run"] < F.col("_run")))
-    first = F.col("_run") + earlier
-    size = F.size("_values")
-    rest = F.concat(
-        F.slice("_tokens", F.lit(1), first),
-        F.slice("_tokens", first + size + 1, F.greatest(F.size("_tokens"), F.lit(1))),
-    )
-    label = F.regexp_replace(F.array_join(rest, " "), r"(?s)(\(%\)).*$", "$1")
-    out = marked.withColumn("_values", values)
-    return out.select(*kept, "item", strip_footnotes(label).alias("label"), F.col("_values").alias("values"))
+    # Words apart by one blank, a blank at both ends, the item's number off.
+    body = F.concat(F.lit(" "), F.trim(F.regexp_replace(F.regexp_replace(F.trim("_part"), r"\s+", " "), r"^\S+ ?", "")), F.lit(" "))
+    items = items.withColumn("_body", body)
+    runs = F.regexp_extract_all("_body", F.lit(rf"(?i)(?<= )({ITEM_VALUE}(?: {ITEM_VALUE})+)(?= )"), 1)
+    items = items.withColumn("_run", F.get(runs, F.size(runs) - 1)).filter("_run is not null")
+    # The last place of the run, found from the end.
+    spaced = F.concat(F.lit(" "), "_run", F.lit(" "))
+    after = F.instr(F.reverse("_body"), F.reverse(spaced))
+    cut = F.length("_body") - after - F.length(spaced) + 2
+    rest = F.concat(F.substr("_body", F.lit(1), cut), F.substr(F.col("_body"), cut + F.length(spaced), F.length("_body")))
+    label = F.regexp_replace(F.trim(rest), r"(\(%\)).*$", "$1")
+    return items.withColumn("_cut", cut).select(*kept, "item", strip_footnotes(label).alias("label"), F.split("_run", " ").alias("values"))
 
 
 def pair_chart(docs: DataFrame, heading: str = "Comparison of") -> DataFrame:

@@ -61,47 +61,44 @@ def _grams(text: Column, n: int = MIN_INSIDE) -> Column:
     return F.when(last >= 1, F.array_distinct(pieces)).otherwise(F.array().cast("array<string>"))
 
 
-def _explode_key(df: DataFrame, *keys: tuple[str, Column]) -> DataFrame:
-    """(own columns, kind, key): several kinds of blocking keys of one row, exploded once."""
-    def tagged(kind: str, values: Column) -> Column:
-        return F.transform(values, lambda k: F.struct(F.lit(kind).alias("kind"), k.alias("key")))
+def _rarest(asked: DataFrame, sizes: DataFrame) -> DataFrame:
+    """Per query the key that the fewest rows carry. `asked`: query, key; `sizes`: key, size.
 
-    made = [tagged(kind, values) for kind, values in keys]
-    return df.select("*", F.explode(F.array_distinct(F.concat(*made))).alias("_k")).select("*", "_k.kind", "_k.key").drop("_k")
+    All keys of a query must match, so one decides; a key nobody carries leaves no candidate.
+    """
+    sized = asked.join(sizes, "key", "left").select("query", F.struct(F.coalesce("size", F.lit(0)).alias("size"), "key").alias("_k"))
+    return sized.groupBy("query").agg(F.min("_k").alias("_k")).select("query", "_k.key")
 
 
 def candidates(entries: DataFrame, queries: DataFrame) -> DataFrame:
     """(entry_id, query) pairs that may score.
 
-    Entries are blocked through the dictionary of their distinct words: the prefixes of a word meet
-    the first token of a query, its one-letter deletions meet the deletions of the whole query, and
-    the four-letter grams of names meet the first gram of the query. A common word is expanded once,
-    not once per entry.
+    Entries are blocked through the dictionary of their distinct words: prefixes of words meet the
+    rarest token of a query, one-letter deletions of words meet those of the whole query, and
+    four-letter grams of names meet the rarest gram of the query. A word or gram that very many
+    entries share never decides while the query has a rarer one.
     """
-    token = queries.withColumn("_tokens", _words(F.col("query")))
-    none = F.array().cast("array<string>")
-    asked = _explode_key(
-        token,
-        ("prefix", F.array(F.col("_tokens")[0])),
-        ("typo", F.when(F.length("query") >= MIN_TYPO, _deletions(F.col("query"))).otherwise(none)),
-        ("gram", F.when(F.length("query") >= MIN_INSIDE, F.array(F.substring("query", 1, MIN_INSIDE))).otherwise(none)),
-    ).select("query", "kind", "key")
+    tokens = queries.select("query", F.explode(F.array_distinct(_words(F.col("query")))).alias("key"))
     terms = F.concat("names", "aliases")
     words = F.array_distinct(F.concat(F.flatten(F.transform(terms, _words)), _words(F.col("text"))))
-    posting = entries.select("entry_id", F.explode(words).alias("word")).withColumn("_src", F.lit("word"))
-    dictionary = _explode_key(
-        posting.select("word").distinct(),
-        ("prefix", F.transform(F.sequence(F.lit(1), F.length("word")), lambda n: F.substr(F.col("word"), F.lit(1), n))),
-        ("typo", F.when(F.length("word") >= MIN_TYPO - 1, _deletions(F.col("word"))).otherwise(none)),
-    )
-    by_word = dictionary.join(asked.filter("kind <> 'gram'"), ["kind", "key"]).select("word", "query").distinct()
+    posting = entries.select("entry_id", F.explode(words).alias("word"))
+    dictionary = posting.groupBy("word").agg(F.count(F.lit(1)).alias("n"))
+    starts = F.transform(F.sequence(F.lit(1), F.length("word")), lambda i: F.substr(F.col("word"), F.lit(1), i))
+    prefixes = dictionary.select("word", "n", F.explode(starts).alias("key")).join(tokens.select("key").distinct(), "key")
+    by_prefix = _rarest(tokens, prefixes.groupBy("key").agg(F.sum("n").alias("size"))).join(prefixes.select("key", "word"), "key")
+    long_words = dictionary.filter(F.length("word") >= MIN_TYPO - 1).select("word", F.explode(_deletions(F.col("word"))).alias("key"))
+    long_queries = queries.filter(F.length("query") >= MIN_TYPO).select("query", F.explode(_deletions(F.col("query"))).alias("key"))
+    by_typo = long_words.join(long_queries, "key").filter(F.levenshtein("word", "query", 1) >= 0)
+    by_word = by_prefix.select("word", "query").unionByName(by_typo.select("word", "query")).distinct()
+    posted = posting.join(by_word, "word").select("entry_id", "query")
+
     names = entries.select("entry_id", F.explode("names").alias("name"))
-    grams = names.select("name").distinct().select("name", F.explode(_grams(F.col("name"))).alias("key"))
-    by_name = grams.join(asked.filter("kind = 'gram'"), "key").filter(F.col("name").contains(F.col("query"))).select("name", "query").distinct()
-    pairs = posting.join(by_word, "word").select("entry_id", "query").unionByName(
-        names.join(by_name, "name").select("entry_id", "query")
-    )
-    return pairs.distinct()
+    distinct = names.groupBy("name").agg(F.count(F.lit(1)).alias("n"))
+    asked_grams = queries.select("query", F.explode(_grams(F.col("query"))).alias("key"))
+    grams = distinct.select("name", "n", F.explode(_grams(F.col("name"))).alias("key")).join(asked_grams.select("key").distinct(), "key")
+    by_gram = _rarest(asked_grams, grams.groupBy("key").agg(F.sum("n").alias("size"))).join(grams.select("key", "name"), "key")
+    inside = by_gram.filter(F.col("name").contains(F.col("query"))).select("name", "query")
+    return posted.unionByName(names.join(inside, "name").select("entry_id", "query")).distinct()
 
 
 def score_terms(entries: DataFrame, queries: DataFrame) -> DataFrame:

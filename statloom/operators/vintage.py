@@ -100,14 +100,15 @@ def backfill_releases(obs: DataFrame, runs: DataFrame, events: DataFrame) -> Dat
 def fingerprint(df: DataFrame, columns: list[str]) -> DataFrame:
     """One row (rows, digest) that does not depend on the order of the rows.
 
-    Each row is hashed; sums of the hash halves make the digest, so nothing is gathered or sorted
-    and equal rows do not cancel out.
+    Each row is hashed under four salts and the hashes are summed exactly, so nothing is gathered
+    or sorted and equal rows do not cancel out.
     """
-    digest = F.sha2(F.to_json(F.struct(*columns), {"ignoreNullFields": "false"}), 256)
-    parts = [F.conv(F.substring(digest, 1 + 8 * i, 8), 16, 10).cast("decimal(20,0)") for i in range(8)]
-    hashed = df.select(*[p.alias(f"p{i}") for i, p in enumerate(parts)])
-    sums = hashed.agg(F.count(F.lit(1)).alias("rows"), *[F.sum(f"p{i}").alias(f"p{i}") for i in range(8)])
-    text = F.concat_ws("-", F.col("rows").cast("string"), *[F.col(f"p{i}").cast("string") for i in range(8)])
+    row = F.to_json(F.struct(*columns), {"ignoreNullFields": "false"})
+    hashed = df.select(row.alias("_row")).select(
+        *[F.xxhash64(F.lit(i), "_row").cast("decimal(20,0)").alias(f"p{i}") for i in range(4)]
+    )
+    sums = hashed.agg(F.count(F.lit(1)).alias("rows"), *[F.sum(f"p{i}").alias(f"p{i}") for i in range(4)])
+    text = F.concat_ws("-", F.col("rows").cast("string"), *[F.col(f"p{i}").cast("string") for i in range(4)])
     return sums.select("rows", F.sha2(text, 256).alias("digest"))
 
 
