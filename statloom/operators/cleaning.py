@@ -50,11 +50,7 @@ def guarded_relabel(df: DataFrame, column: str, mapping: Mapping[str, str]) -> t
         F.count_if(~F.coalesce(F.col("label").isin(known), F.lit(False))).alias("_other"),
     ).withColumn("ok", (F.col("_known") == len(known)) & (F.col("_other") == 0))
     literal = F.create_map(*[F.lit(x) for pair in mapping.items() for x in pair])
-    flag = guard.select("ok").withColumn("_join", F.lit(1))
-    read = (
-        df.withColumn("_join", F.lit(1)).join(F.broadcast(flag), "_join").filter("ok")
-        .withColumn(column, literal[F.col(column)]).drop("_join", "ok")
-    )
+    read = df.filter(guard.select("ok").scalar()).withColumn(column, literal[F.col(column)])
     problem = guard.filter("not ok").select(F.lit(f"unexpected labels in {column}; not read").alias("problem"))
     return read, problem
 

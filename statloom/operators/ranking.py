@@ -259,8 +259,9 @@ def indicator_table(latest: DataFrame, places: DataFrame, indicator: str) -> Dat
     """Every place with its newest figure, if any, and how many of all places have one."""
     rows = latest.filter(F.col("indicator_id") == indicator).select("place", "value", "period_label")
     joined = places.select("place").join(rows, "place", "left")
-    counts = joined.agg(F.count("value").alias("with_data"), F.count(F.lit(1)).alias("places")).withColumn("_one", F.lit(1))
-    return joined.withColumn("_one", F.lit(1)).join(F.broadcast(counts), "_one").drop("_one")
+    return joined.select(
+        "*", joined.agg(F.count("value")).scalar().alias("with_data"), joined.agg(F.count(F.lit(1))).scalar().alias("places")
+    )
 
 
 def series(

@@ -374,11 +374,10 @@ def holders_during(terms: DataFrame, periods: DataFrame) -> DataFrame:
     """
     if "needs_review" in terms.columns:
         terms = terms.filter("not needs_review")
-    # An open term reaches to the last period asked about: one row, known to be bounded.
-    horizon = periods.agg(F.max("period_end").alias("_horizon")).withColumn("_one", F.lit(1))
-    reach = terms.withColumn("_one", F.lit(1)).join(F.broadcast(horizon), "_one").drop("_one")
-    last = F.least(F.coalesce(F.col("end"), F.col("_horizon")), F.col("_horizon"))
-    alive = reach.filter(F.col("start") <= F.col("_horizon"))
+    # An open term reaches to the last period asked about.
+    horizon = periods.agg(F.max("period_end")).scalar()
+    alive = terms.filter(F.col("start") <= horizon)
+    last = F.least(F.coalesce(F.col("end"), horizon), horizon)
     years = F.sequence(F.year("start"), F.greatest(F.year(last), F.year("start")))
     cut = alive.withColumn("_year", F.explode(years)).alias("t")
     p = periods.withColumn("_year", F.explode(F.sequence(F.year("period_start"), F.year("period_end")))).alias("p")

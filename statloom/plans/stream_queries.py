@@ -54,10 +54,8 @@ def _landed_twice(t: Tables) -> DataFrame:
     """All events, and the last seven days once more, as a daily job that re-reads a week lands them."""
     path = fresh_path(t.spark, "landed")
     t.events.write.parquet(f"{path}/run=1")
-    last = t.events.agg(F.max("ts").alias("_last")).withColumn("_one", F.lit(1))
-    again = t.events.withColumn("_one", F.lit(1)).join(F.broadcast(last), "_one")
-    week = again.filter(F.col("ts") >= F.col("_last") - F.expr("interval 7 days"))
-    week.select(*t.events.columns).write.parquet(f"{path}/run=2")
+    last = t.events.agg(F.max("ts")).scalar()
+    t.events.filter(F.col("ts") >= last - F.expr("interval 7 days")).write.parquet(f"{path}/run=2")
     stream = t.spark.readStream.schema(t.events.schema).parquet(f"{path}/run=*")
     return stream.withColumn("observed_at", F.col("ts").cast("timestamp"))
 

@@ -552,7 +552,7 @@ def open_alerts(t: Tables) -> DataFrame:
     rows = t.events.filter("user_id < 40").select(
         F.col("user_id").alias("number"), F.concat(F.lit("Data source failing: "), F.col("user_id").cast("string")).alias("title")
     ).distinct()
-    other = t.events.agg(F.lit(-1).cast("bigint").alias("number"), F.lit("Something else").alias("title"))
+    other = t.events.agg(F.lit(-1).cast("bigint").alias("number"), F.concat(F.lit("Something else "), F.max("user_id").cast("string")).alias("title"))
     return rows.unionByName(other)
 
 
