@@ -543,18 +543,18 @@ def s3(t: Tables) -> DataFrame:
 
 @query("S4_read_paged", "select 'nation-' || c_nationkey as source, count(*) as records, sum(c_custkey)::bigint as total from customer group by 1")
 def s4(t: Tables) -> DataFrame:
-    """Customers landed as JSON pages of their nation (a page per segment), and read back."""
+    """Customers landed as JSON pages of their nation (a page per 5,000 keys), and read back."""
     from pyspark.sql import Window
 
     from statloom.session import fresh_path
 
-    pages = t.customer.groupBy("c_nationkey", "c_mktsegment").agg(
+    pages = t.customer.groupBy("c_nationkey", F.floor(F.col("c_custkey") / 5000).alias("block")).agg(
         F.collect_list(F.create_map(F.lit("key"), F.col("c_custkey").cast("string"))).alias("data")
     )
-    source = Window.partitionBy("c_nationkey")
+    source = Window.partitionBy("c_nationkey")  # one row per page
     landed = pages.select(
         F.concat(F.lit("nation-"), F.col("c_nationkey").cast("string")).alias("source"),
-        F.row_number().over(source.orderBy("c_mktsegment")).alias("page"), F.count(F.lit(1)).over(source).alias("totalPages"), "data",
+        F.row_number().over(source.orderBy("block")).alias("page"), F.count(F.lit(1)).over(source).alias("totalPages"), "data",
     )
     path = fresh_path(t.spark, "pages")
     landed.write.json(path)

@@ -310,7 +310,7 @@ def x14(t: Tables) -> DataFrame:
   from orders join customer on o_custkey = c_custkey
 """)
 def x15(t: Tables) -> DataFrame:
-    """A wiki page per customer with its orders as table rows."""
+    """Wiki pages per customer with its orders as table rows, at most a thousand to a page."""
     key = F.concat(F.lit("Order "), _text(F.col("o_orderkey")))
     link = F.when(F.col("o_orderstatus") == "F", F.concat(key, F.lit("|O"), _text(F.col("o_orderkey")), F.lit(", Town"))).otherwise(key)
     n = F.col("c_nationkey")
@@ -322,7 +322,7 @@ def x15(t: Tables) -> DataFrame:
         F.lit(" || 7 || "), coord,
     )
     docs = (
-        t.orders.join(t.customer, F.col("o_custkey") == F.col("c_custkey")).groupBy(F.col("o_custkey").alias("doc_id"))
+        t.orders.join(t.customer, F.col("o_custkey") == F.col("c_custkey")).groupBy(F.col("o_custkey").alias("doc_id"), F.floor(F.col("o_orderkey") / 1000))
         .agg(F.array_join(F.collect_list(row), "").alias("_rows"))
         .select("doc_id", F.concat(F.lit("Intro\n{| class=wikitable"), "_rows", F.lit("\n|-\n| [[Broken]] || no number ||\n|}\nOutro")).alias("text"))
     )
