@@ -10,6 +10,7 @@ sys.path.insert(0, str(Path(__file__).resolve().parents[1] / "tools"))
 
 import check  # noqa: E402
 from __spark_entry__ import entry, oracle_sql, queries  # noqa: E402
+from statloom.plans import catalogue  # noqa: E402
 
 FOLDER = "/root/testdata/sf0.001"
 SAMPLE = ["K6_select_values", "J1_resolve", "V1_validate", "G4_annual_windows", "N13_value_rank_customers", "X4_X24_rejoin_wrapped", "H5_health"]
@@ -17,7 +18,7 @@ SAMPLE = ["K6_select_values", "J1_resolve", "V1_validate", "G4_annual_windows",
 
 def test_every_sql_belongs_to_a_query():
     assert set(oracle_sql()) <= set(queries())
-    assert set(queries()) - set(oracle_sql()) == {"G14_fingerprint", "B15_terms_fingerprint"}
+    assert set(catalogue.queries()) - set(catalogue.oracle_sql()) == {"G14_fingerprint", "B15_terms_fingerprint"}
 
 
 @pytest.fixture(scope="module")
