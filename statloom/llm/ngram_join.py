@@ -21,7 +21,7 @@ ORDERS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)
 #: Frequent tokens that are told apart by their count; it bounds a broadcast and changes no result.
 RANKED_TOKENS = 1 << 18
 #: Nodes of a token up to which its pairs are listed; those of larger ones all join one family.
-SMALL_BLOCK = 32
+SMALL_BLOCK = 128
 #: Tokens, and nodes, that make one side of a tile.
 TILE_TOKENS, TILE_NODES = 1 << 20, 2048
 #: Tokens after which a task reports which of them it saw often.
@@ -58,6 +58,12 @@ def component_table(documents: DataFrame, width: int = 3, percent: int = 90) ->
     return found.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
+def _slices(batches: Iterable[pa.RecordBatch], rows: int = 1000) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 def _node(tokens: np.ndarray) -> bytes:
     return xxhash.xxh3_128_digest(tokens.tobytes())
 
@@ -67,11 +73,15 @@ def _summaries(batches: Iterable[pa.RecordBatch], width: int) -> Iterator[pa.Rec
     hashes, held, seen, documents = WordHashes(), [], 0, 0
 
     def often() -> pa.RecordBatch:
-        tokens, counts = np.unique(np.concatenate(held), return_counts=True)
-        keep = counts >= max(3, documents // 1000)
+        tokens = np.concatenate(held)
+        held.clear()
+        tokens.sort()
+        first = np.flatnonzero(np.concatenate(([True], tokens[1:] != tokens[:-1])))
+        counts, tokens = np.diff(first, append=len(tokens)), tokens[first]
+        keep = counts >= max(3, documents // 2000)
         return _batch([(None, None, None, None, tokens[keep].tobytes(), counts[keep].astype(np.int64).tobytes())])
 
-    for batch in batches:
+    for batch in _slices(batches):
         rows = []
         sets = shingle_sets((x.as_py() for x in batch["text"]), width, hashes)
         for doc_id, texthash, tokens in zip(batch["doc_id"].to_pylist(), batch["texthash"].to_pylist(), sets, strict=True):
@@ -80,7 +90,7 @@ def _summaries(batches: Iterable[pa.RecordBatch], width: int) -> Iterator[pa.Rec
             seen, documents = seen + len(tokens), documents + 1
             if seen >= COUNTED_TOKENS:
                 yield often()
-                held, seen, documents = [], 0, 0
+                seen = documents = 0
         if rows:
             yield _batch(rows)
     if seen:
@@ -121,11 +131,15 @@ def prefix(tokens: np.ndarray, seed: int, percent: int, ranked: tuple[np.ndarray
 
 
 def _families(data: DataFrame, ranked: tuple[Broadcast, Broadcast], width: int, percent: int) -> DataFrame:
-    """(node, family) of every node that has a candidate under the first order; candidates share their family."""
+    """(node, family) of every node that has a candidate under the first order; candidates share their family.
+
+    Pairs of tokens that few nodes hold are counted: sharing one token of the prefixes is not enough
+    where the sizes ask for more. Nodes of a token that many hold all join the family of the smallest.
+    """
 
     def post(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, known = WordHashes(), (ranked[0].value, ranked[1].value)
-        for batch in batches:
+        for batch in _slices(batches):
             sets = [s for s in shingle_sets((x.as_py() for x in batch["text"]), width, hashes) if len(s)]
             if not sets:
                 continue
@@ -145,11 +159,13 @@ def _families(data: DataFrame, ranked: tuple[Broadcast, Broadcast], width: int,
 
     small = placed.where(F.col("held") <= SMALL_BLOCK).select("token", "node", "n", "place")
     a, b = (small.select("token", *(F.col(c).alias(f"{c}_{side}") for c in ("node", "n", "place"))) for side in "ab")
-    fits = F.expr(
-        f"node_a < node_b and 100 * least(n_a, n_b) >= {percent} * greatest(n_a, n_b)"
-        f" and {100 + percent} * least(n_a - place_a, n_b - place_b) >= {percent} * (n_a + n_b)"
-    )
-    listed = a.join(b, "token").where(fits).select(F.col("node_a").alias("a"), F.col("node_b").alias("b"))
+    sizes = F.expr(f"node_a < node_b and 100 * least(n_a, n_b) >= {percent} * greatest(n_a, n_b)")
+    shared = a.join(b, "token").where(sizes).groupBy("node_a", "node_b")
+    shared = shared.agg(F.count("*").alias("c"), *(F.max(x).alias(x) for x in ("place_a", "place_b", "n_a", "n_b")))
+    # What can be common: the shared prefix tokens, and after the last of them (or after the prefix that
+    # ends first) no more than either set has left.
+    most = f"c + least(n_a - place_a - 1, n_b - place_b - 1, ({percent} * greatest(n_a, n_b) + 99) div 100 - 1)"
+    listed = shared.where(F.expr(f"{100 + percent} * ({most}) >= {percent} * (n_a + n_b)")).selectExpr("node_a as a", "node_b as b")
     starred = placed.where((F.col("held") > SMALL_BLOCK) & (F.col("node") != F.col("pivot"))).select(F.col("pivot").alias("a"), F.col("node").alias("b"))
     return connected_components(listed.unionByName(starred)).withColumnRenamed("label", "family")
 
@@ -163,7 +179,7 @@ def _links(data: DataFrame, wanted: DataFrame, ranked: tuple[Broadcast, Broadcas
 
     def sets(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, met = WordHashes(), set()
-        for batch in batches:
+        for batch in _slices(batches):
             new = [i for i, h in enumerate(batch["texthash"].to_pylist()) if h not in met and not met.add(h)]
             texts = batch["text"].take(pa.array(new, pa.int64()))
             tokens = [s.tobytes() for s in shingle_sets((x.as_py() for x in texts), width, hashes)]
