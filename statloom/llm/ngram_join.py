@@ -23,9 +23,9 @@ RANKED_TOKENS = 1 << 18
 #: Nodes of a token up to which its pairs are listed; those of larger ones all join one family.
 SMALL_BLOCK = 128
 #: Tokens, and nodes, that make one side of a tile.
-TILE_TOKENS, TILE_NODES = 1 << 20, 2048
+TILE_TOKENS, TILE_NODES = 1 << 19, 1024
 #: Tokens after which a task reports which of them it saw often.
-COUNTED_TOKENS = 4_000_000
+COUNTED_TOKENS = 2_500_000
 
 SUMMARY = "doc_id bigint, n bigint, node binary, texthash bigint, tokens binary, counts binary"
 
@@ -204,7 +204,7 @@ def _tile(table: pa.Table, known: tuple[np.ndarray, np.ndarray], percent: int) -
     """A spanning forest of the links between the nodes of one tile."""
     nodes = table["node"].to_pylist()
     sets = [np.frombuffer(t.as_py(), np.uint64) for t in table["tokens"]]
-    sizes = np.array([len(s) for s in sets])
+    sizes = np.array([len(s) for s in sets], np.int32)
     root = np.arange(len(nodes))
     may = np.ones((len(nodes), len(nodes)), bool)
     for seed in ORDERS:
@@ -235,4 +235,4 @@ def _overlaps(sets: list[np.ndarray]) -> np.ndarray:
         dense = np.zeros((len(sets), step), np.float32)
         dense[whose[at], column[at] - start] = 1
         total += dense @ dense.T
-    return total.astype(np.int64)
+    return total.astype(np.int32)

@@ -8,9 +8,9 @@ import numpy as np
 import xxhash
 
 #: Words that one chunk of texts holds at most, a single longer text aside.
-CHUNK_WORDS = 400_000
+CHUNK_WORDS = 150_000
 #: Entries after which a task's word cache starts anew. It bounds memory only.
-CACHE_WORDS = 300_000
+CACHE_WORDS = 150_000
 
 _SPACES = bytes(c if 0x30 <= c <= 0x39 or 0x61 <= c <= 0x7A or c >= 0x80 else c + 32 if 0x41 <= c <= 0x5A else 0x20 for c in range(256))
 
