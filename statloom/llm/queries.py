@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from statloom.llm import decontamination, language_id, mixing, ngram_join, token_counts
+from statloom.llm import decontamination, embedding_dedup, language_id, mixing, ngram_join, token_counts, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -97,3 +97,44 @@ def op9(spark: SparkSession, folder: str) -> DataFrame:
     model = language_id.learn(documents, public_tokenizers.path("piece_bpe_32k.model"))
     found = language_id.predict(documents.select("doc_id", "text"), model)
     return found.select("doc_id", language_id.held_out().alias("held_out"), "lang_pred", "score")
+
+
+OP8_SQL = """
+with data as (select page_id, coalesce(html, '') as html from pages
+), digests as (select page_id, octet_length(encode(html)) as n, sha1(html) as h from data
+), firsts as (select h, min(page_id) as first_id from digests group by 1
+), bits as (
+  select h, string_agg(substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', (
+    (((('0x' || substr(h, 1 + (5 * k) // 4, 2) || case when (5 * k) // 4 = 39 then '0' else '' end)::ubigint) >> (8 - 5 - (5 * k) % 4)) & 31) + 1)::bigint, 1), '' order by k) as b32
+  from (select distinct h from digests), unnest(range(32)) as u(k) group by 1
+)
+select page_id, n::bigint as payload_bytes, b32 as payload_digest, case when page_id = first_id then 'response' else 'revisit' end as record_type,
+       case when page_id = first_id then null else first_id end as refers_to
+from digests join firsts using (h) join bits using (h)
+"""
+
+
+@query("op8_write_warc", OP8_SQL)
+def op8(spark: SparkSession, folder: str) -> DataFrame:
+    return warc.round_trip(table(spark, folder, "pages"))
+
+
+OP10_SQL = """
+with recursive data as (select vec_id, list_transform(embedding, lambda x: x::double) as v from embeddings
+), fine as (
+  select vec_id, v, sqrt(list_dot_product(v, v)) as norm from data
+  where v is not null and len(v) > 0 and len(list_filter(v, lambda x: x is null or not isfinite(x))) = 0 and len(list_filter(v, lambda x: x <> 0)) > 0
+), links as (
+  select a.vec_id as x, b.vec_id as y from fine a join fine b on a.vec_id <> b.vec_id and len(a.v) = len(b.v)
+  where list_dot_product(a.v, b.v) / (a.norm * b.norm) >= 0.95
+), reach as (select x, y from links union select reach.x, links.y from reach join links on reach.y = links.x
+), least_of as (select x, min(y) as y from reach group by 1
+), counts as (select x, count(*) as n from links group by 1)
+select vec_id, coalesce(n, 0) as n_links, least(vec_id, coalesce(y, vec_id)) as component_id, vec_id <= coalesce(y, vec_id) as kept
+from data left join counts on counts.x = vec_id left join least_of on least_of.x = vec_id
+"""
+
+
+@query("op10_embedding_links", OP10_SQL)
+def op10(spark: SparkSession, folder: str) -> DataFrame:
+    return embedding_dedup.link_table(table(spark, folder, "embeddings"), threshold=0.95)
