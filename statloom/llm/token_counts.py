@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 from collections.abc import Iterable, Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 import regex
@@ -16,7 +17,7 @@ PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\
 #: Texts of characters whose classes no version of Unicode has changed; others are left to the library.
 SETTLED = r"[\x00-\x1b\x20-\u017f\u0391-\u03a1\u03a3-\u03c9\u0400-\u0481\u2010-\u2027\u2030-\u205e\u20ac\u4e00-\u9fa5]*+"
 #: Pre-tokens whose counts a task remembers beyond the vocabulary; it bounds memory only.
-REMEMBERED = 300_000
+REMEMBERED = 500_000
 #: Documents encoded before the counts go back.
 SLICE = 500
 
@@ -52,10 +53,22 @@ def whole_tokens(model: dict) -> set[str]:
     return alone
 
 
+class Merged(dict):
+    """Tokens of a pre-token: 1 for whole tokens, and for others what the merges leave, remembered."""
+
+    def __init__(self, library: Tokenizer, alone: Iterable[str]) -> None:
+        super().__init__(dict.fromkeys(alone, 1))
+        self.library = library
+
+    def __missing__(self, part: str) -> int:
+        found = self[part] = len(self.library.encode(part, add_special_tokens=False))
+        return found
+
+
 class TokenCounter:
     """Counts tokens of texts as the tokenizer's own library does."""
 
-    def __init__(self, definition: str, alone: set[str]) -> None:
+    def __init__(self, definition: str, alone: Iterable[str]) -> None:
         spec = json.loads(definition)
         before = spec["pre_tokenizer"] or {}
         if (
@@ -67,7 +80,7 @@ class TokenCounter:
         self.library.no_truncation()
         self.library.no_padding()
         self.alone = alone
-        self.known = dict.fromkeys(alone, 1)
+        self.known = Merged(self.library, alone)
         self.split = regex.compile(PATTERN).findall
         # Added tokens are found before anything else; their surroundings are encoded as ever.
         self.added = [t["content"] for t in spec["added_tokens"]]
@@ -79,19 +92,15 @@ class TokenCounter:
             return 0
         if any(t in text for t in self.added) or not self.plain(text):
             return len(self.library.encode(text, add_special_tokens=False))
-        parts = self.split(text)
-        try:
-            return sum(map(self.known.__getitem__, parts))
-        except KeyError:
-            self._learn(parts)
-            return sum(map(self.known.__getitem__, parts))
-
-    def _learn(self, parts: list[str]) -> None:
         if len(self.known) > len(self.alone) + REMEMBERED:
-            self.known = dict.fromkeys(self.alone, 1)
-        new = list({p for p in parts if p not in self.known})
-        for part, found in zip(new, self.library.encode_batch(new, add_special_tokens=False), strict=True):
-            self.known[part] = len(found)
+            self.known = Merged(self.library, self.alone)
+        return sum(map(self.known.__getitem__, self.split(text)))
+
+
+@lru_cache(maxsize=1)
+def counter_of(definition: str, alone: frozenset[str]) -> TokenCounter:
+    """The counter of a worker process, which serves one task after another."""
+    return TokenCounter(definition, alone)
 
 
 def count_tokens(documents: DataFrame, tokenizer_path: str, limit: int = 1024) -> DataFrame:
@@ -104,10 +113,10 @@ def count_tokens(documents: DataFrame, tokenizer_path: str, limit: int = 1024) -
     """
     with open(tokenizer_path, encoding="utf-8") as file:
         definition = file.read()
-    shared = documents.sparkSession.sparkContext.broadcast((definition, whole_tokens(json.loads(definition)["model"])))
+    shared = documents.sparkSession.sparkContext.broadcast((definition, frozenset(whole_tokens(json.loads(definition)["model"]))))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counter = TokenCounter(*shared.value)
+        counter = counter_of(*shared.value)
         for whole in batches:
             for at in range(0, whole.num_rows, SLICE):
                 batch = whole.slice(at, SLICE)
