@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import hashlib
 from collections import defaultdict
 from collections.abc import Iterable, Iterator
 
@@ -147,16 +146,6 @@ def digest(found: DataFrame) -> DataFrame:
     )
 
 
-def without_passages(found: DataFrame, columns: list[str], least: int = 10, share: float = 0.5) -> DataFrame:
-    """`columns` of the rows of `search`, those documents left out that give a benchmark away.
-
-    A document goes when a run of at least `least` of its words lies in occurrences; shorter hits
-    (items of few words, which clean prose holds as well) go only with `share` of all its words hit.
-    """
-    longest = F.coalesce(F.array_max(F.transform("spans", lambda s: s["end"] - s["start"])), F.lit(0))
-    hit = F.aggregate("spans", F.lit(0).cast("bigint"), lambda total, s: total + s["end"] - s["start"])
-    return found.where((longest < least) & ((hit == 0) | (hit < share * F.col("n_words")))).select(*columns)
-
-
-def items_digest(items: Iterable[int]) -> str:
-    return hashlib.sha256(",".join(sorted(map(str, items))).encode()).hexdigest()
+def clean(found: DataFrame) -> DataFrame:
+    """The rows of `search` without a hit, as they came."""
+    return found.where(F.size("spans") == 0).drop("n_words", "spans", "items")

@@ -27,7 +27,7 @@ TILE_TOKENS, TILE_NODES = 1 << 19, 1024
 #: Tokens after which a task reports which of them it saw often.
 COUNTED_TOKENS = 2_500_000
 
-SUMMARY = "doc_id bigint, n bigint, node binary, texthash bigint, tokens binary, counts binary"
+SUMMARY = "doc_id bigint, n bigint, node binary, texthash bigint, rowhash bigint, tokens binary, counts binary"
 
 
 def component_table(documents: DataFrame, width: int = 3, percent: int = 90) -> DataFrame:
@@ -43,19 +43,49 @@ def component_table(documents: DataFrame, width: int = 3, percent: int = 90) ->
     null). Repeated rows and repeated ids stay rows of their own; null ids never become a component
     id unless a component has no other. Other columns of `documents` are ignored.
     """
-    data = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    rows, placed = _placed(documents, width, percent)
+    found = rows.select("doc_id", F.col("n").alias("n_shingles"), "node").join(placed.select("node", "component_id"), "node", "left")
+    return found.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+
+
+def keep_one(documents: DataFrame, width: int = 3, percent: int = 90) -> DataFrame:
+    """`documents` with one row of every component: that of its smallest doc_id (null last, then by text).
+
+    Rows without words are linked with nothing and all stay. Of rows that repeat the id and text that
+    stays, one stays.
+    """
+    rows, placed = _placed(documents, width, percent)
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "texthash", "rowhash")
+    first = rows.join(placed.select("node", "label"), "node").groupBy("label").agg(F.min(order).alias("kept"))
+    keys = first.select("kept.texthash", "kept.rowhash").withColumn("held", F.lit(True))
+    keyed = documents.withColumns({"__texthash": F.xxhash64(F.col("text").cast("string")), "__rowhash": _rowhash()})
+    words = F.coalesce(F.col("text").rlike("[^\\x20\\x09-\\x0D]"), F.lit(False))
+    kept = keyed.where(words).join(keys, (F.col("__texthash") == F.col("texthash")) & (F.col("__rowhash") == F.col("rowhash")), "left_semi")
+    kept = kept.dropDuplicates(["__texthash", "__rowhash"])
+    return kept.unionByName(keyed.where(~words)).drop("__texthash", "__rowhash")
+
+
+def _rowhash() -> F.Column:
+    return F.xxhash64(F.col("doc_id").cast("bigint"), F.col("text").cast("string"))
+
+
+def _placed(documents: DataFrame, width: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """A row (doc_id, n, node, texthash, rowhash) per document, and (node, label, component_id) per distinct set."""
+    data = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"), _rowhash().alias("rowhash"))
     data = data.withColumn("texthash", F.xxhash64("text"))
     stored = materialize(data.mapInArrow(lambda batches: _summaries(batches, width), SUMMARY), "shingles")
-    rows = stored.where("n is not null").select("doc_id", "n", "node", "texthash")
+    rows = stored.where("n is not null").select("doc_id", "n", "node", "texthash", "rowhash")
     ranked = _ranked(stored.where("n is null"))
     known = rows.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("least"), F.min("texthash").alias("texthash"), F.first("n").alias("n"))
     families = _families(data, ranked, width, percent)
     links = _links(data, materialize(known.join(families, "node"), "wanted"), ranked, width, percent)
     nodes = known.join(connected_components(links), "node", "left").select("node", "least", F.coalesce("label", "node").alias("label"))
     least = nodes.groupBy("label").agg(F.min("least").alias("component_id"))
-    placed = nodes.join(least, "label").select("node", "component_id")
-    found = rows.select("doc_id", F.col("n").alias("n_shingles"), "node").join(placed, "node", "left")
-    return found.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+    return rows, nodes.join(least, "label").select("node", "label", "component_id")
+
+
+def _node(tokens: np.ndarray) -> bytes:
+    return xxhash.xxh3_128_digest(tokens.tobytes())
 
 
 def _slices(batches: Iterable[pa.RecordBatch], rows: int = 1000) -> Iterator[pa.RecordBatch]:
@@ -64,10 +94,6 @@ def _slices(batches: Iterable[pa.RecordBatch], rows: int = 1000) -> Iterator[pa.
             yield batch.slice(at, rows)
 
 
-def _node(tokens: np.ndarray) -> bytes:
-    return xxhash.xxh3_128_digest(tokens.tobytes())
-
-
 def _summaries(batches: Iterable[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
     """A row per document, and rows without n that hold the tokens many of a task's documents have."""
     hashes, held, seen, documents = WordHashes(), [], 0, 0
@@ -79,13 +105,13 @@ def _summaries(batches: Iterable[pa.RecordBatch], width: int) -> Iterator[pa.Rec
         first = np.flatnonzero(np.concatenate(([True], tokens[1:] != tokens[:-1])))
         counts, tokens = np.diff(first, append=len(tokens)), tokens[first]
         keep = counts >= max(3, documents // 2000)
-        return _batch([(None, None, None, None, tokens[keep].tobytes(), counts[keep].astype(np.int64).tobytes())])
+        return _batch([(None, None, None, None, None, tokens[keep].tobytes(), counts[keep].astype(np.int64).tobytes())])
 
     for batch in _slices(batches):
         rows = []
         sets = shingle_sets((x.as_py() for x in batch["text"]), width, hashes)
-        for doc_id, texthash, tokens in zip(batch["doc_id"].to_pylist(), batch["texthash"].to_pylist(), sets, strict=True):
-            rows.append((doc_id, len(tokens), _node(tokens) if len(tokens) else None, texthash, None, None))
+        for doc_id, texthash, rowhash, tokens in zip(*(batch[c].to_pylist() for c in ("doc_id", "texthash", "rowhash")), sets, strict=True):
+            rows.append((doc_id, len(tokens), _node(tokens) if len(tokens) else None, texthash, rowhash, None, None))
             held.append(tokens)
             seen, documents = seen + len(tokens), documents + 1
             if seen >= COUNTED_TOKENS:
@@ -98,8 +124,8 @@ def _summaries(batches: Iterable[pa.RecordBatch], width: int) -> Iterator[pa.Rec
 
 
 def _batch(rows: list[tuple]) -> pa.RecordBatch:
-    kinds = (pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.binary(), pa.binary())
-    names = ["doc_id", "n", "node", "texthash", "tokens", "counts"]
+    kinds = (pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.binary(), pa.binary())
+    names = ["doc_id", "n", "node", "texthash", "rowhash", "tokens", "counts"]
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names)
 
 

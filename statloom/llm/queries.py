@@ -8,7 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from statloom.llm import decontamination, embedding_dedup, language_id, mixing, ngram_join, token_counts, warc
+import corpus_pipeline
+from statloom.llm import chat, decontamination, embedding_dedup, language_id, mixing, ngram_join, secrets, token_counts, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -138,3 +139,20 @@ from data left join counts on counts.x = vec_id left join least_of on least_of.x
 @query("op10_embedding_links", OP10_SQL)
 def op10(spark: SparkSession, folder: str) -> DataFrame:
     return embedding_dedup.link_table(table(spark, folder, "embeddings"), threshold=0.95)
+
+
+@query("op5_render_chats")
+def op5(spark: SparkSession, folder: str) -> DataFrame:
+    return chat.render(table(spark, folder, "conversations"))
+
+
+@query("op7_scan_secrets")
+def op7(spark: SparkSession, folder: str) -> DataFrame:
+    documents = table(spark, folder, "documents").select("doc_id", "text")
+    found = secrets.scan_with_own_findings(documents, public_tokenizers.path("piece_bpe_32k.model"))
+    return found.select("doc_id", "n_candidates", F.size("secrets").cast("bigint").alias("n_secrets"), "secrets", F.sha2("text", 256).alias("masked_sha256"))
+
+
+QUERIES["pipeline"] = corpus_pipeline.run
+if corpus_pipeline.ORACLE_SQL:
+    ORACLES["pipeline"] = corpus_pipeline.ORACLE_SQL
