@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from statloom.llm import chat, decontamination, embedding_dedup, language_id, mixing, ngram_join, secrets, token_counts, warc
+from statloom.llm import chat, decontamination, embedding_dedup, language_id, mixing, ngram_join, secrets, surrogates, token_counts, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -58,6 +58,12 @@ def op1(spark: SparkSession, folder: str) -> DataFrame:
     return decontamination.digest(decontamination.search(documents, table(spark, folder, "benchmark")))
 
 
+@query("op2_surrogates")
+def op2(spark: SparkSession, folder: str) -> DataFrame:
+    documents = table(spark, folder, "documents").select("doc_id", "text")
+    return surrogates.replace(documents, secret=b"surrogates of the registered query").select("doc_id", "n_entities", F.to_json("kinds").alias("kinds"), "text")
+
+
 OP3_SQL = """
 with recursive words as (
   select doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') as w from documents
