@@ -26,12 +26,17 @@ def spread(df: DataFrame, column: str) -> Broadcast:
     return df.sparkSession.sparkContext.broadcast(bits)
 
 
+def marked(column: pa.Array, bitmap: Broadcast) -> pa.Array:
+    """Whether each value of a bigint column without nulls may be among those of the bitmap."""
+    at = column.to_numpy(zero_copy_only=False) & (BITS - 1)
+    return pa.array((bitmap.value[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1)
+
+
 def holds(df: DataFrame, column: str, bitmap: Broadcast) -> DataFrame:
     """The rows of `df` whose bigint `column` may be among those of the bitmap; nulls go."""
 
     def keep(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            at = batch[column].to_numpy(zero_copy_only=False) & (BITS - 1)
-            yield batch.filter(pa.array((bitmap.value[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1))
+            yield batch.filter(marked(batch[column], bitmap))
 
     return df.where(F.col(column).isNotNull()).mapInArrow(keep, df.schema)

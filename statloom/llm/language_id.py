@@ -20,7 +20,7 @@ LONGEST = 8
 #: Letters of a stretch of a word that is scored at once; longer words are scored stretch by stretch.
 STRETCH = 24
 #: Words that a task remembers; it bounds memory only.
-REMEMBERED = 200_000
+REMEMBERED = 150_000
 #: Probability of a letter that no piece of the vocabulary covers, the same in every language.
 UNKNOWN = 1e-7
 #: Languages that a model holds at most: a larger number is refused, since the model is broadcast.
@@ -178,8 +178,9 @@ def train(labelled: DataFrame, vocabulary: list[str], rounds: int = 2) -> Model:
                 if has_letter(found):
                     counts.setdefault(lang, Counter({"": 0})).update(found)
                     counts[lang][""] += 1
-                    if len(counts[lang]) > REMEMBERED:
-                        yield _counted({lang: counts.pop(lang)})
+                    if sum(map(len, counts.values())) > REMEMBERED:
+                        yield _counted(counts)
+                        counts = {}
         yield _counted(counts)
 
     # The empty word counts the documents.

@@ -11,7 +11,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 
-from statloom.llm.bitmaps import holds, spread
+from statloom.llm.bitmaps import holds, marked, spread
 from statloom.llm.components import connected_components
 from statloom.llm.texts import WordHashes, mix, shingle_sets
 from statloom.session import materialize
@@ -25,7 +25,7 @@ SMALL_BLOCK = 128
 #: Tokens, and nodes, that make one side of a tile.
 TILE_TOKENS, TILE_NODES = 1 << 19, 1024
 #: Tokens after which a task reports which of them it saw often.
-COUNTED_TOKENS = 2_500_000
+COUNTED_TOKENS = 1_500_000
 
 SUMMARY = "doc_id bigint, n bigint, node binary, texthash bigint, rowhash bigint, tokens binary, counts binary"
 
@@ -203,16 +203,18 @@ def _links(data: DataFrame, wanted: DataFrame, ranked: tuple[Broadcast, Broadcas
     of its own, so that no task holds more than two parts however large the family is.
     """
 
+    may = spread(wanted, "texthash")
+
     def sets(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, met = WordHashes(), set()
         for batch in _slices(batches):
+            batch = batch.filter(marked(batch["texthash"], may))
             new = [i for i, h in enumerate(batch["texthash"].to_pylist()) if h not in met and not met.add(h)]
             texts = batch["text"].take(pa.array(new, pa.int64()))
             tokens = [s.tobytes() for s in shingle_sets((x.as_py() for x in texts), width, hashes)]
             yield pa.RecordBatch.from_arrays([batch["texthash"].take(pa.array(new, pa.int64())), pa.array(tokens, pa.binary())], ["texthash", "tokens"])
 
-    texts = holds(data.select("text", "texthash"), "texthash", spread(wanted, "texthash"))
-    found = texts.mapInArrow(sets, "texthash bigint, tokens binary").groupBy("texthash").agg(F.first("tokens").alias("tokens"))
+    found = data.select("text", "texthash").mapInArrow(sets, "texthash bigint, tokens binary").groupBy("texthash").agg(F.first("tokens").alias("tokens"))
     parts = wanted.groupBy("family").agg(F.ceil(F.greatest(F.sum("n") / TILE_TOKENS, F.count("*") / TILE_NODES)).alias("parts"))
     dealt = wanted.select("texthash", "node", "family").join(parts, "family").withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")))
     every = F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("parts") - 1))
