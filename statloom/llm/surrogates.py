@@ -193,9 +193,15 @@ def _gender(found: str) -> str:
     return next(g for g, titles in TITLES.items() if title in titles)
 
 
+_DIGIT = re.compile(r"\d").search
+_TITLES = [f"{t}{end}" for group in TITLES.values() for t in group for end in (" ", ". ")]
+
+
 def mentions(text: str | None) -> Iterator[tuple[str, re.Match]]:
-    for m in FINDER.finditer(text or ""):
-        yield m.lastgroup, m
+    """(kind, match) from left to right. Every pattern needs an @, a digit or a title; texts without any hold none."""
+    if text and ("@" in text or _DIGIT(text) or any(t in text for t in _TITLES)):
+        for m in FINDER.finditer(text):
+            yield m.lastgroup, m
 
 
 def replace(documents: DataFrame, secret: bytes, attempts: int = 16) -> DataFrame:
