@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from datetime import date
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from statloom.operators.derive import first_wins
@@ -209,18 +209,24 @@ def retired_curated(terms: DataFrame, curated: DataFrame) -> DataFrame:
     return curated.alias("c").join(terms.alias("t"), _twin("t", "c"), "left_semi").select("external_id")
 
 
-def cross_check(terms: DataFrame, incumbents: DataFrame, today: date) -> DataFrame:
+def refused_list(incumbents: DataFrame, minimum: int = MIN_INCUMBENTS) -> DataFrame:
+    """One problem row where the second list is too short for cross_check to use; none otherwise."""
+    size = incumbents.agg(F.count(F.lit(1)).alias("listed")).filter(F.col("listed") < minimum)
+    text = F.concat(F.lit("the second list has "), F.col("listed").cast("string"), F.lit(f" rows, at least {minimum} are needed: not used"))
+    return size.select(text.alias("problem"), "listed")
+
+
+def cross_check(terms: DataFrame, incumbents: DataFrame, today: date, minimum: int = MIN_INCUMBENTS) -> DataFrame:
     """Confirms or contradicts the open terms with a second list of incumbents.
 
     `incumbents`: place, office_type, person, person_name. Agreement clears the stale note; where no
     open term is the listed person's, every open term of the office gets a conflict. A list of fewer
-    than 30 rows is not trusted at all.
+    than `minimum` rows is not used at all; refused_list says so. Reads `terms` twice.
     """
-    if incumbents.limit(MIN_INCUMBENTS).count() < MIN_INCUMBENTS:
-        return terms
     office = ["place", "office_type"]
     current = terms.filter("end is null").select(*office, "person").distinct()
-    seen = incumbents.alias("i").join(
+    size = incumbents.agg(F.count(F.lit(1))).scalar()
+    seen = incumbents.filter(size >= minimum).alias("i").join(
         current.withColumn("_same", F.lit(True)).alias("t"), [*office, "person"], "left"
     ).select(*office, "person", "person_name", F.coalesce("_same", F.lit(False)).alias("_same"))
     confirmed = seen.filter("_same").select(*office, "person").distinct().withColumn("_ok", F.lit(True))
@@ -273,12 +279,16 @@ def with_review(terms: DataFrame) -> DataFrame:
 
 
 def follow_redirects(titles: DataFrame, hops: DataFrame, limit: int = 2) -> DataFrame:
-    """Final title of each title after at most `limit` hops (normalised, then redirected)."""
+    """`final` title of each title after at most `limit` hops (normalised, then redirected).
+
+    `pending` tells that the final title redirects once more, so it is not an answer yet.
+    """
     step = hops.select(F.col("source").alias("_from"), F.col("target").alias("_to"))
     out = titles.withColumn("final", F.col("title"))
     for _ in range(limit):
         out = out.join(step, F.col("final") == F.col("_from"), "left").withColumn("final", F.coalesce("_to", "final")).drop("_from", "_to")
-    return out
+    more = hops.select(F.col("source").alias("final")).distinct().withColumn("_more", F.lit(True))
+    return out.join(more, "final", "left").withColumn("pending", F.coalesce("_more", F.lit(False))).drop("_more")
 
 
 def office_categories(offices: DataFrame, ranked: Sequence[str], police_places: Sequence[str] = ()) -> DataFrame:
@@ -357,6 +367,57 @@ def observe(current: DataFrame, listed: DataFrame, today: date | Column) -> Data
     )
 
 
+def refused_days(lists: DataFrame, minimum: int) -> DataFrame:
+    """Days whose list is too short to close terms on: day, listed, minimum."""
+    sizes = lists.groupBy("day").agg(F.count(F.lit(1)).alias("listed"))
+    return sizes.filter(F.col("listed") < minimum).withColumn("minimum", F.lit(minimum))
+
+
+def observe_days(current: DataFrame, lists: DataFrame, minimum: int) -> DataFrame:
+    """Terms after the lists of many days, as if `observe` had read them one by one, in one pass.
+
+    `lists`: as `listed` there, with `day`; days of fewer than `minimum` rows are left out (see
+    refused_days). The last day a person is listed settles their term: the office's next listed day
+    closes it, and it had stayed open if the person was also listed on the office's day before.
+    """
+    office = ["place", "office_type"]
+    trusted = lists.groupBy("day").agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") >= minimum).select("day")
+    kept = lists.join(trusted, "day", "left_semi")
+    # Both windows hold one row per day.
+    by_office, by_person = Window.partitionBy(*office).orderBy("day"), Window.partitionBy("external_id").orderBy("day")
+    days = kept.select(*office, "day").distinct().select(
+        *office, "day", F.lag("day").over(by_office).alias("_before"), F.lead("day").over(by_office).alias("_next")
+    )
+    keyed = kept.withColumn("external_id", observed_id(F.col("place"), F.col("office_type"), F.col("person_name")))
+    keyed = first_wins(keyed.select("external_id", *office, "person_name", "note", "day"), ["external_id", "day"], ["person_name"])
+    marked = keyed.join(days, [*office, "day"]).withColumn("_again", F.lag("day").over(by_person) == F.col("_before"))
+    people = marked.groupBy("external_id").agg(
+        F.min(F.struct("day", *office, "person_name")).alias("first"),
+        F.max(F.struct("day", "_before", "_next", "_again", "note")).alias("last"),
+    ).alias("l")
+    opening = days.filter("_before is null").select(*office, F.col("day").alias("_opening"))
+    joined = current.join(opening, office, "left").alias("c").join(people, F.col("c.external_id") == F.col("l.external_id"), "full")
+    old, seen = F.col("c.external_id").isNotNull(), F.col("l.external_id").isNotNull()
+    is_open = old & F.col("c.end").isNull()
+    stayed = F.when(F.col("last._before").isNull(), is_open).otherwise(F.coalesce(F.col("last._again"), F.lit(False)))
+    missed = F.when(seen, F.col("last._next")).when(is_open, F.col("c._opening"))
+    first_seen = F.concat(F.lit("start date not sourced: first observed in office on "), F.col("last.day").cast("string"))
+    note = (
+        F.when(seen & stayed, F.col("last.note")).when(seen, F.concat_ws("; ", first_seen, F.col("last.note"))).otherwise(F.col("c.note"))
+    )
+    closing = F.concat(F.lit("change observed on "), missed.cast("string"))
+    return joined.select(
+        F.coalesce("c.external_id", "l.external_id").alias("external_id"),
+        F.coalesce("c.place", "first.place").alias("place"),
+        F.coalesce("c.office_type", "first.office_type").alias("office_type"),
+        F.coalesce("c.person_name", "first.person_name").alias("person_name"),
+        F.when(old, F.col("c.start")).otherwise(F.col("first.day")).alias("start"),
+        F.when(missed.isNotNull(), F.date_sub(missed, 1)).when(~seen, F.col("c.end")).alias("end"),
+        F.when(seen, F.col("last.day")).otherwise(F.col("c.verified")).alias("verified"),
+        F.when(missed.isNotNull(), F.concat_ws("; ", note, closing)).otherwise(note).alias("note"),
+    )
+
+
 def observe_counts(observed: DataFrame) -> DataFrame:
     act = F.col("action")
     return observed.agg(
@@ -374,11 +435,12 @@ def holders_during(terms: DataFrame, periods: DataFrame) -> DataFrame:
     """
     if "needs_review" in terms.columns:
         terms = terms.filter("not needs_review")
-    # An open term reaches to the last period asked about.
-    horizon = periods.agg(F.max("period_end")).scalar()
-    alive = terms.filter(F.col("start") <= horizon)
+    # An open term reaches to the last period asked about; years before the first period meet none.
+    opening, horizon = periods.agg(F.min("period_start")).scalar(), periods.agg(F.max("period_end")).scalar()
+    alive = terms.filter((F.col("start") <= horizon) & (F.col("end").isNull() | (F.col("end") >= opening)))
     last = F.least(F.coalesce(F.col("end"), horizon), horizon)
-    years = F.sequence(F.year("start"), F.greatest(F.year(last), F.year("start")))
+    first = F.greatest(F.year("start"), F.year(opening))
+    years = F.sequence(first, F.greatest(F.year(last), first))
     cut = alive.withColumn("_year", F.explode(years)).alias("t")
     p = periods.withColumn("_year", F.explode(F.sequence(F.year("period_start"), F.year("period_end")))).alias("p")
     overlap = (F.col("t.start") <= F.col("p.period_end")) & F.coalesce(F.col("t.end") >= F.col("p.period_start"), F.lit(True))
@@ -402,7 +464,8 @@ def sync_terms(
         "source_url", "source_type", "reviewed", "advisories", "notes", "conflicts",
     ]
     merged = merge_curated(apply_overrides(terms.select(*keep), overrides), curated_terms(curated, positions).select(*keep))
-    checked = materialize(cross_check(merged, incumbents, today), "terms")  # overlaps read them twice
+    # The check and the overlaps read their input twice.
+    checked = materialize(cross_check(materialize(merged, "merged"), incumbents, today), "terms")
     return with_review(flag_overlaps(checked, today))
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from statloom.operators.vintage import latest_vintage
 from statloom.plans import bindings as B
 from statloom.plans.registry import Tables, query, view
-from statloom.session import fresh_path
+from statloom.session import fresh_path, numbered
 from statloom.streaming import jobs as J
 
 
@@ -69,13 +69,18 @@ def st4(t: Tables) -> DataFrame:
 
 @query("ST2_load_batches", "select indicator_id, place, period_label, value, is_provisional from latest", "value")
 def st2(t: Tables) -> DataFrame:
-    """Three deliveries of the yearly figures; a file is a batch, and only changes are kept."""
+    """An empty delivery and three of the yearly figures; a file is a batch, and only changes are kept.
+
+    The last delivery comes through a stream of its own, whose checkpoint knows nothing of the history.
+    """
     landed, history = fresh_path(t.spark, "deliveries"), fresh_path(t.spark, "history")
     rows = B.vintages(t)
-    for run in (1, 2, 3):
+    for run in (0, 1, 2, 3):
         rows.filter(F.col("run_id") == run).write.parquet(f"{landed}/delivery={run}")
-    stream = t.spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{landed}/delivery=*")
-    J.run_available(stream, f"{history}-checkpoint", each=J.load_batches(history))
+    for deliveries in ("[012]", "3"):
+        stream = t.spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{landed}/delivery={deliveries}")
+        checkpoint = fresh_path(t.spark, "loads")
+        J.run_available(stream, checkpoint, each=J.load_batches(history, checkpoint))
     latest = latest_vintage(t.spark.read.parquet(history))
     return latest.select("indicator_id", "place", "period_label", "value", "is_provisional")
 
@@ -84,26 +89,53 @@ STATE = (
     "external_id string, place string, office_type string, person_name string, start date, end date, verified date, note string"
 )
 view("weekly_lists", """
-  select distinct (user_id // 10)::varchar as place, user_id, date_trunc('week', ts)::date as day from events where event_type = 'purchase'
+  select distinct (user_id // 10)::varchar as place, event_type as office, user_id, date_trunc('week', ts)::date as day from events
+""")
+view("all_lists", """
+  select place, office, user_id, day from weekly_lists
+  union all select place, office, user_id, day + 3 from weekly_lists where user_id = (select min(user_id) from weekly_lists)
 """)
+view("trusted_lists", "select * from all_lists where day in (select day from all_lists group by day having count(*) >= 50)")
+
+
+def _observed(t: Tables) -> str:
+    """Where the states of weekly lists of office-holders are, an office per kind of event and ten users.
+
+    In between, a list holds one user only. A delivery without lists, the first two weeks and the rest
+    come through a stream each, so every checkpoint but the first meets states it did not write.
+    """
+    landed, states = fresh_path(t.spark, "lists"), fresh_path(t.spark, "states")
+    letters = F.translate(F.col("user_id").cast("string"), "0123456789", "abcdefghij")
+    weekly = t.events.select("user_id", "event_type", F.trunc("ts", "week").alias("day")).distinct()
+    lone = weekly.filter(F.col("user_id") == weekly.agg(F.min("user_id")).scalar()).withColumn("day", F.date_add("day", 3))
+    lists = weekly.unionByName(lone).select(
+        F.floor(F.col("user_id") / 10).cast("string").alias("place"), F.col("event_type").alias("office_type"),
+        F.concat(F.lit("clerk "), letters).alias("person_name"), F.lit("listed").alias("note"), "day",
+    )
+    third = F.date_add(lists.agg(F.min("day")).scalar(), 14)
+    for number, which in enumerate((F.lit(False), F.col("day") < third, F.col("day") >= third)):
+        lists.filter(which).write.parquet(f"{landed}/delivery={number}")
+        stream = t.spark.readStream.schema(lists.schema).parquet(f"{landed}/delivery={number}")
+        checkpoint = fresh_path(t.spark, "observed")
+        J.run_available(stream, checkpoint, each=J.observe_batches(states, checkpoint, t.spark.createDataFrame([], STATE)))
+    return states
 
 
 @query("ST3_observe_batches", """
-  select user_id as person, strftime(first, '%Y-%m-%d') as "start", strftime(next - 1, '%Y-%m-%d') as "end" from (
-    select user_id, min(day) as first, (select min(o.day) from weekly_lists o where o.place = l.place and o.day > max(l.day)) as next
-    from weekly_lists l group by user_id, l.place)
+  select user_id as person, office, strftime(first, '%Y-%m-%d') as "start", strftime(next - 1, '%Y-%m-%d') as "end" from (
+    select user_id, l.office, min(day) as first,
+      (select min(o.day) from trusted_lists o where o.place = l.place and o.office = l.office and o.day > max(l.day)) as next
+    from trusted_lists l group by user_id, l.place, l.office)
 """)
 def st3(t: Tables) -> DataFrame:
-    """Weekly lists of office-holders, landed one folder per week."""
-    landed, states = fresh_path(t.spark, "lists"), fresh_path(t.spark, "states")
-    letters = F.translate(F.col("user_id").cast("string"), "0123456789", "abcdefghij")
-    lists = t.events.filter("event_type = 'purchase'").select(
-        F.floor(F.col("user_id") / 10).cast("string").alias("place"), F.lit("dgp").alias("office_type"),
-        F.concat(F.lit("clerk "), letters).alias("person_name"), F.lit("listed").alias("note"), F.trunc("ts", "week").alias("day"),
-    ).distinct()
-    lists.write.parquet(landed)
-    stream = t.spark.readStream.schema(lists.schema).parquet(landed)
-    J.run_available(stream, f"{states}-checkpoint", each=J.observe_batches(states, t.spark.createDataFrame([], STATE)))
-    final = t.spark.read.parquet(f"{states}/batch=0")
+    states = _observed(t)
+    final = t.spark.read.parquet(f"{states}/state={numbered(t.spark, states, 'state')[-1]}")
     person = F.translate(F.substring_index("external_id", "-", -1), "abcdefghij", "0123456789").cast("bigint")
-    return final.select(person.alias("person"), "start", "end")
+    return final.select(person.alias("person"), F.col("office_type").alias("office"), "start", "end")
+
+
+@query("ST3_refused_days", """
+  select strftime(day, '%Y-%m-%d') as day, count(*) as listed from all_lists group by all_lists.day having count(*) < 50
+""")
+def st3_refused(t: Tables) -> DataFrame:
+    return t.spark.read.parquet(f"{_observed(t)}/refused=*").select("day", "listed")

@@ -308,13 +308,22 @@ view("terms_checked", f"""
   select external_id, array_to_string(notes, '; ') as notes, array_to_string(conflicts, '; ') as conflicts, advisory from terms_checked
 """)
 def b9(t: Tables) -> DataFrame:
-    rows = T.cross_check(merged(t), incumbents(t), B.TODAY)
+    rows = T.cross_check(materialize(merged(t), "merged"), incumbents(t), B.TODAY)
     return rows.select(
         "external_id", F.array_join("notes", "; ").alias("notes"), F.array_join("conflicts", "; ").alias("conflicts"),
         F.array_join("advisories", "; ").alias("advisory"),
     )
 
 
+@query("B9_refused_list", """
+  select 'the second list has ' || count(*) || ' rows, at least 30 are needed: not used' as problem, count(*) as listed from region having count(*) < 30
+""")
+def b9_refused(t: Tables) -> DataFrame:
+    """Regions as a second list: too few for it to be used."""
+    listed = t.region.select(F.col("r_name").alias("place"), F.lit("governor").alias("office_type"), F.lit("Q2").alias("person"))
+    return T.refused_list(listed)
+
+
 view("terms_flagged", f"""
   select * exclude (notes), notes
     || case when n_start < coalesce("end", date '{B.TODAY}') - 2 then ['overlaps with ' || n_name || ' (from ' || strftime(n_start, '%Y-%m-%d') || ')'] else [] end
@@ -335,7 +344,7 @@ def synced(t: Tables) -> DataFrame:
 
 @query("N20_flag_overlaps", "select external_id, array_to_string(notes, '; ') as notes from terms_flagged")
 def n20(t: Tables) -> DataFrame:
-    checked = materialize(T.cross_check(merged(t), incumbents(t), B.TODAY), "terms")
+    checked = materialize(T.cross_check(materialize(merged(t), "merged"), incumbents(t), B.TODAY), "terms")
     return T.flag_overlaps(checked, B.TODAY).select("external_id", F.array_join("notes", "; ").alias("notes"))
 
 
@@ -372,10 +381,10 @@ def j17(t: Tables) -> DataFrame:
 
 @query("B10_follow_redirects", """
   select 'Customer ' || c_custkey as title, case when c_nationkey < 8 then 'item-' || c_nationkey when c_nationkey < 16 then 'Nation ' || c_nationkey
-    else 'Customer ' || c_custkey end as final from customer
+    else 'Customer ' || c_custkey end as final, c_nationkey < 3 as pending from customer
 """)
 def b10(t: Tables) -> DataFrame:
-    """Customers redirect to their nation (below 16), and nations below 8 to an item."""
+    """Customers redirect to their nation (below 16), nations below 8 to an item, items below 3 once more."""
     n = F.col("c_nationkey").cast("string")
     titles = t.customer.select(F.concat(F.lit("Customer "), F.col("c_custkey").cast("string")).alias("title"))
     first = t.customer.filter("c_nationkey < 16").select(
@@ -383,7 +392,8 @@ def b10(t: Tables) -> DataFrame:
     )
     k = F.col("n_nationkey").cast("string")
     second = t.nation.filter("n_nationkey < 8").select(F.concat(F.lit("Nation "), k).alias("source"), F.concat(F.lit("item-"), k).alias("target"))
-    return T.follow_redirects(titles, first.unionByName(second))
+    third = t.nation.filter("n_nationkey < 3").select(F.concat(F.lit("item-"), k).alias("source"), F.concat(F.lit("thing-"), k).alias("target"))
+    return T.follow_redirects(titles, first.unionByName(second).unionByName(third))
 
 
 @query("B12_office_categories", """

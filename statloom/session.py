@@ -48,6 +48,20 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+def numbered(spark: SparkSession, path: str, column: str, mark: str = "") -> list[int]:
+    """The numbers n of the folders `column`=n below a path, by listing; with a mark, only folders that hold that file."""
+    glob = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{column}=*" + (f"/{mark}" if mark else ""))
+    found = glob.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(glob) or []
+    folders = [status.getPath().getParent() if mark else status.getPath() for status in found]
+    values = [folder.getName().partition("=")[2] for folder in folders]
+    return sorted(int(v) for v in values if v.isdigit())
+
+
+def make_folder(spark: SparkSession, path: str) -> None:
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).mkdirs(folder)
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Writes an intermediate table that is read more than once to the shared folder.
 

@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from statloom.operators.terms import observe
+from statloom.operators.terms import MIN_OBSERVED, observe_days, refused_days
 from statloom.operators.vintage import KEY, detect_changes, latest_vintage
-from statloom.session import materialize
+from statloom.session import make_folder, numbered
 
 
 def daily_means(readings: DataFrame, delay: str = "1 day") -> DataFrame:
@@ -42,45 +42,58 @@ def deduplicated(readings: DataFrame, key: str, delay: str = "10 days") -> DataF
     return readings.withWatermark("observed_at", delay).dropDuplicatesWithinWatermark([key])
 
 
-def load_batches(path: str) -> Callable[[DataFrame, int], None]:
+def _claim(spark: SparkSession, checkpoint: str, batch_id: int, free: int) -> int:
+    """The number a batch writes under: noted in the checkpoint before its first attempt, so that a retry finds it."""
+    note = f"{checkpoint}/numbers/batch={batch_id}"
+    noted = numbered(spark, note, "number")
+    if not noted:
+        make_folder(spark, f"{note}/number={free}")
+    return noted[0] if noted else free
+
+
+def load_batches(path: str, checkpoint: str) -> Callable[[DataFrame, int], None]:
     """foreachBatch function: appends what is new or revised against the history at `path`.
 
-    The batch id is the run id. A batch that is retried sees only earlier runs and overwrites its
-    own partition, so every batch lands exactly once.
+    A batch is the run after the last one listed in the history, whatever its id, and the number is
+    noted in the stream's `checkpoint`. A batch that is retried keeps its number, sees only earlier
+    runs and overwrites its own partition, so every batch lands exactly once; a new checkpoint over
+    an old history goes on after it. A batch without rows writes nothing.
     """
     def load(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         if batch.isEmpty():
             return
         rows = batch.drop("run_id")
-        if batch_id == 0:
-            changed = rows.withColumn("change", F.lit("new"))
-        else:
-            history = spark.read.option("basePath", path).parquet(path).filter(F.col("run_id") < batch_id)
+        known = numbered(spark, path, "run_id")
+        run = _claim(spark, checkpoint, batch_id, max(known, default=-1) + 1)
+        if any(k < run for k in known):
+            history = spark.read.option("basePath", path).parquet(path).filter(F.col("run_id") < run)
             latest = latest_vintage(history.select(*KEY, "value", "is_provisional", "run_id"))
             changed = detect_changes(rows, latest)
-        kept = changed.filter("change <> 'unchanged'").drop("change").withColumn("run_id", F.lit(batch_id))
+        else:
+            changed = rows.withColumn("change", F.lit("new"))
+        kept = changed.filter("change <> 'unchanged'").drop("change").withColumn("run_id", F.lit(run))
         kept.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("run_id").parquet(path)
 
     return load
 
 
-def observe_batches(path: str, empty: DataFrame) -> Callable[[DataFrame, int], None]:
-    """foreachBatch function: office-holders after each day's list, in order of the days.
+def observe_batches(path: str, checkpoint: str, empty: DataFrame, minimum: int = MIN_OBSERVED) -> Callable[[DataFrame, int], None]:
+    """foreachBatch function: office-holders after the lists of all days that have landed.
 
-    A day's list is a snapshot: who is absent matters, so it is compared as a whole. State is
-    written per batch next to the previous one; a retried batch starts from the same state.
+    A day's list is a snapshot: who is absent matters. A list of fewer than `minimum` rows closes
+    nothing; it is left out and reported under `refused=n`. States are written as `state=n`, each
+    from the one before, with numbers given as for loads; a retried batch starts from the same state.
     """
     def step(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
+        done = numbered(spark, path, "state", "_SUCCESS")
+        number = _claim(spark, checkpoint, batch_id, max(done, default=-1) + 1)
+        before = [n for n in done if n < number]
+        state = spark.read.schema(empty.schema).parquet(f"{path}/state={before[-1]}") if before else empty
         lists = batch.persist()
-        # As many rows as days landed since the last trigger.
-        days = [r["day"] for r in lists.select("day").distinct().orderBy("day").collect()]
-        state = empty if batch_id == 0 else spark.read.parquet(f"{path}/batch={batch_id - 1}")
-        for day in days:
-            seen = observe(state, lists.filter(F.col("day") == F.lit(day)).drop("day"), day)
-            state = materialize(seen.drop("action"), "observed")
-        state.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+        refused_days(lists, minimum).write.mode("overwrite").parquet(f"{path}/refused={number}")
+        observe_days(state, lists, minimum).write.mode("overwrite").parquet(f"{path}/state={number}")
         lists.unpersist()
 
     return step
