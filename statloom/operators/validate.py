@@ -144,7 +144,8 @@ def all_problems(*parts: DataFrame) -> DataFrame:
     return out.distinct().orderBy(*out.columns)
 
 
-def row_count_problems(rows: DataFrame, table: Sequence[str], item: str, expected: int) -> DataFrame:
-    """Tables with fewer distinct items than expected."""
-    counted = rows.groupBy(*table, item).agg(F.lit(1).alias("_one")).groupBy(*table).agg(F.count("_one").alias("rows_read"))
-    return counted.filter(F.col("rows_read") < expected)
+def row_count_problems(rows: DataFrame, table: Sequence[str], item: str, expected: int, tables: DataFrame) -> DataFrame:
+    """Of the `tables` that must be there, those with fewer distinct items than expected; rows_read is 0 where nothing was read."""
+    counted = rows.groupBy(*table, item).agg(F.lit(1).alias("_one")).groupBy(*table).agg(F.count("_one").alias("_read"))
+    asked = tables.select(*table).distinct().join(counted, list(table), "left")
+    return asked.withColumn("rows_read", F.coalesce("_read", F.lit(0))).drop("_read").filter(F.col("rows_read") < expected)

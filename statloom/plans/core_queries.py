@@ -714,9 +714,12 @@ def v8(t: Tables) -> DataFrame:
 
 @query("X21_row_count_problems", """
   select p_brand, count(distinct p_name) as rows_read from part group by 1 having count(distinct p_name) < 46
+  union all select 'Brand of ' || n_name, 0 from nation
 """)
 def x21(t: Tables) -> DataFrame:
-    return V.row_count_problems(t.part, ["p_brand"], "p_name", 46)
+    """All brands are expected, and one of each nation that no part has."""
+    brands = t.part.select("p_brand").unionByName(t.nation.select(F.concat(F.lit("Brand of "), "n_name").alias("p_brand")))
+    return V.row_count_problems(t.part, ["p_brand"], "p_name", 46, brands)
 
 
 # --- Revision history --------------------------------------------------------------------------

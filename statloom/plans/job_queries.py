@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from statloom.functions import periods as P
 from statloom.operators import resolve as R
+from statloom.operators.extract import explode_lines
 from statloom.plans import bindings as B
 from statloom.plans import jobs as J
 from statloom.plans import text_queries as X
@@ -64,9 +65,21 @@ def job_crime(t: Tables) -> DataFrame:
     return summed(out)
 
 
-@query("JOB_crime_problems", "select 'table 1A.1 of ' || doc_id || ': few rows read' as problem from report_rows group by doc_id having count(*) + 1 < 30")
+def _some_lost(pages: DataFrame) -> DataFrame:
+    """Every seventh document turns out to be another report."""
+    return pages.withColumn("text", F.when(F.col("doc_id") % 7 == 0, "Another report").otherwise(F.col("text")))
+
+
+def _few(what: str, rows: str, least: int) -> str:
+    return f"""
+      select '{what} of ' || doc_id || ': ' || case when doc_id % 7 = 0 then 'not found' else 'few rows read' end as problem
+      from report_rows group by doc_id having doc_id % 7 = 0 or {rows} < {least}
+    """
+
+
+@query("JOB_crime_problems", _few("table 1A.1", "count(*) + 1", 30))
 def job_crime_problems(t: Tables) -> DataFrame:
-    pages = X.crime_pages(t).withColumn("year", F.lit(2000))
+    pages = _some_lost(X.crime_pages(t)).withColumn("year", F.lit(2000))
     return J.run("crime", {"pages": pages}, reference(t), headings={"1A.1": r"^TABLE\s+1A\.1\s*$"}, columns={"lines": 3}, min_rows=30)[1]
 
 
@@ -82,6 +95,88 @@ def job_tax(t: Tables) -> DataFrame:
     return summed(J.run("tax-collections", {"reports": X.revenue_pages(t)}, reference(t)))
 
 
+@query("JOB_tax_problems", _few("tax table", "count(*) + 1", 26))
+def job_tax_problems(t: Tables) -> DataFrame:
+    return J.run("tax-collections", {"reports": _some_lost(X.revenue_pages(t))}, reference(t), min_rows=26)[1]
+
+
+@query("JOB_tap_water", """
+  select 'tap-water' as indicator_id, 'nation-' || lower(letter) as place, '2001-06-30' as period_label, count(*) as n, sum(returned + 0.25::double) as total
+  from report_rows group by 2
+""", "total")
+def job_water(t: Tables) -> DataFrame:
+    return summed(J.run("tap-water", {"pages": _water_pages(t)}, reference(t)))
+
+
+@query("JOB_tap_water_problems", _few("water table", "count(*)", 25))
+def job_water_problems(t: Tables) -> DataFrame:
+    return J.run("tap-water", {"pages": _some_lost(_water_pages(t))}, reference(t), min_rows=25)[1]
+
+
+def _water_pages(t: Tables) -> DataFrame:
+    numbers = F.concat_ws(" ", F.format_number("quantity", 0), F.format_number("n", 0), F.format_number(F.col("returned") + 0.25, 2))
+    pages = X.printed(t, F.concat(F.lit("Nation "), "letter", F.lit(" "), numbers), "Name Households Connections %", "Page 3")
+    return pages.withColumn("printed", F.lit(date(2001, 6, 30)))
+
+
+@query("JOB_airport_traffic", """
+  with r as (select 'nation-' || lower(letter) as place, sum(quantity) as v from report_rows group by 1)
+  select 'air-passengers-per-100' as indicator_id, place, 'Apr–Jul 2001 (FY 2001-02 to date)' as period_label, 1 as n,
+         floor(v * 12 / 4.0::double / people * 100 * 10 + 0.5) / 10 as total from r join population using (place)
+""", "total")
+def job_airports(t: Tables) -> DataFrame:
+    """A line per nation's airport, of four months; the other numbers of a line must not count."""
+    numbers = F.concat_ws(" ", "n", "n", F.lit("-3.5%"), "quantity", "n", F.lit("12.0%"))
+    line = F.concat((F.col("nation") + 1).cast("string"), F.lit(" Town NATION "), "letter", F.lit(" "), numbers)
+    lines = explode_lines(X.printed(t, line, "No City Airport", "end")).withColumn("month_end", F.lit(date(2001, 7, 31)))
+    letter = B.letter(F.col("n_nationkey"))
+    airports = t.nation.select(F.concat(F.lit("NATION "), letter).alias("airport"), F.concat(F.lit("nation-"), F.lower(letter)).alias("place"))
+    return summed(J.run("airport-traffic", {"lines": lines, "airports": airports}, reference(t)))
+
+
+@query("JOB_life_tables", """
+  select 'life-expectancy' as indicator_id, 'nation-' || lower(letter) as place, '1999-01' as period_label, count(*) as n, sum(quantity)::double as total
+  from report_rows group by 2
+""", "total")
+def job_life(t: Tables) -> DataFrame:
+    return summed(_life(t, _life_pages(t)))
+
+
+@query("JOB_life_tables_problems", _few("table Expectation of life", "count(*)", 25))
+def job_life_problems(t: Tables) -> DataFrame:
+    return _life(t, _some_lost(_life_pages(t)), min_rows=25)[1]
+
+
+def _life_pages(t: Tables) -> DataFrame:
+    """Rows above the heading belong to another table."""
+    line = F.concat(F.lit("Nation "), "letter", F.lit(" "), F.concat_ws(" ", "quantity", "n", "returned"))
+    return X.printed(t, line, "Nation A 7 8 9\nExpectation of life", "end")
+
+
+def _life(t: Tables, pages: DataFrame, **options) -> J.Result:
+    period = P.pooled_span(F.lit("1999-01"))
+    return J.run("life-tables", {"pages": pages}, reference(t), heading="Expectation of life", indicator="life-expectancy", period=period, **options)
+
+
+@query("JOB_family_health_records", f"""
+  with c as (select right(place, 1) as x, priority, year < 1998 as early, count(*) as v from nation_sales group by 1, 2, 3)
+  select case priority when '1-URGENT' then 'urgent' else 'high' end as indicator_id,
+         {_place('x', "case when early then date '1995-12-31' else date '1999-12-31' end")} as place,
+         case when early then 'Round 1' else 'Round 2' end as period_label, 1 as n, v::double as total
+  from c where priority = '2-HIGH' or (priority = '1-URGENT' and not early)
+""", "total")
+def job_health(t: Tables) -> DataFrame:
+    """Two rounds; two of the priorities are wanted, one of them was asked about differently in the first round."""
+    survey = F.when(F.col("year") < 1998, "Survey 1").otherwise("Survey 2")
+    rows = nation_sales(t).groupBy(state().alias("state"), F.col("priority").alias("sub_indicator"), survey.alias("survey")).agg(
+        F.count(F.lit(1)).cast("string").alias("value")
+    )
+    rounds = {"survey 1": (date(1995, 1, 1), date(1996, 12, 31), "Round 1"), "survey 2": (date(1999, 1, 1), date(2000, 12, 31), "Round 2")}
+    landed = {"rows": rows.withColumn("sector", F.lit("Rural + Urban (Combined)"))}
+    labels = {"1-URGENT": "urgent", "2-HIGH": "high"}
+    return summed(J.run("family-health-records", landed, reference(t), labels=labels, rounds=rounds, skip=[("urgent", "survey 1")]))
+
+
 @query("JOB_maternal_mortality", """
   select 'maternal-mortality' as indicator_id, 'nation-' || lower(letter) as place, '1999-01' as period_label, count(*) as n, sum(quantity)::double as total
   from report_rows group by 2
@@ -329,20 +424,27 @@ def job_police(t: Tables) -> DataFrame:
     return summed(J.run("police-strength", {"pages": pages}, reference(t)))
 
 
-@query("JOB_state_handbook", """
-  with c as (select place, year, sum(price) filter (where status = 'F')::double as f, sum(price) filter (where status = 'P')::double as p,
-    sum(price) filter (where status = 'O')::double as o, sum(price)::double as a from nation_sales where year >= 1998 group by 1, 2),
-  l as (select *, year || '-' || lpad(((year + 1) % 100)::varchar, 2, '0') as label from c)
-  select 'fiscal-deficit-share' as indicator_id, place, label as period_label, 1 as n, f / (a / 100) * 100 as total from l
-  union all select 'capital-share', place, label, 1, p / (p + o) * 100 from l
+@query("JOB_police_problems", _few("strength table", "count(*)", 25))
+def job_police_problems(t: Tables) -> DataFrame:
+    line = F.concat((F.col("nation") + 1).cast("string"), F.lit(" Nation "), "letter", F.lit(" 1 2 3 4 5 6"))
+    pages = _some_lost(X.printed(t, line, "TABLE 3.1.1", "end")).withColumn("day", F.lit(date(2001, 1, 1)))
+    return J.run("police-strength", {"pages": pages}, reference(t), min_rows=25)[1]
+
+
+@query("JOB_state_handbook", f"""
+  with c as (select right(place, 1) as x, year, sum(price) filter (where status = 'F')::double as f, sum(price) filter (where status = 'P')::double as p,
+    sum(price) filter (where status = 'O')::double as o, sum(price)::double as a from nation_sales group by 1, 2),
+  l as (select *, {_place('x', "make_date(year::int, 9, 30)")} as place, year || '-' || lpad(((year + 1) % 100)::varchar, 2, '0') as label from c)
+  select 'fiscal-deficit-share' as indicator_id, place, label as period_label, 1 as n, f / (a / 100) * 100 as total from l where f is not null
+  union all select 'capital-share', place, label, 1, p / (p + o) * 100 from l where p is not null and o is not null
   union all select 'growth-real', x.place, x.label, 1, round((x.a / y.a - 1) * 100, 2) from l x join l y on y.place = x.place and y.year = x.year - 1
-  union all select 'road-density', l.place, label, 1, o / (people * 2.0) * 100 from l join population using (place)
-  union all select 'debt-share', l.place, label, 1, f / (a / 100) * 100 from l
+  union all select 'road-density', l.place, label, 1, o / (people * 2.0) * 100 from l join population q on q.place = 'nation-' || x where o is not null
+  union all select 'debt-share', place, label, 1, f / (a / 100) * 100 from l where f is not null
 """, "total")
 def job_handbook(t: Tables) -> DataFrame:
-    """Sums per nation and year as wide tables; every nation-year has a sale of each status at the scales used."""
-    years = list(range(1998, 2002))
-    sales = nation_sales(t).filter("year >= 1998").withColumn("state", state())
+    """Sums per nation and year as wide tables; the four split nations are found under their name of the time."""
+    sales = nation_sales(t).withColumn("state", state())
+    years = list(range(1995, 2002))
 
     def wide(condition: Column, label) -> DataFrame:
         return sales.groupBy("state").agg(
@@ -359,4 +461,4 @@ def job_handbook(t: Tables) -> DataFrame:
         "liabilities": sales.groupBy("state", (F.col("year") + 1).alias("year")).agg(F.sum(F.when(st == "F", F.col("price"))).cast("double").alias("value")),
         "fallback": t.spark.createDataFrame([], "place string, period_label string, value double"),
     }
-    return summed(J.run("state-handbook", landed, reference(t), since=1998))
+    return summed(J.run("state-handbook", landed, reference(t), since=1995))

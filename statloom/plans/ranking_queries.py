@@ -461,15 +461,15 @@ def s13(t: Tables) -> DataFrame:
 
 
 @query("S14_indicator_document", """
-  select indicator_id, direction, 1 as parts, count(*) as figures, sum(value) as total from obs join directions using (indicator_id) group by 1, 2
+  select indicator_id, direction, count(*) as figures, sum(value) as total from obs join directions using (indicator_id) group by 1, 2
 """, "total")
 def s14(t: Tables) -> DataFrame:
-    docs = E.indicator_document(indicators(t).select("indicator_id", "direction"), B.observations(t))
+    docs = E.indicator_document(indicators(t).select("indicator_id", "direction"), B.observations(t), parts=64)
     sums = docs.select(
-        "indicator_id", "direction", "parts", F.size("observations").alias("figures"),
+        "indicator_id", "direction", F.size("observations").alias("figures"),
         F.aggregate("observations", F.lit(0.0), lambda acc, o: acc + o["value"]).alias("total"),
     )
-    return sums.groupBy("indicator_id", "direction", "parts").agg(F.sum("figures").alias("figures"), F.sum("total").alias("total"))
+    return sums.groupBy("indicator_id", "direction").agg(F.sum("figures").alias("figures"), F.sum("total").alias("total"))
 
 
 @query("S16_places_listing", """

@@ -12,9 +12,6 @@ from statloom.functions.periods import display_label
 from statloom.functions.text import yes_no
 from statloom.operators.cleaning import where_optional
 
-# Observations per part of a document that grows with the number of places.
-PART_ROWS = 10_000
-
 
 def export_latest(
     latest: DataFrame, places: DataFrame, indicators: DataFrame, indicator_id: str | None = None
@@ -100,16 +97,15 @@ def place_document(places: DataFrame, rankings: DataFrame, latest: DataFrame) ->
     return attributes.join(rankings, "place").join(figures, "place", "left")
 
 
-def indicator_document(indicators: DataFrame, latest: DataFrame, place: str | None = None) -> DataFrame:
-    """The figures of each indicator as parts of about 10,000 observations, optionally of one place.
+def indicator_document(indicators: DataFrame, latest: DataFrame, parts: int, place: str | None = None) -> DataFrame:
+    """The figures of each indicator as documents keyed by (indicator_id, part), optionally of one place.
 
-    An indicator may hold a third of all figures, so its array is cut by a hash of the place.
+    An indicator may hold a third of all figures: the caller says into how many parts every indicator
+    is cut, and a place is always in the same part (its hash modulo `parts`).
     """
-    rows = where_optional(latest, "place", place)
-    sizes = rows.groupBy("indicator_id").agg(F.ceil(F.count(F.lit(1)) / PART_ROWS).alias("parts"))
-    cut = rows.join(sizes, "indicator_id").withColumn("part", F.pmod(F.xxhash64("place"), F.col("parts")))
-    parts = cut.groupBy("indicator_id", "parts", "part").agg(F.collect_list(_figure("place")).alias("observations"))
-    return indicators.join(parts, "indicator_id")
+    rows = where_optional(latest, "place", place).withColumn("part", F.pmod(F.xxhash64("place"), F.lit(parts)))
+    cut = rows.groupBy("indicator_id", "part").agg(F.collect_list(_figure("place")).alias("observations"))
+    return indicators.join(cut, "indicator_id")
 
 
 def source_listing(datasets: DataFrame, health: DataFrame) -> DataFrame:
