@@ -144,13 +144,18 @@ def resolve_with_repairs(
 
 
 def split_prefix(
-    df: DataFrame, names: DataFrame, text: str, day: Column, longest: int = 5, types: Sequence[str] = TOP_LEVEL
+    df: DataFrame, names: DataFrame, text: str, day: Column, types: Sequence[str] = TOP_LEVEL
 ) -> DataFrame:
-    """The longest leading run of 1–5 words that names a place, and the rest of the text."""
+    """The longest leading run of words that names a place, and the rest of the text.
+
+    Runs reach as far as the longest name could: every word of it may be followed by a mark, and an
+    article may come first.
+    """
+    longest = names.agg(F.max(F.size(F.split("key", " "))) * 2 + 1).scalar()
     asked = df.select(text).distinct()
     words = F.split(F.trim(F.regexp_replace(text, r"\s+", " ")), " ")
     tried = asked.withColumn("_words", words).withColumn(
-        "_k", F.explode(F.sequence(F.lit(1), F.least(F.size("_words"), F.lit(longest))))
+        "_k", F.explode(F.sequence(F.lit(1), F.least(F.size("_words"), longest)))
     )
     tried = tried.withColumn("_prefix", F.array_join(F.slice("_words", 1, F.col("_k")), " "))
     found = resolve_on(tried, names, "_prefix", [day], types).filter("place is not null")
