@@ -65,7 +65,7 @@ def trailing_values(line: Column, value: str = VALUE) -> tuple[Column, Column]:
     return name, F.filter(F.split(run, r"\s+"), lambda v: v != "")
 
 
-def _with_neighbours(pages: DataFrame) -> DataFrame:
+def with_neighbours(pages: DataFrame) -> DataFrame:
     """One row per line with the lines before and after it ('' at the ends of the page)."""
     kept = [c for c in pages.columns if c != "text"]
     lines, size = F.col("_lines"), F.size("_lines")
@@ -85,15 +85,15 @@ def split_trailing_values(lines: DataFrame, column: str = "text") -> DataFrame:
     return lines.withColumn("name", name).withColumn("values", values)
 
 
-def rejoin_wrapped(pages: DataFrame, min_values: int = 3) -> DataFrame:
-    """Numbered table rows as (line_no, name, values) and the national total.
+def rejoin_wrapped(pages: DataFrame, min_values: int = 3, total: str = TOTAL) -> DataFrame:
+    """Numbered table rows as (line_no, name, values) and the national total (`total`: its line, numbers in group 1).
 
     A name wrapped around its numbers is put together from the lines before and after.
     """
     kept = [c for c in pages.columns if c != "text"]
     line = F.col("text")
-    rows = _with_neighbours(pages).withColumn("_total", line.rlike(TOTAL)).filter(F.col("_total") | line.rlike(ROW))
-    rest = F.when(F.col("_total"), F.regexp_extract(line, TOTAL, 1)).otherwise(F.regexp_extract(line, ROW, 2))
+    rows = with_neighbours(pages).withColumn("_total", line.rlike(total)).filter(F.col("_total") | line.rlike(ROW))
+    rest = F.when(F.col("_total"), F.regexp_extract(line, total, 1)).otherwise(F.regexp_extract(line, ROW, 2))
     name, values = trailing_values(F.col("_rest"))
     rows = rows.withColumn("_rest", rest).withColumn("_name", name).withColumn("values", values)
     good = F.when(F.col("_total"), (F.col("_name") == "") & (F.size("values") > 0)).otherwise(F.size("values") >= min_values)
@@ -105,7 +105,7 @@ def rejoin_wrapped(pages: DataFrame, min_values: int = 3) -> DataFrame:
 def carry_pending(pages: DataFrame, row_pattern: str) -> DataFrame:
     """Rows matching a pattern, as text, with the digit-free line just before put in front."""
     kept = [c for c in pages.columns if c != "text"]
-    rows = _with_neighbours(pages).filter(F.col("text").rlike(row_pattern))
+    rows = with_neighbours(pages).filter(F.col("text").rlike(row_pattern))
     pending = (F.col("before") != "") & ~F.col("before").rlike(r"\d")
     whole = F.when(pending, F.concat("before", F.lit(" "), "text")).otherwise(F.col("text"))
     return rows.select(*kept, "line_no", whole.alias("text"))

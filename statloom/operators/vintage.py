@@ -98,16 +98,16 @@ def backfill_releases(obs: DataFrame, runs: DataFrame, events: DataFrame) -> Dat
 
 
 def fingerprint(df: DataFrame, columns: list[str]) -> DataFrame:
-    """One row (rows, digest) that does not depend on the order of the rows.
+    """One row (rows, digest) that does not depend on the order of the rows, nor on the engine.
 
-    Each row is hashed under four salts and the hashes are summed exactly, so nothing is gathered
-    or sorted and equal rows do not cancel out.
+    A row is the text of its columns, each with its length in front ('-' for NULL). The four quarters of
+    its MD5 are summed exactly, so nothing is gathered or sorted and equal rows do not cancel out.
     """
-    row = F.to_json(F.struct(*columns), {"ignoreNullFields": "false"})
-    hashed = df.select(row.alias("_row")).select(
-        *[F.xxhash64(F.lit(i), "_row").cast("decimal(20,0)").alias(f"p{i}") for i in range(4)]
-    )
-    sums = hashed.agg(F.count(F.lit(1)).alias("rows"), *[F.sum(f"p{i}").alias(f"p{i}") for i in range(4)])
+    texts = [F.col(c).cast("string") for c in columns]
+    row = F.concat(*[F.coalesce(F.concat(F.length(x).cast("string"), F.lit(":"), x), F.lit("-")) for x in texts])
+    hashed = df.select(F.md5(F.encode(row, "UTF-8")).alias("_h"))
+    quarters = [F.conv(F.substring("_h", 1 + 8 * i, 8), 16, 10).cast("decimal(20,0)") for i in range(4)]
+    sums = hashed.agg(F.count(F.lit(1)).alias("rows"), *[F.coalesce(F.sum(q), F.lit(0)).alias(f"p{i}") for i, q in enumerate(quarters)])
     text = F.concat_ws("-", F.col("rows").cast("string"), *[F.col(f"p{i}").cast("string") for i in range(4)])
     return sums.select("rows", F.sha2(text, 256).alias("digest"))
 

@@ -255,13 +255,13 @@ view("order_sums", """
            count(*) filter (where l_linestatus = 'O') as n_open
     from lineitem group by l_orderkey) on l_orderkey = o_orderkey
   group by 1, 2, 3
-""")
+""", shared=True)
 _SUM_LIST = ", ".join(f"sum({c}) as {c}" for c in SUMS)
 view("run_sums", f"""
   select coalesce(place, 'all') as place, year, run_id, {_SUM_LIST}
   from order_sums join (select unnest([1, 2, 3]) as run_id) on run_id >= known_run
   group by grouping sets ((place, year, run_id), (year, run_id))
-""")
+""", shared=True)
 view("obs_runs", " union all ".join(
     f"""
   select '{i}' as indicator_id, place, make_date(year::int, 1, 1) as period_start,

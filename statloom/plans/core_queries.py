@@ -14,7 +14,7 @@ from statloom.operators import resolve as R
 from statloom.operators import validate as V
 from statloom.operators import vintage as N
 from statloom.plans import bindings as B
-from statloom.plans.registry import Tables, query, view
+from statloom.plans.registry import Tables, fingerprint_sql, query, view
 from statloom.plans.scoring_queries import scores
 
 # --- Cleaning ----------------------------------------------------------------------------------
@@ -829,7 +829,14 @@ def h7(t: Tables) -> DataFrame:
     return _flat(N.backfill_releases(stored(t), runs, runs.filter("run_id = 2")))
 
 
-@query("G14_fingerprint")
+view("line_texts", """
+  select l_orderkey, l_linenumber, cast(l_quantity as decimal(12,2)) as quantity, l_shipdate::date as day from lineitem
+""")
+_LINE = ["l_orderkey", "l_linenumber", "quantity", "day"]
+
+
+@query("G14_fingerprint", fingerprint_sql("line_texts", _LINE))
 def g14(t: Tables) -> DataFrame:
-    """Digest of every line; no SQL engine shares the row format that is hashed."""
-    return N.fingerprint(t.lineitem, ["l_orderkey", "l_linenumber", "l_quantity", "l_shipdate"])
+    """Digest of every line; the quantity as a decimal, which engines write alike."""
+    quantity, day = F.col("l_quantity").cast("decimal(12,2)").alias("quantity"), F.col("l_shipdate").cast("date").alias("day")
+    return N.fingerprint(t.lineitem.select("l_orderkey", "l_linenumber", quantity, day), _LINE)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
 from datetime import date
 
 from pyspark.sql import Column, DataFrame
@@ -177,6 +178,137 @@ def job_health(t: Tables) -> DataFrame:
     return summed(J.run("family-health-records", landed, reference(t), labels=labels, rounds=rounds, skip=[("urgent", "survey 1")]))
 
 
+@query("JOB_family_health_sheets", """
+  with c as (select right(place, 1) as x, year, count(*) as v, count(*) filter (where status = 'P') as p from nation_sales group by 1, 2)
+  select 'sales-' || year as indicator_id, 'nation-' || x as place, 'Round 3' as period_label, 1 as n, (case when year < 1998 then p else v end)::double as total
+  from c where year < 2001
+""", "total")
+def job_sheets(t: Tables) -> DataFrame:
+    """A sheet per nation, its name broken in two; a later sheet of the years since 1998 prints the numbers the other way round."""
+    counts = nation_sales(t).groupBy(state().alias("state"), "year").agg(
+        F.count(F.lit(1)).cast("string").alias("v"), F.count_if(F.col("status") == "P").cast("string").alias("p")
+    )
+    year = F.col("year").cast("string")
+
+    def sheet(rows: DataFrame, first: str, last: str, day: date) -> DataFrame:
+        item = F.concat((F.col("year") - 1990).cast("string"), F.lit(". Sales in "), year, F.lit(" of\n"), first, F.lit(" "), last, F.lit(" the place12 (%) and more"))
+        text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("year", item.alias("i")))), lambda x: x["i"]), "\n")
+        return rows.groupBy("state").agg(F.concat(F.lit("Key Indicators\n"), text).alias("text")).withColumn("released", F.lit(day))
+
+    both = sheet(counts, "v", "p", date(2000, 3, 1)).unionByName(sheet(counts.filter("year >= 1998"), "p", "v", date(2001, 3, 1)))
+    sheets = both.select(
+        F.concat_ws(" ", "state", F.col("released").cast("string")).alias("doc_id"), F.replace("state", F.lit("Nation"), F.lit("Na tion")).alias("state"), "text", "released"
+    )
+    labels = {f"Sales in {y} of the place (%)": f"sales-{y}" for y in range(1995, 2001)}
+    return summed(J.run("family-health-sheets", {"sheets": sheets}, reference(t), labels=labels, period=(date(1999, 1, 1), date(2000, 12, 31), "Round 3")))
+
+
+def _projections(t: Tables, words: DataFrame) -> J.Result:
+    """Columns are the nations of a region in the order of their keys; a region is the sum of its nations."""
+    before = t.nation.select(F.col("n_regionkey").alias("_r"), F.col("n_nationkey").alias("_k"))
+    columns = t.nation.join(before, (F.col("n_regionkey") == F.col("_r")) & (F.col("_k") < F.col("n_nationkey")), "left").groupBy(
+        F.col("n_regionkey").alias("doc_id"), F.lit(1).alias("page"), "n_nationkey"
+    ).agg(F.count("_k").cast("int").alias("place_no"))
+    place = F.concat(F.lit("nation-"), F.lower(B.letter(F.col("n_nationkey"))))
+    columns = columns.select("doc_id", "page", "place_no", place.alias("place"))
+    components = columns.select(F.concat(F.lit("region-"), F.col("doc_id").cast("string")).alias("place"), F.col("place").alias("component"))
+    return J.run("population-projections", {"words": words, "columns": columns}, reference(t), components=components, last_year=2000)
+
+
+@query("JOB_population_projections", """
+  with c as (select 'nation-' || lower(chr(65 + c_nationkey)) as place, 'region-' || n_regionkey as region, year(o_orderdate) as year, count(*)::double as v
+    from orders join customer on o_custkey = c_custkey join nation on c_nationkey = n_nationkey group by 1, 2, 3)
+  select 'population' as indicator_id, place, year || '-07-01' as period_label, 1 as n, v as total from c where year <= 2000
+  union all select 'population', region, year || '-07-01', 1, sum(v) from c where year <= 2000 group by 2, 3
+""", "total")
+def job_projections(t: Tables) -> DataFrame:
+    return summed(_projections(t, X.projection_words(t)))
+
+
+@query("JOB_projections_problems", """
+  with c as (select n_nationkey as k, year(o_orderdate) as year from orders join customer on o_custkey = c_custkey join nation on c_nationkey = n_nationkey
+    where n_regionkey = 2 group by 1, 2)
+  select 'page 1 of 2, ' || year || ', column 1: cells without exactly one value' as problem from c
+  where k = (select min(n_nationkey) from nation where n_regionkey = 2)
+""")
+def job_projections_problems(t: Tables) -> DataFrame:
+    """The second numbers of the first column of page 2 are lost."""
+    return _projections(t, X.projection_words(t).filter("not (doc_id = 2 and x0 = 126)"))[1]
+
+
+_SUBSCRIBERS = "State/UT wise number of Internet Subscribers per 100 population at the end of Jun-01"
+
+
+def _subscriber_pages(t: Tables) -> DataFrame:
+    """Rows of six numbers; nations below 5 carry a bracket, those up to 9 a remark, those from 20 wrap; the table of contents is no table."""
+    values = F.concat_ws(" ", "n", F.lit("1.5 - 2 3"), F.concat("quantity", F.lit(".25")))
+    number, nation = (F.col("nation") + 1).cast("string"), F.col("nation")
+    name = F.concat(F.lit("Nation "), "letter", F.when(nation < 5, " (A+B)").when(nation < 10, " incl. Town").otherwise(""))
+    line = F.when(nation >= 20, F.concat(F.lit("Nation\n"), number, F.lit(" "), values, F.lit("\n"), "letter")).otherwise(
+        F.concat(number, F.lit(" "), name, F.lit(" "), values)
+    )
+    total = F.concat(F.lit("Total "), F.concat_ws(" ", "n", F.lit("1 2 3 -"), "quantity"))
+    pages = X.printed(t, line, _SUBSCRIBERS, total)
+    contents = pages.select("doc_id", F.lit(0).alias("page"), F.lit("Contents\nInternet subscribers 7").alias("text"))
+    return pages.unionByName(contents)
+
+
+@query("JOB_internet_subscribers", """
+  select 'internet-subscribers-per-100' as indicator_id, 'nation-' || lower(letter) as place, 'Jun 2001' as period_label, count(*) as n, sum(quantity + 0.25)::double as total
+  from report_rows group by 2
+  union all select 'internet-subscribers-per-100', 'all', 'Jun 2001', count(distinct doc_id), sum(quantity)::double from report_rows
+""", "total")
+def job_subscribers(t: Tables) -> DataFrame:
+    return summed(J.run("internet-subscribers", {"pages": _subscriber_pages(t)}, reference(t)))
+
+
+@query("JOB_internet_problems", _few("table of subscribers", "count(*) + 1", 26))
+def job_subscribers_problems(t: Tables) -> DataFrame:
+    return J.run("internet-subscribers", {"pages": _some_lost(_subscriber_pages(t))}, reference(t), min_rows=26)[1]
+
+
+def _cleanliness(t: Tables, pages: DataFrame, **options) -> J.Result:
+    k, letter = F.col("n_nationkey"), B.letter(F.col("n_nationkey"))
+    key = F.when(k < 5, "town").when(k < 10, F.concat(F.lit("town "), F.lower(letter))).when(k < 20, "townhouse").otherwise(F.concat(F.lit("town of "), F.lower(letter)))
+    cities = t.nation.select(F.concat(F.lit("nation-"), F.lower(letter)).alias("parent"), key.alias("key"), F.concat(F.lit("city-"), F.lower(letter)).alias("city"))
+    league = t.nation.filter(k >= 20).select(F.concat(F.lit("The league of All Nations: Town of "), letter, F.lit(", Nowhere")).alias("text"))
+    ref = replace(reference(t), cities=cities)
+    shared = {"town east": "town", "town west": "town"}
+    period = (date(2000, 4, 1), date(2001, 7, 17), "Round 9")
+    return J.run("city-cleanliness", {"pages": pages, "league": league}, ref, year=2001, period=period, shared=shared, **options)
+
+
+def _ranking_pages(t: Tables) -> DataFrame:
+    """Two bodies share the town of nations below 5; from 10 the last word is broken, from 20 the name wraps around its numbers."""
+    nation, number = F.col("nation"), (F.col("nation") + 1).cast("string")
+    values = F.concat_ws(" ", "quantity", F.lit("-3 12 7"))
+    side = F.when(F.col("doc_id") % 2 == 0, " TOWN EAST (MC) ").otherwise(" TOWN WEST (MC) ")
+    start = F.concat(number, F.lit(" Nation "), "letter")
+    line = (
+        F.when(nation < 5, F.concat(start, side, values))
+        .when(nation < 10, F.concat(start, F.lit(" TOWN "), "letter", F.lit(" (M. Corp) "), values))
+        .when(nation < 20, F.concat(start, F.lit(" TOWNHOUS "), values, F.lit("\nE")))
+        .otherwise(F.concat(F.lit("TOWN OF\n"), start, F.lit(" "), values, F.lit("\n"), "letter", F.lit(" (MC)")))
+    )
+    return X.printed(t, line, "Ranking of Big Cities based on total score\nRank State/UT ULB Name Score", "© Report 2001")
+
+
+@query("JOB_city_cleanliness", """
+  with b as (select lower(letter) as x, case when nation < 5 then doc_id % 2 else 0 end as body, avg(quantity) as v from report_rows group by 1, 2)
+  select 'cleanliness-score' as indicator_id, 'city-' || x as place, 'Round 9' as period_label, 1 as n, floor(avg(v) + 0.5)::double as total from b group by x
+  union all select 'cleanliness-league', 'city-' || letter, 'Round 9', 1, 1.0 from nations where n_nationkey >= 20
+""", "total")
+def job_cleanliness(t: Tables) -> DataFrame:
+    return summed(_cleanliness(t, _ranking_pages(t)))
+
+
+@query("JOB_cleanliness_problems", _few("ranking", "count(*)", 25) + """
+  union all select distinct 'no city for ' || chr(39) || 'Nowhere' || chr(39) from nations where n_nationkey >= 20
+""")
+def job_cleanliness_problems(t: Tables) -> DataFrame:
+    return _cleanliness(t, _some_lost(_ranking_pages(t)), min_rows=25)[1]
+
+
 @query("JOB_maternal_mortality", """
   select 'maternal-mortality' as indicator_id, 'nation-' || lower(letter) as place, '1999-01' as period_label, count(*) as n, sum(quantity)::double as total
   from report_rows group by 2

@@ -298,13 +298,50 @@ def airport_traffic(landed: Landed, ref: Reference) -> Result:
     return observations(per, "air-passengers-per-100", T.round_at(F.col("rate"), 1)), _problems(missing, no_people)
 
 
-def city_cleanliness(landed: Landed, ref: Reference, year: int, period: tuple[date, date, str]) -> Result:
-    """`rows`: name (state and body), score (text lines already joined); `league`: text lines 'State: a, b'."""
+# Words of heading lines in city rankings, and how a body's name breaks off before its numbers.
+RANKING_HEADS = ("rank", "score", "population", "report", "ulb name", "state/ut", "state/ ut", "©")
+BROKEN_OFF = r"(?i)(?:\bof|\((?:m\.?)?|[-+])$"
+
+
+def ranked_bodies(pages: DataFrame, names: DataFrame, day: Column) -> DataFrame:
+    """Ranking rows 'rank, state and body, score, three more numbers' as (doc_id, place, rest, score).
+
+    A body's name may be wrapped around its numbers, or its last word may end on the next line.
+    """
+    def is_row(c: Column) -> Column:
+        return c.rlike(rf"^\d+\s+\S.*?(?:\s+{X.VALUE}){{4}}$")
+
+    def beside(c: str) -> Column:
+        heading = F.lower(c).rlike("|".join(RANKING_HEADS))
+        return F.when(~is_row(F.col(c)) & ~heading, F.col(c)).otherwise("")
+
+    name, values = X.trailing_values(F.regexp_replace("text", r"^\d+\s+", ""))
+    rows = X.with_neighbours(pages).filter(is_row(F.col("text"))).select(
+        "doc_id", name.alias("name"), T.clean_number(F.get(values, 0)).alias("score"), beside("before").alias("before"), beside("after").alias("after")
+    )
+    split = R.split_prefix(rows, names, "name", day).filter("place is not null")
+    rest = F.col("rest")
+    around = F.trim(F.regexp_replace(F.concat_ws(" ", "before", "rest", "after"), " +", " "))
+    whole = F.when((rest == "") | rest.rlike(BROKEN_OFF), around).when(F.col("after").rlike("^[A-Z]{1,3}$"), F.concat("rest", "after")).otherwise(rest)
+    return split.select("doc_id", "place", whole.alias("rest"), "score")
+
+
+def city_cleanliness(
+    landed: Landed, ref: Reference, year: int, period: tuple[date, date, str], shared: Mapping[str, str] | None = None, min_rows: int = 1
+) -> Result:
+    """`pages`: doc_id, text of ranking pages; `league`: text lines 'State: a, b'.
+
+    `shared`: bodies that share a city, body key -> city key; their scores are averaged.
+    """
     day = F.lit(date(year, 7, 2))
-    split = R.split_prefix(landed["rows"], ref.names, "name", day).filter("place is not null")
-    keyed = split.withColumn("key", T.clean_body_name(F.col("rest"))).withColumnRenamed("place", "parent")
+    listed = ranked_bodies(landed["pages"], ref.names, day)
+    key = T.clean_body_name(F.col("rest"))
+    if shared:
+        key = F.coalesce(F.create_map(*[F.lit(x) for pair in shared.items() for x in pair])[key], key)
+    keyed = listed.withColumn("key", key).withColumnRenamed("place", "parent")
     scored = R.lookup_city(keyed, ref.cities, "parent", "key").filter("city is not null")
-    means = D.mean_bodies(scored.withColumn("value", F.col("score").cast("double")), "city", "rest").withColumnRenamed("city", "place")
+    body = F.initcap(F.trim(F.substring_index("rest", "(", 1)))
+    means = D.mean_bodies(scored.withColumn("rest", body).withColumn("value", F.col("score")), "city", "rest").withColumnRenamed("city", "place")
     members = X.explode_members(landed["league"])
     named = R.resolve_on(members, ref.names, "group", [day])
     league = R.lookup_city(named.withColumn("key", T.clean_body_name(F.col("member"))).withColumnRenamed("place", "parent"), ref.cities, "parent", "key")
@@ -312,7 +349,8 @@ def city_cleanliness(landed: Landed, ref: Reference, year: int, period: tuple[da
     first = observations(_dated(means, span), "cleanliness-score", note=F.col("note"))
     member = league.filter("city is not null").select(F.col("city").alias("place"), F.lit(1.0).alias("value")).distinct()
     unknown = league.filter("city is null").select(F.concat(F.lit("no city for '"), "member", F.lit("'")).alias("problem"))
-    return _union(first, observations(_dated(member, span), "cleanliness-league")), _problems(unknown)
+    few = _few_rows(landed["pages"], listed.select("doc_id", F.concat_ws("/", "place", "rest").alias("place")), min_rows, "ranking")
+    return _union(first, observations(_dated(member, span), "cleanliness-league")), _problems(unknown, few)
 
 
 def municipal_finance(landed: Landed, ref: Reference) -> Result:
@@ -326,7 +364,7 @@ def municipal_finance(landed: Landed, ref: Reference) -> Result:
 
 
 def numbered_table(landed: Landed, ref: Reference, headings: Mapping[str, str], columns: Mapping[str, int], min_rows: int) -> Result:
-    """Crime, suicide, internet and similar tables: `pages`: doc_id, year, page, text.
+    """Crime, suicide and similar tables: `pages`: doc_id, year, page, text.
 
     `columns`: indicator -> position of its value from the right. City rows below the total are cut
     off; the first row of a place wins.
@@ -347,6 +385,31 @@ def numbered_table(landed: Landed, ref: Reference, headings: Mapping[str, str],
     return _union(*parts), _problems(bad, short)
 
 
+# The heading of the subscribers' table, its day, its total, names it prints in another way.
+SUBSCRIBERS_HEADING = r"(?i)State/UT wise number of Internet Subscribers per 100 population"
+SUBSCRIBERS_DAY = r"(?i)at the end of ([a-z]{3}-\d{2})"
+SUBSCRIBERS_TOTAL = r"^Total\s+(.*)$"
+SUBSCRIBERS_NAMES = {r"(?i)\bdaman\b": "Dadra & Nagar Haveli and Daman & Diu"}
+
+
+def internet_subscribers(landed: Landed, ref: Reference, min_rows: int = 1, spelled: Mapping[str, str] = SUBSCRIBERS_NAMES) -> Result:
+    """`pages`: doc_id, page, text; of a report the first page with the table counts, of a row the last of six numbers."""
+    marked = landed["pages"].filter(F.col("text").rlike(SUBSCRIBERS_HEADING))
+    newest = F.to_date(F.initcap(F.regexp_extract("text", SUBSCRIBERS_DAY, 1)), "MMM-yy")
+    first_page = marked.groupBy("doc_id").agg(F.min("page").alias("page"))
+    pages = marked.join(first_page, ["doc_id", "page"]).withColumn("_month", newest)
+    undated = pages.filter("_month is null").select(F.concat(F.lit("table of subscribers of "), F.col("doc_id").cast("string"), F.lit(": no month")).alias("problem"))
+    rows = X.rejoin_wrapped(pages.filter("_month is not null"), 6, SUBSCRIBERS_TOTAL)
+    plain = F.trim(F.regexp_replace(F.regexp_replace("name", r"\s*\([^)]*\)", ""), r"(?i)\s+incl\..*$", ""))
+    state = F.coalesce(*[F.when(F.col("name").rlike(pattern), name) for pattern, name in spelled.items()], plain)
+    dated = _dated(rows.withColumn("state", state).withColumn("value", _printed_number(-1)).filter("value is not null"), P.month_period(F.col("_month")))
+    placed, bad = _placed(dated, ref)
+    first = D.first_wins(placed.select("doc_id", *KEY, "line_no", "value"), ["doc_id", *KEY], ["line_no"])
+    note = F.concat(F.lit("end of "), "period_label")
+    few = _few_rows(landed["pages"], first, min_rows, "table of subscribers")
+    return observations(first, "internet-subscribers-per-100", note=note), _problems(bad, undated, few)
+
+
 def metro_crime(landed: Landed, ref: Reference) -> Result:
     """`editions`: place, year, rate, cases (earlier counts), people. Own editions win over back-computed rates."""
     rates = D.prefer_own_edition(D.back_rates(landed["editions"]))
@@ -401,7 +464,10 @@ def population_projections(landed: Landed, ref: Reference, components: DataFrame
     own = named.select("place", "year", F.col("persons").alias("value"))
     sums = D.sum_components(own, components, ["year"])
     rows = _dated(_union(own, sums.select("place", "year", "value")), P.day_period(F.make_date("year", F.lit(7), F.lit(1))))
-    problem = bad.select(F.concat(F.lit("page "), F.col("page").cast("string"), F.lit(": "), "problem").alias("problem"))
+    at = [F.col(c).cast("string") for c in ("page", "doc_id", "year")]
+    column = (F.col("place_no") + 1).cast("string")
+    text = F.concat(F.lit("page "), at[0], F.lit(" of "), at[1], F.lit(", "), at[2], F.lit(", column "), column, F.lit(": "), "problem")
+    problem = bad.select(text.alias("problem"))
     return observations(rows, "population"), _problems(problem)
 
 
@@ -473,7 +539,7 @@ JOBS: dict[str, Callable[..., Result]] = {
     "mortality-report": mortality_report,
     "maternal-mortality": rates_with_interval,
     "life-tables": life_tables,
-    "internet-subscribers": numbered_table,
+    "internet-subscribers": internet_subscribers,
     "police-strength": police_strength,
     "population-projections": population_projections,
 }

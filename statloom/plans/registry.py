@@ -15,8 +15,9 @@ _SCHEMAS: dict[tuple[str, str], T.StructType] = {}
 _STORED: dict[tuple[str, str, str], DataFrame] = {}
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
-# Named SQL views the oracles may use: name -> select text.
+# Named SQL views the oracles may use: name -> select text; those computed once, however often they are named.
 VIEWS: dict[str, str] = {}
+SHARED: set[str] = set()
 
 
 class Tables:
@@ -61,8 +62,20 @@ def presentable(df: DataFrame) -> DataFrame:
     return df.select(*columns)
 
 
-def view(name: str, text: str) -> None:
+def view(name: str, text: str, shared: bool = False) -> None:
     VIEWS[name] = text.strip()
+    if shared:
+        SHARED.add(name)
+
+
+def fingerprint_sql(source: str, columns: list[str]) -> str:
+    """SQL of vintage.fingerprint over the rows of a view."""
+    row = " || ".join(f"coalesce(length(({c})::varchar) || ':' || ({c})::varchar, '-')" for c in columns)
+    sums = ", ".join(f"coalesce(sum(('0x' || substr(h, {1 + 8 * i}, 8))::bigint), 0) as p{i}" for i in range(4))
+    return f"""
+      select n as rows, sha256(n || '-' || p0 || '-' || p1 || '-' || p2 || '-' || p3) as digest
+      from (select count(*) as n, {sums} from (select md5({row}) as h from {source}))
+    """
 
 
 def with_views(body: str) -> str:
@@ -81,7 +94,7 @@ def with_views(body: str) -> str:
     add(body)
     if not ordered:
         return body
-    head = ",\n".join(f"{name} as ({VIEWS[name]})" for name in ordered)
+    head = ",\n".join(f"{name} as {'materialized ' if name in SHARED else ''}({VIEWS[name]})" for name in ordered)
     body = body.strip()
     if body.lower().startswith("with "):
         return f"with {head},\n{body[5:]}"

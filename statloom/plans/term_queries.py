@@ -12,7 +12,7 @@ from statloom.functions.text import clean_person
 from statloom.operators import runs as H
 from statloom.operators import terms as T
 from statloom.plans import bindings as B
-from statloom.plans.registry import Tables, query, view
+from statloom.plans.registry import Tables, fingerprint_sql, query, view
 from statloom.session import materialize
 from statloom.sources import exports as E
 
@@ -359,7 +359,13 @@ def b15(t: Tables) -> DataFrame:
     return rows.select("external_id", "place", "office_type", "person", "start", "end", "party", "needs_review", "review_note")
 
 
-@query("B15_terms_fingerprint")
+view("terms_final", """
+  select external_id, person, "start"::date as "start", "end"::date as "end", party, len(conflicts) > 0 or (len(notes) > 0 and not reviewed) as needs_review
+  from terms_flagged
+""")
+
+
+@query("B15_terms_fingerprint", fingerprint_sql("terms_final", ["external_id", "person", '"start"', '"end"', "party", "needs_review"]))
 def b15_fingerprint(t: Tables) -> DataFrame:
     return T.terms_fingerprint(synced(t))
 
@@ -455,19 +461,27 @@ def b14(t: Tables) -> DataFrame:
     return out.select(number.alias("id"), "action", "start", "end")
 
 
-@query("X16_clean_names", """
-  select o_orderkey, initcap_name as name, st = 'F' as acting, st = 'P' as additional from (
-    select o_orderkey, o_orderstatus as st, 'Clerk ' || chr(65 + (o_custkey % 26)::int) as initcap_name from orders)
+# How a cell writes a person, by order key: each form needs a rule of its own. The name, then acting, then additional charge.
+_CELLS = [
+    ("[[%]] (acting)<ref>page 1</ref>", "%", True, False), ("[[page|%]], IAS (additional charge)", "%", False, True),
+    ('%<br />, IPS<ref name="x" />', "%", False, False), ("\'\'\'Shri %\'\'\', Indian Police Service", "%", False, False),
+    ("align=center|% (in-charge)", "%", True, False), ("{{sort|x}}Dr. %, IAS.", "%", False, False),
+    ("% (born 1960)", "% (born 1960)", False, False), ("\'\'Smt %\'\' (In charge), Indian Administrative Service", "%", True, False),
+    ("%, IAS and others", "% and others", False, False), ("<small>%</small>,", "%", False, False),
+]
+
+
+@query("X16_clean_names", f"""
+  select o_orderkey, replace(case (o_orderkey % {len(_CELLS)})::int {" ".join(f"when {i} then '{c[1]}'" for i, c in enumerate(_CELLS))} end, '%',
+      'Clerk ' || chr(65 + (o_custkey % 26)::int)) as name,
+    (o_orderkey % {len(_CELLS)}) in ({", ".join(str(i) for i, c in enumerate(_CELLS) if c[2])}) as acting,
+    (o_orderkey % {len(_CELLS)}) in ({", ".join(str(i) for i, c in enumerate(_CELLS) if c[3])}) as additional
+  from orders
 """)
 def x16(t: Tables) -> DataFrame:
     who = F.concat(F.lit("Clerk "), F.char((F.pmod("o_custkey", F.lit(26)) + 65).cast("bigint")))
-    st = F.col("o_orderstatus")
-    cell = (
-        F.when(st == "F", F.concat(F.lit("[["), who, F.lit("]] (acting)<ref>page 1</ref>")))
-        .when(st == "P", F.concat(F.lit("[[page|"), who, F.lit("]], IAS (additional charge)")))
-        .otherwise(F.concat(who, F.lit("<br />(b. 1960), IPS")))
-    )
-    name, acting, additional = clean_person(cell)
+    form = F.get(F.array(*[F.lit(c[0]) for c in _CELLS]), F.pmod("o_orderkey", F.lit(len(_CELLS))).cast("int"))
+    name, acting, additional = clean_person(F.replace(form, F.lit("%"), who))
     return t.orders.select("o_orderkey", name.alias("name"), acting.alias("acting"), additional.alias("additional"))
 
 

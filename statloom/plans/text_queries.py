@@ -252,6 +252,11 @@ def x12(t: Tables) -> DataFrame:
   join (select n_nationkey as k, row_number() over (partition by n_regionkey order by n_nationkey) - 1 as rank from nation) on k = n_nationkey
 """)
 def x13(t: Tables) -> DataFrame:
+    table, _ = X.words_to_table(projection_words(t))
+    return table
+
+
+def projection_words(t: Tables) -> DataFrame:
     """Order counts of a region's nations and years, scattered as words over a page."""
     from pyspark.sql import Window
 
@@ -278,9 +283,7 @@ def x13(t: Tables) -> DataFrame:
         F.explode(F.array(word(F.lit("Persons"), at, F.lit(50)), word(F.lit("Males"), at + 30, F.lit(50)), word(F.lit("Females"), at + 60, F.lit(50)))).alias("w"),
     )
     noise = t.region.select(F.col("r_regionkey").alias("doc_id"), word(F.lit("7"), F.lit(300), F.lit(900)).alias("w"))
-    words = cells.unionByName(years).unionByName(heads).unionByName(noise).select("doc_id", F.lit(1).alias("page"), "w.*")
-    table, _ = X.words_to_table(words)
-    return table
+    return cells.unionByName(years).unionByName(heads).unionByName(noise).select("doc_id", F.lit(1).alias("page"), "w.*")
 
 
 @query("X14_F8_html_table_cells", """
