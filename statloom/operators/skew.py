@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 
 # Buckets per e-fold of magnitude: values 0.1 % apart fall into different buckets.
 RESOLUTION = 1024
+# Distinct values of a bucket from which on it is cut again, evenly between its least and greatest value.
+BUCKET_VALUES = 10_000
 
 
 def order_bucket(value: Column, resolution: int = RESOLUTION) -> Column:
@@ -36,32 +38,35 @@ def _same(left: str, right: str, keys: Sequence[str]) -> Column:
 def value_positions(df: DataFrame, groups: Sequence[str], value: str) -> DataFrame:
     """Distinct values per group with `n` rows, `below` rows smaller and `total` rows in the group.
 
-    Rows are counted per distinct value on the map side, so heavy ties cost nothing.
+    Rows are counted per distinct value on the map side, so heavy ties cost nothing. A bucket of very many
+    values (an index near 100) is cut into parts; what crosses parts and buckets is one row of each.
     """
     groups = list(groups)
-    counts = df.groupBy(*groups, value).agg(F.count(F.lit(1)).alias("n"))
-    counts = counts.withColumn("_bucket", order_bucket(F.col(value).cast("double")))
-    buckets = counts.groupBy(*groups, "_bucket").agg(F.sum("n").alias("_bucket_n"))
+    number = F.col(value).cast("double")
+    counts = df.groupBy(*groups, value).agg(F.count(F.lit(1)).alias("n")).withColumn("_bucket", order_bucket(number))
+    buckets = counts.groupBy(*groups, "_bucket").agg(
+        F.sum("n").alias("_bucket_n"), F.ceil(F.count(F.lit(1)) / BUCKET_VALUES).alias("_parts"), F.min(number).alias("_low"), F.max(number).alias("_high")
+    )
     over_buckets = Window.partitionBy(*groups)
+    before = F.sum("_bucket_n").over(over_buckets.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, 0)) - F.col("_bucket_n")
     buckets = buckets.select(
-        *groups,
-        "_bucket",
-        (
-            F.sum("_bucket_n").over(over_buckets.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, 0))
-            - F.col("_bucket_n")
-        ).alias("_bucket_below"),
-        F.sum("_bucket_n").over(over_buckets).alias("total"),
+        *groups, "_bucket", "_parts", "_low", "_high", before.alias("_bucket_below"), F.sum("_bucket_n").over(over_buckets).alias("total")
     )
-    inside = Window.partitionBy(*groups, "_bucket").orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
-    counts = counts.withColumn("_below", F.sum("n").over(inside) - F.col("n"))
-    joined = counts.alias("c").join(buckets.alias("b"), _same("c", "b", [*groups, "_bucket"]))
-    return joined.select(
-        *[F.col(f"c.{g}").alias(g) for g in groups],
-        F.col(f"c.{value}").alias(value),
-        "n",
-        (F.col("_bucket_below") + F.col("_below")).alias("below"),
-        "total",
+    share = F.floor((number - F.col("_low")) / (F.col("_high") - F.col("_low")) * F.col("_parts")).cast("long")
+    part = F.when((F.col("_parts") > 1) & (F.col("_high") > F.col("_low")), F.least(share, F.col("_parts") - 1)).otherwise(F.lit(0).cast("long"))
+    cut = counts.alias("c").join(buckets.alias("b"), _same("c", "b", [*groups, "_bucket"])).select(
+        *[F.col(f"c.{g}").alias(g) for g in groups], F.col(f"c.{value}").alias(value), "n", F.col("c._bucket").alias("_bucket"),
+        part.alias("_part"), "_parts", "_bucket_below", "total",
     )
+    inside = Window.partitionBy(*groups, "_bucket", "_part").orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
+    cut = cut.withColumn("_below", F.sum("n").over(inside) - F.col("n"))
+    # Only buckets that were cut have earlier parts: few rows, as a rule none.
+    parts = cut.filter("_parts > 1").groupBy(*groups, "_bucket", "_part").agg(F.sum("n").alias("_part_n"))
+    over_parts = Window.partitionBy(*groups, "_bucket").orderBy("_part").rowsBetween(Window.unboundedPreceding, 0)
+    parts = parts.withColumn("_part_below", F.sum("_part_n").over(over_parts) - F.col("_part_n"))
+    joined = cut.alias("c").join(parts.alias("p"), _same("c", "p", [*groups, "_bucket", "_part"]), "left")
+    earlier = F.col("_bucket_below") + F.coalesce("_part_below", F.lit(0).cast("long")) + F.col("_below")
+    return joined.select(*[F.col(f"c.{c}").alias(c) for c in [*groups, value]], "n", earlier.alias("below"), "total")
 
 
 def competition_rank(

@@ -59,6 +59,25 @@ def bbox_join(features: DataFrame, boxes: DataFrame, size: float = 1.0) -> DataF
     return a.join(b, same & overlap & corner).select(F.col(f"a.{fk}").alias(fk), F.col(f"b.{bk}").alias(bk))
 
 
+def meeting_any(features: DataFrame, boxes: DataFrame, size: float = 1.0) -> DataFrame:
+    """The features whose box overlaps any of the boxes (touching does not count), each once.
+
+    A feature's cells ask for a box until one is found, so dense cells emit no pairs. The features'
+    first column is their key.
+    """
+    key = features.columns[0]
+    a = features.withColumn("_x", F.explode(_cells(F.col("lon0"), F.col("lon1"), size)))
+    a = a.withColumn("_y", F.explode(_cells(F.col("lat0"), F.col("lat1"), size))).alias("a")
+    b = boxes.withColumn("_x", F.explode(_cells(F.col("lon0"), F.col("lon1"), size)))
+    b = b.withColumn("_y", F.explode(_cells(F.col("lat0"), F.col("lat1"), size))).alias("b")
+    overlap = (
+        (F.col("a.lon0") < F.col("b.lon1")) & (F.col("a.lon1") > F.col("b.lon0"))
+        & (F.col("a.lat0") < F.col("b.lat1")) & (F.col("a.lat1") > F.col("b.lat0"))
+    )
+    same = (F.col("a._x") == F.col("b._x")) & (F.col("a._y") == F.col("b._y"))
+    return a.join(b, same & overlap, "left_semi").drop("_x", "_y").dropDuplicates([key])
+
+
 def bounds_around(lon: Column, lat: Column, km: float) -> list[Column]:
     """Box of about ±km around a point, as four columns."""
     dlat = F.lit(km / KM_PER_DEGREE)
@@ -72,16 +91,24 @@ def great_circle_km(lon1: Column, lat1: Column, lon2: Column, lat2: Column) -> C
     return F.asin(F.least(F.lit(1.0), F.sqrt(h))) * (2 * EARTH_KM)
 
 
-def nearest_vertex(points: DataFrame, vertices: DataFrame) -> DataFrame:
+def nearest_vertex(points: DataFrame, vertices: DataFrame, cell: float = 0.02) -> DataFrame:
     """Distance in km from each point to the nearest vertex of the shape it is asked about.
 
-    `points`: point_id, shape_id, lon, lat; `vertices`: shape_id, lon, lat. The minimum combines
-    before the shuffle.
+    `points`: point_id, shape_id, lon, lat; `vertices`: shape_id, lon, lat. Vertices fall into cells of
+    `cell` degrees, one vertex standing for each. A point meets those first and then only the vertices of
+    cells that may hold a nearer one: no vertex is farther from its cell's than the cell is long and wide.
     """
-    p, v = points.alias("p"), vertices.alias("v")
-    km = great_circle_km(F.col("p.lon"), F.col("p.lat"), F.col("v.lon"), F.col("v.lat"))
-    joined = p.join(v, F.col("p.shape_id") == F.col("v.shape_id"))
-    return joined.groupBy(F.col("p.point_id").alias("point_id"), F.col("p.shape_id").alias("shape_id")).agg(F.min(km).alias("km"))
+    reach = EARTH_KM * math.radians(2 * cell) + 1e-6
+    v = vertices.select(
+        "shape_id", F.floor(F.col("lon") / cell).alias("_x"), F.floor(F.col("lat") / cell).alias("_y"), F.col("lon").alias("_lon"), F.col("lat").alias("_lat")
+    ).distinct()
+    km = great_circle_km(F.col("lon"), F.col("lat"), F.col("_lon"), F.col("_lat"))
+    standing = v.groupBy("shape_id", "_x", "_y").agg(F.min(F.struct("_lon", "_lat")).alias("_v")).select("shape_id", "_x", "_y", "_v.*")
+    asked = points.select("point_id", "shape_id", "lon", "lat")
+    first = asked.join(standing, "shape_id").select("point_id", "shape_id", "lon", "lat", "_x", "_y", km.alias("_km"))
+    least = first.groupBy("point_id", "shape_id").agg(F.min("_km").alias("_least"))
+    near = first.join(least, ["point_id", "shape_id"]).filter(F.col("_km") - reach <= F.col("_least")).drop("_km", "_least")
+    return near.join(v, ["shape_id", "_x", "_y"]).groupBy("point_id", "shape_id").agg(F.min(km).alias("km"))
 
 
 def points_in_polygons(points: DataFrame, edges: DataFrame, band: float = 1.0) -> DataFrame:

@@ -762,7 +762,9 @@ def j18(t: Tables) -> DataFrame:
     return rows.select("indicator_id", "place", "period_label", "change")
 
 
-@query("J19_unknown_places", "select 'all' as place")
+@query("J19_unknown_places", """
+  select distinct place from obs where place not in (select slug from all_places where type <> 'country')
+""")
 def j19(t: Tables) -> DataFrame:
     return N.unknown_places(B.observations(t), B.places(t).filter("type <> 'country'"))
 

@@ -548,13 +548,14 @@ def s4(t: Tables) -> DataFrame:
 
     from statloom.session import fresh_path
 
-    pages = t.customer.groupBy("c_nationkey", F.floor(F.col("c_custkey") / 5000).alias("block")).agg(
-        F.collect_list(F.create_map(F.lit("key"), F.col("c_custkey").cast("string"))).alias("data")
+    keyed = t.customer.withColumn("block", F.floor(F.col("c_custkey") / 5000))
+    pages = keyed.groupBy("c_nationkey", "block").agg(F.collect_list(F.create_map(F.lit("key"), F.col("c_custkey").cast("string"))).alias("data"))
+    source = Window.partitionBy("c_nationkey")  # numbers of blocks only; the pages themselves meet no window
+    numbers = keyed.select("c_nationkey", "block").distinct().select(
+        "c_nationkey", "block", F.row_number().over(source.orderBy("block")).alias("page"), F.count(F.lit(1)).over(source).alias("totalPages")
     )
-    source = Window.partitionBy("c_nationkey")  # one row per page
-    landed = pages.select(
-        F.concat(F.lit("nation-"), F.col("c_nationkey").cast("string")).alias("source"),
-        F.row_number().over(source.orderBy("block")).alias("page"), F.count(F.lit(1)).over(source).alias("totalPages"), "data",
+    landed = pages.join(numbers, ["c_nationkey", "block"]).select(
+        F.concat(F.lit("nation-"), F.col("c_nationkey").cast("string")).alias("source"), "page", "totalPages", "data"
     )
     path = fresh_path(t.spark, "pages")
     landed.write.json(path)

@@ -150,6 +150,16 @@ def l1(t: Tables) -> DataFrame:
     return L.bbox_join(areas, towns)
 
 
+@query("L1_features_in_boxes", """
+  select point_id from town_boxes b where point_id % 3 > 0 and exists (select 1 from town_boxes a
+    where a.point_id % 3 = 0 and a.lon0 < b.lon1 and a.lon1 > b.lon0 and a.lat0 < b.lat1 and a.lat1 > b.lat0)
+""")
+def l1_any(t: Tables) -> DataFrame:
+    """Which towns meet any of every third town."""
+    towns = points(t).select("point_id", *L.bounds_around(F.col("lon"), F.col("lat"), 2.0))
+    return L.meeting_any(towns.filter("point_id % 3 > 0"), towns.filter("point_id % 3 = 0")).select("point_id")
+
+
 @query("L2_bounds_around", "select * from town_boxes", "lon0 lat0 lon1 lat1")
 def l2(t: Tables) -> DataFrame:
     return points(t).select("point_id", *L.bounds_around(F.col("lon"), F.col("lat"), 2.0))

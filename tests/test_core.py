@@ -27,6 +27,24 @@ def test_normalize_name(spark, raw, want):
     assert one(spark, raw, T.normalize_name) == want
 
 
+def test_every_character_with_an_ascii_part_is_folded(spark):
+    df = spark.createDataFrame([("Ⅳ ﬁ Ⓐ",), ("𝐊𝐞𝐫𝐚𝐥𝐚 ㎏ ½",), ("Ⓔn Ġ क़िला",), ("plain & simple",), (None,)], "c string")
+    rows = df.select(T.normalize_name(F.col("c")), T.normalize_text(F.col("c"))).collect()
+    assert [tuple(r) for r in rows] == [
+        ("iv fi a", "iv fi a"), ("kerala kg", "kerala kg 1 2"), ("en g", "en g \u0915\u093c\u093f\u0932\u093e"),
+        ("plain and simple", "plain and simple"), (None, None),
+    ]
+
+
+def test_person_cells(spark):
+    cells = ["'''Shri A Kumar''', IAS", "B Rao (in-charge)", "align=center|C Das, Indian Police Service", "{{x|y}}D (born 1960)", "", None]
+    df = spark.createDataFrame([(c,) for c in cells], "c string")
+    got = [tuple(r) for r in df.select(*T.clean_person(F.col("c"))).collect()]
+    assert got == [
+        ("A Kumar", False, False), ("B Rao", True, False), ("C Das", False, False), ("D (born 1960)", False, False), ("", False, False), (None, None, None)
+    ]
+
+
 def test_numbers(spark):
     assert one(spark, "1,234.5", T.clean_number) == 1234.5
     assert one(spark, "(12.0)", T.clean_number) == 12.0

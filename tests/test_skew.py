@@ -38,6 +38,17 @@ def test_exact_percentiles(numbers):
             assert got[r.g][n] == pytest.approx(r[n], rel=1e-12, abs=1e-300)
 
 
+def test_narrow_ranges_are_cut_again(spark, monkeypatch):
+    """Values near one level fall into one or two buckets, whose parts stay small."""
+    monkeypatch.setattr(K, "BUCKET_VALUES", 50)
+    rng = random.Random(5)
+    rows = [("hot", 100 + rng.random() / 100) for _ in range(2000)] + [("hot", 100.005)] * 30 + [("other", -100 - rng.random()) for _ in range(300)]
+    df = spark.createDataFrame(rows, "g string, v double")
+    plain = df.withColumn("r", F.rank().over(Window.partitionBy("g").orderBy("v")))
+    ours = K.competition_rank(df, ["g"], "v", "r", descending=False)
+    assert sorted(map(tuple, plain.collect())) == sorted(map(tuple, ours.collect()))
+
+
 def test_order_bucket_never_falls(spark):
     rng = random.Random(1)
     values = sorted({rng.uniform(-1, 1) * 10 ** rng.randint(-300, 300) for _ in range(4000)} | {0.0, 5e-324, -5e-324, 1.7e308})

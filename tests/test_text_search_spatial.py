@@ -151,3 +151,29 @@ def test_point_in_polygon_and_boxes(spark):
     a = spark.createDataFrame([("a", 0.0, 0.0, 10.0, 10.0)], "f string, lon0 double, lat0 double, lon1 double, lat1 double")
     b = spark.createDataFrame([("in", 1.0, 1.0, 2.0, 2.0), ("touch", 10.0, 0.0, 11.0, 1.0), ("over", 9.0, 9.0, 30.0, 30.0)], "b string, lon0 double, lat0 double, lon1 double, lat1 double")
     assert sorted(r.b for r in L.bbox_join(a, b).collect()) == ["in", "over"]
+
+
+def test_nearest_vertex_of_a_hot_shape(spark):
+    rng = random.Random(11)
+    corners = [("s", 77 + rng.random(), 20 + rng.random()) for _ in range(400)] + [("t", 10.0, 50.0), ("t", 10.0, 50.0)]
+    asked = [(i, "s" if i % 5 else "t", 76 + 3 * rng.random(), 19 + 3 * rng.random()) for i in range(60)]
+
+    def km(lon1, lat1, lon2, lat2):
+        a, b = math.radians(lat2 - lat1) / 2, math.radians(lon2 - lon1) / 2
+        return 2 * L.EARTH_KM * math.asin(min(1, math.sqrt(math.sin(a) ** 2 + math.cos(math.radians(lat1)) * math.cos(math.radians(lat2)) * math.sin(b) ** 2)))
+
+    want = {i: min(km(x, y, cx, cy) for s, cx, cy in corners if s == shape) for i, shape, x, y in asked}
+    vertices = spark.createDataFrame(corners, "shape_id string, lon double, lat double")
+    for cell in (0.02, 0.3):
+        got = L.nearest_vertex(spark.createDataFrame(asked, "point_id int, shape_id string, lon double, lat double"), vertices, cell)
+        assert {r.point_id: r.km for r in got.collect()} == pytest.approx(want, abs=1e-9)
+
+
+def test_features_that_meet_any_box(spark):
+    rng = random.Random(2)
+    features, boxes = ([(i, x := rng.uniform(0, 9), y := rng.uniform(0, 9), x + rng.uniform(0.1, 2.5), y + 0.4) for i in range(80)] for _ in range(2))
+    schema = "id int, lon0 double, lat0 double, lon1 double, lat1 double"
+    got = L.meeting_any(spark.createDataFrame(features, schema), spark.createDataFrame(boxes[:30], schema))
+    want = {f[0] for f in features if any(f[1] < b[3] and f[3] > b[1] and f[2] < b[4] and f[4] > b[2] for b in boxes[:30])}
+    rows = [r.id for r in got.collect()]
+    assert set(rows) == want and len(rows) == len(want)
