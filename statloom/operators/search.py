@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from statloom.functions.text import normalize_text
 from statloom.operators.skew import top_rows
+from statloom.session import materialize
 
 # Points for the ways a term can match, and the bonus of an entry's type.
 EXACT, PREFIX, WORD_PREFIX, ALL_TOKENS, INSIDE, ONE_TYPO, IN_TEXT = 100.0, 80.0, 60.0, 50.0, 30.0, 25.0, 10.0
@@ -105,8 +106,10 @@ def score_terms(entries: DataFrame, queries: DataFrame) -> DataFrame:
     """Score of every (entry, query) pair that matches at all.
 
     Names count in full, aliases 0.9 and never inside a word; the description only when nothing
-    else matches and every token starts one of its words.
+    else matches and every token starts one of its words. Entries and queries are read many times, hence
+    written once.
     """
+    entries, queries = materialize(entries, "entries"), materialize(queries, "queries")
     pairs = candidates(entries, queries).join(entries, "entry_id").withColumn("_tokens", _words(F.col("query")))
     q, tokens = F.col("query"), F.col("_tokens")
     best_name = F.array_max(F.transform("names", lambda n: term_score(n, q, tokens, True)))
