@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import ipaddress
 import re
+import unicodedata
 from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
@@ -28,9 +29,18 @@ TITLES = {
     "m": "Mr Herr Señor Sr Monsieur Господин".split(),
     "": "Dr Prof".split(),
 }
-#: Letters that change places with one another: vowels and consonants of a script, digits.
-CLASSES = ["aeiou", "bcdfghjklmnpqrstvwxyz", "áéíóú", "àèìòù", "аеиоуыэюя", "бвгджзклмнпрстфхцчшщ", "0123456789"]
-
+#: Letters that change places with one another: vowels and consonants of a script, digits. Letters of no
+#: class listed here change places with the other such letters of their script.
+CLASSES = [
+    "aeiou", "bcdfghjklmnpqrstvwxyz", "áéíóú", "àèìòù", "аеиоуыэюя", "бвгджзклмнпрстфхцчшщ", "0123456789",
+    "äëïöü", "âêîôû", "åæøœãõ", "çñšžčćđłńśźżřťďňğş", "іїєё", "йў", "ьъ", "αεηιουω", "άέήίόύώ", "βγδζθκλμνξπρστφχψ",
+    *("".join(map(chr, range(*ends))) for ends in ((0x4E00, 0x9FA6), (0xAC00, 0xD7A4), (0x3042, 0x3094), (0x30A2, 0x30F5))),
+]
+#: Characters by which a surrogate gets longer each time its format has been tried often enough.
+LONGER = 4
+
+_MARKS = "".join(c for c in map(chr, range(0x300, 0x10000)) if unicodedata.category(c) in ("Mn", "Mc"))
+_LETTER = rf"(?:[^\W\d_]|[{_MARKS}])"
 _TITLE = "|".join(t for group in TITLES.values() for t in group)
 PATTERNS = {
     "email": r"[A-Za-z0-9][A-Za-z0-9._%+\-]*@[A-Za-z0-9](?:[A-Za-z0-9\-]*[A-Za-z0-9])?(?:\.[A-Za-z0-9](?:[A-Za-z0-9\-]*[A-Za-z0-9])?)*\.[A-Za-z]{2,}",
@@ -39,7 +49,7 @@ PATTERNS = {
     "card": r"(?<![\w.\-])(?:\d{4}[ \-]?){3}\d{4}(?![\w\-])",
     "ssn": r"(?<![\w\-])\d{3}-\d{2}-\d{4}(?![\w\-])",
     "phone": r"(?<![\w+])(?:\+\d{1,3}[ .\-]?)?(?:\(\d{2,4}\)|\d{2,4})[ .\-]\d{3,4}[ .\-]?\d{3,4}(?![\w\-])",
-    "person": rf"\b(?:{_TITLE})\.?[ ][^\W\d_a-zа-я][^\W\d_]+(?:[ ][^\W\d_a-zа-я][^\W\d_]+)?",
+    "person": rf"\b(?:{_TITLE})\.?[ ][^\W\d_a-zа-я]{_LETTER}+(?:[ ][^\W\d_a-zа-я]{_LETTER}+)?",
 }
 FINDER = re.compile("|".join(f"(?P<{k}>{v})" for k, v in PATTERNS.items()))
 
@@ -68,27 +78,46 @@ def _until(number: int, size: int, key: bytes, fits: Callable[[int], bool]) -> i
             return number
 
 
+_LETTERS = list(CLASSES)
 _CLASS = {c: k for k, letters in enumerate(CLASSES) for c in letters}
 
 
+def _kind(c: str) -> int:
+    """The class of a letter or digit, -1 of anything else; the classes of further scripts are made when first needed."""
+    if c not in _CLASS and len(_LETTERS) == len(CLASSES) and c.isalpha():
+        scripts: dict[str, list[str]] = {}
+        for x in map(chr, range(0x80, 0x32400)):
+            if x.isalpha() and x not in _CLASS and x.casefold() == x and len(x.upper()) == 1 and x.upper().casefold() == x:
+                scripts.setdefault(unicodedata.name(x, "OTHER").split()[0], []).append(x)
+        scripts["OTHER"] = [*scripts.get("OTHER", []), *(x[0] for x in scripts.values() if len(x) == 1)]
+        _LETTERS.extend("".join(scripts[name]) for name in sorted(scripts) if len(scripts[name]) > 1)
+        _CLASS.update({x: k for k, letters in enumerate(_LETTERS) for x in letters})
+    return _CLASS.get(c, -1)
+
+
 def _key(secret: bytes, *parts: object) -> bytes:
     return hashlib.blake2b("\x1f".join(map(str, parts)).encode(), key=secret, digest_size=32).digest()
 
 
-def _letters(text: str, key: bytes) -> str:
-    """Every letter and digit moved within its class, all of them together as one number; the rest stays."""
-    kinds = [_CLASS.get(c, -1) for c in text]
+def _letters(text: str, key: bytes, longer: int = 0) -> str:
+    """Every letter and digit moved within its class, all of them together as one number; the rest stays.
+
+    `longer` more letters, of the largest class that the text has, take part at the end.
+    """
+    if longer:
+        text += max((c for c in text if _kind(c) >= 0), key=lambda c: len(_LETTERS[_kind(c)]), default="b") * longer
+    kinds = [_kind(c) for c in text]
     size, number = 1, 0
     for c, k in zip(text, kinds, strict=True):
         if k >= 0:
-            size, number = size * len(CLASSES[k]), number * len(CLASSES[k]) + CLASSES[k].index(c)
+            size, number = size * len(_LETTERS[k]), number * len(_LETTERS[k]) + _LETTERS[k].index(c)
     shape = "".join("." if k < 0 else chr(97 + k) for k in kinds) + "|" + "".join(c for c, k in zip(text, kinds, strict=True) if k < 0)
     number = _permute(number, size, _key(key, shape))
     out = []
     for c, k in zip(reversed(text), reversed(kinds), strict=True):
         if k >= 0:
-            number, at = divmod(number, len(CLASSES[k]))
-            c = CLASSES[k][at]
+            number, at = divmod(number, len(_LETTERS[k]))
+            c = _LETTERS[k][at]
         out.append(c)
     return "".join(reversed(out))
 
@@ -119,11 +148,11 @@ def canonical(kind: str, found: str) -> str:
     return re.sub(r"[ \-]", "", found)
 
 
-def _person(entity: str, key: bytes) -> str:
+def _person(entity: str, key: bytes, longer: int) -> str:
     """The surname moves by itself, so that a mention without a given name still agrees; a given name stays in its gender's pool."""
     gender, _, name = entity.partition(":")
     *given, surname = name.split()
-    out = [_letters(surname, _key(key, "surname"))]
+    out = [_letters(surname, _key(key, "surname"), longer)]
     for word in given:
         pool = next((p for (g, _), p in GIVEN.items() if gender in ("", g) and word in [x.casefold() for x in p]), None)
         if pool:
@@ -139,27 +168,32 @@ def _range_of(ip: int) -> str:
     return "loopback" if a.is_loopback else "multicast" if a.is_multicast else "reserved" if a.is_reserved else "private" if a.is_private else "global"
 
 
-def surrogate(kind: str, entity: str, secret: bytes, attempt: int = 0) -> str:
-    """The canonical surrogate of a canonical entity: for one secret and attempt, distinct entities get distinct ones."""
+def surrogate(kind: str, entity: str, secret: bytes, attempt: int = 0, longer: int = 0) -> str:
+    """The canonical surrogate of a canonical entity: for one secret and attempt, distinct entities get distinct ones.
+
+    With `longer` it leaves the format, by so many characters; an IPv4 address then becomes an IPv6 one.
+    """
     key = _key(secret, kind, attempt)
     if kind == "email":
         local, _, domain = entity.rpartition("@")
         host, _, top = domain.rpartition(".")
-        return f"{_letters(local, _key(key, 'local'))}@{_letters(host, _key(key, 'host', top))}.{top}"
+        return f"{_letters(local, _key(key, 'local'), longer)}@{_letters(host, _key(key, 'host', top))}.{top}"
     if kind == "ip":
         number = int(ipaddress.ip_address(entity))
+        if longer:
+            return str(ipaddress.IPv6Address((0x20010DB8 << 96) + _permute(number, 1 << 96, key)))
         return str(ipaddress.ip_address(_until(number, 1 << 32, key, lambda i: _range_of(i) == _range_of(number))))
     if kind == "card":
         off = (int(entity[-1]) - _luhn(entity[:-1])) % 10
-        body = entity[0] + _digits(entity[1:-1], _key(key, entity[0], off))
+        body = entity[0] + _digits(entity[1:-1] + "0" * longer, _key(key, entity[0], off))
         return body + str((_luhn(body) + off) % 10)
     if kind == "ssn":
-        return _digits(entity, key, lambda d: (d[:3] in ("000", "666") or d[0] == "9") == (entity[:3] in ("000", "666") or entity[0] == "9"))
+        return _digits(entity + "0" * longer, key, lambda d: (d[:3] in ("000", "666") or d[0] == "9") == (entity[:3] in ("000", "666") or entity[0] == "9"))
     if kind == "phone":
-        return _digits(entity, _key(key, len(entity)), lambda d: (d[0] in "01") == (entity[0] in "01"))
+        return _digits(entity + "0" * longer, _key(key, len(entity)), lambda d: (d[0] in "01") == (entity[0] in "01"))
     if kind == "iban":
-        return entity[:2] + _letters(entity[2:].lower(), _key(key, entity[:2])).upper()
-    return _person(entity, key)
+        return entity[:2] + _letters(entity[2:].lower(), _key(key, entity[:2]), longer).upper()
+    return _person(entity, key, longer)
 
 
 def in_format(kind: str, found: str, replacement: str) -> str:
@@ -179,13 +213,13 @@ def in_format(kind: str, found: str, replacement: str) -> str:
             if skip < 0:
                 c = fresh.pop(0)
         out.append(c)
-    return "".join(out)
+    return "".join(out + fresh)
 
 
 def _cased(new: str, like: str) -> str:
     if len(new) == len(like):
         return "".join(n.upper() if o.isupper() else n for n, o in zip(new, like, strict=True))
-    return new.upper() if like.isupper() else new.capitalize()
+    return new.upper() if like.isupper() else new if like.islower() else new.capitalize()
 
 
 def _gender(found: str) -> str:
@@ -212,8 +246,9 @@ def replace(documents: DataFrame, secret: bytes, attempts: int = 16) -> DataFram
     top domain, cards their first digit and check, addresses their range, phones their prefix, persons
     their title, gender and script. Mentions of one entity get one surrogate in every document, and
     distinct entities distinct ones, since each surrogate is a permutation within its format. A check
-    over all entities of the table draws again, up to `attempts` times, for surrogates that are
-    themselves an entity of the table or equal another one; a clash that still remains raises RuntimeError.
+    over all entities of the table draws again for surrogates that are themselves an entity of the table
+    or equal another one. What still clashes after `attempts` draws leaves its format: each further draw
+    is LONGER characters longer, so that formats most of whose values occur get distinct surrogates too.
     A null text stays null; an empty one has no mentions; rows are neither lost nor merged; columns of the
     new names are replaced; other columns stay; texts are read whole.
     """
@@ -229,7 +264,7 @@ def replace(documents: DataFrame, secret: bytes, attempts: int = 16) -> DataFram
         lists = held.join(redrawn, ["kind", "entity"]).groupBy("texthash").agg(F.collect_set(F.struct("kind", "entity", "attempt")).alias("__again"))
         keyed = keyed.join(lists, F.col("__texthash") == F.col("texthash"), "left").drop("texthash")
     schema = kept.select("*", F.lit(0).cast("bigint").alias("n_entities"), F.expr("cast(map() as map<string,bigint>) as kinds")).schema
-    return keyed.drop("__texthash").mapInArrow(lambda batches: _replaced(batches, secret), schema)
+    return keyed.drop("__texthash").mapInArrow(lambda batches: _replaced(batches, secret, attempts), schema)
 
 
 def _entities(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -246,17 +281,21 @@ def _held(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.string(), pa.string()), strict=True)], ["texthash", "kind", "entity"])
 
 
+def _longer(attempt: int, attempts: int) -> int:
+    return LONGER * max(0, attempt - attempts + 1)
+
+
 def _redrawn(entities: DataFrame, secret: bytes, attempts: int) -> DataFrame | None:
     """(kind, entity, attempt) of the entities whose first surrogate clashes, with the attempt that does not; None without any."""
 
     def draw(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = zip(*(batch[c].to_pylist() for c in ("kind", "entity", "attempt")), strict=True)
-            made = [surrogate(k, e, secret, a) for k, e, a in rows]
+            made = [surrogate(k, e, secret, a, _longer(a, attempts)) for k, e, a in rows]
             yield pa.RecordBatch.from_arrays([batch["kind"], batch["entity"], batch["attempt"], pa.array(made, pa.string())], ["kind", "entity", "attempt", "made"])
 
     drawn = entities.select("kind", "entity", F.lit(0).alias("attempt"))
-    for _ in range(attempts):
+    while True:
         drawn = materialize(drawn.mapInArrow(draw, "kind string, entity string, attempt int, made string"), "drawn")
         taken = drawn.join(entities.select("kind", F.col("entity").alias("made")), ["kind", "made"], "left_semi").select("kind", "entity")
         # Of equal surrogates the earliest attempt, then the smallest entity, keeps it.
@@ -267,18 +306,18 @@ def _redrawn(entities: DataFrame, secret: bytes, attempts: int) -> DataFrame | N
             redrawn = drawn.where("attempt > 0").select("kind", "entity", "attempt")
             return redrawn if redrawn.limit(1).count() else None
         drawn = drawn.join(clash, ["kind", "entity"], "left").select("kind", "entity", (F.col("attempt") + F.coalesce("again", F.lit(0))).cast("int").alias("attempt"))
-    raise RuntimeError(f"surrogates still clash after {attempts} attempts")
 
 
-def _replaced(batches: Iterable[pa.RecordBatch], secret: bytes) -> Iterator[pa.RecordBatch]:
+def _replaced(batches: Iterable[pa.RecordBatch], secret: bytes, attempts: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         texts, counts, kinds = [], [], []
         for text, again in zip(batch["text"].to_pylist(), batch["__again"].to_pylist(), strict=True):
-            attempts = {(x["kind"], x["entity"]): x["attempt"] for x in again or ()}
+            drawn = {(x["kind"], x["entity"]): x["attempt"] for x in again or ()}
             parts, at, met = [], 0, {}
             for kind, m in mentions(text):
                 entity = canonical(kind, m[0])
-                made = surrogate(kind, entity, secret, attempts.get((kind, entity), 0))
+                attempt = drawn.get((kind, entity), 0)
+                made = surrogate(kind, entity, secret, attempt, _longer(attempt, attempts))
                 parts += [text[at : m.start()], in_format(kind, m[0], made)]
                 at, met[kind] = m.end(), met.get(kind, 0) + 1
             texts.append("".join([*parts, text[at:]]) if parts else text)

@@ -3,6 +3,7 @@
 import hashlib
 import math
 import random
+import unicodedata
 
 import numpy as np
 import public_tokenizers
@@ -252,6 +253,19 @@ def test_surrogates_are_consistent_and_distinct(spark):
     assert got[1].split()[-1] == got[2].split()[1].rstrip(";")
 
 
+def test_surrogates_of_every_script_and_of_full_formats(spark):
+    names = ["李明", "김철수", "Παπαδόπουλος", "שרון", "प्रिया", "สมชาย", "佐藤", "さくら", "Գրիգորյան", "Ёжиков"]
+    full = [a + b for a in "BCDFGHJKLMNPQRSTVWXYZ" for b in "aeiou"]
+    texts = [f"Dr {n} wrote" for n in names + full[:-5]]
+    table = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    got = {r.doc_id: r.text for r in surrogates.replace(table, b"k").collect()}
+    made = [got[i].split()[1] for i in range(len(texts))]
+    assert all(got[i] == f"Dr {m} wrote" for i, m in enumerate(made))
+    assert len(set(made)) == len(texts) and not set(made) & {*names, *full[:-5]}
+    script = lambda word: {unicodedata.name(c).split()[0] for c in word}
+    assert all(script(a) == script(b) and len(a) == len(b) for a, b in zip(names, made, strict=False))
+
+
 def test_pipeline_stages(spark, tmp_path):
     folder = "/root/testdata/sf0.001"
     docs = spark.read.parquet(f"{folder}/documents.parquet")
