@@ -7,6 +7,7 @@ import re
 from collections import Counter
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -24,6 +25,14 @@ TREES, DEPTH = 24, 6
 MASK = "[SECRET]"
 
 CANDIDATE = re.compile(r"(?<![A-Za-z0-9+/_\-])[A-Za-z0-9+/_\-]{12,}={0,2}")
+#: Forms that are secrets whatever stands around them, each with a text that it cannot do without.
+FORMS = {
+    "pem": ("-----BEGIN ", re.compile(r"-----BEGIN [A-Z0-9 ]*PRIVATE KEY(?: BLOCK)?-----(?P<secret>(?:[^\-]|-(?!----))++(?=-----END )|(?:(?:\s|\\[nr])*[A-Za-z0-9+/=]{16,})+)")),
+    "jwt": ("eyJ", re.compile(r"(?<![A-Za-z0-9_\-])(?P<secret>eyJ[A-Za-z0-9_\-]{5,}(?:\.[A-Za-z0-9_\-]*){2,4})")),
+    "url": ("://", re.compile(r"://[^\s/:@]*:(?P<secret>[^\s/]+)@")),
+    "issued": ("", re.compile(r"(?<![A-Za-z0-9])(?P<secret>(?:AKIA|ASIA)[A-Z0-9]{16}|gh[pousr]_[A-Za-z0-9]{36}|sk_(?:live|test)_[A-Za-z0-9]{16,}|xox[abprs]-[A-Za-z0-9-]{10,})(?![A-Za-z0-9])")),
+}
+_ISSUERS = re.compile("A[KS]IA|gh[pousr]_|sk_(?:live|test)_|xox[abprs]-")
 _KEY_WORDS = frozenset("password passwd pwd secret token key apikey api_key access_key credential credentials auth bearer private".split())
 _ASSIGNED = re.compile(r"([A-Za-z_\-]{2,40})[\"']?\s*(?:=|:|:=|=>)\s*[\"']?$")
 _WORD = re.compile(r"[a-z]{3,}")
@@ -44,18 +53,42 @@ def dictionary(path: str) -> frozenset[str]:
     return frozenset(p[1:].lower() for p in pieces if p.startswith("▁") and len(p) > 4 and p[1:].isascii() and p[1:].isalpha())
 
 
-def candidates(text: str | None) -> Iterator[re.Match]:
-    """Runs of twelve or more key characters that hold a digit, or capitals inside."""
-    for m in CANDIDATE.finditer(text or ""):
+class Candidate(NamedTuple):
+    """A part of a text: one of FORMS, or a "run" of key characters."""
+
+    start: int
+    end: int
+    form: str
+
+
+def candidates(text: str | None) -> Iterator[Candidate]:
+    """What has one of FORMS, and runs of twelve or more key characters that hold a digit, or capitals inside.
+
+    They come in the order of the text; runs inside of a form are part of it.
+    """
+    text = text or ""
+    found = [
+        Candidate(*m.span("secret"), form)
+        for form, (needed, pattern) in FORMS.items()
+        if (needed in text if needed else _ISSUERS.search(text))
+        for m in pattern.finditer(text)
+    ]
+    outer = 0
+    for m in CANDIDATE.finditer(text):
         run = m[0]
         if any(c.isdigit() for c in run) or sum(a.islower() and b.isupper() for a, b in zip(run, run[1:], strict=False)) >= 2:
-            yield m
+            found.append(Candidate(m.start(), m.end(), "run"))
+    for c in sorted(found, key=lambda c: (c.start, -c.end, c.form == "run")):
+        if c.end > outer or c.form != "run":
+            yield c
+        if c.form != "run":
+            outer = max(outer, c.end)
 
 
-def features(text: str, m: re.Match, words: frozenset[str]) -> list[float]:
+def features(text: str, m: Candidate, words: frozenset[str]) -> list[float]:
     """One number per name in FEATURES, from the candidate and 60 characters on either side."""
-    run, n = m[0], len(m[0])
-    before, after = text[max(0, m.start() - 60) : m.start()], text[m.end() : m.end() + 60]
+    run, n = text[m.start : m.end], m.end - m.start
+    before, after = text[max(0, m.start - 60) : m.start], text[m.end : m.end + 60]
     kinds = ["d" if c.isdigit() else "u" if c.isupper() else "l" if c.islower() else "o" for c in run]
     letters = [c.lower() in _VOWELS for c in run if c.isalpha()]
     counts = Counter(run)
@@ -87,9 +120,10 @@ def _covered(run: str, words: frozenset[str]) -> int:
 def labelled_findings(documents: DataFrame, words: frozenset[str], most: int = LABELLED) -> DataFrame:
     """(label, features) of candidates whose nature their own form settles: at most `most` of either label.
 
-    A finding is true (1) if it has an issuer's key format, or is the value assigned to a key word and
-    mixes digits with letters; it is false (0) if it is only digits, part of an address or path, or stands
-    in running prose. Others stay unlabelled. The choice among all candidates of the table is by a hash.
+    A finding is true (1) if it has one of FORMS, or is the value assigned to a key word and mixes digits
+    with letters; it is false (0) if it is only digits, or if it does not look random and is part of an
+    address or path or stands in running prose. Others stay unlabelled: that nothing near a random value
+    tells its purpose does not make it harmless. The choice among all candidates of the table is by a hash.
     """
     shared = documents.sparkSession.sparkContext.broadcast(words)
 
@@ -100,11 +134,11 @@ def labelled_findings(documents: DataFrame, words: frozenset[str], most: int = L
                 whole = text.as_py()
                 for m in candidates(whole):
                     x = features(whole, m, shared.value)
-                    label = _settled(m[0], x)
+                    label = _settled(m, x)
                     if label is not None:
                         labels.append(label)
                         found.append(x)
-                        runs.append(m[0])
+                        runs.append(whole[m.start : m.end])
             yield pa.RecordBatch.from_arrays([pa.array(labels, pa.float64()), pa.array(found, pa.list_(pa.float64())), pa.array(runs, pa.string())], ["label", "features", "run"])
 
     rows = documents.select(F.col("text").cast("string").alias("text")).where("text is not null").mapInArrow(find, "label double, features array<double>, run string")
@@ -113,14 +147,13 @@ def labelled_findings(documents: DataFrame, words: frozenset[str], most: int = L
     return rows.where("label = 1").orderBy(*order).limit(most).unionByName(rows.where("label = 0").orderBy(*order).limit(most)).select("label", "features")
 
 
-def _settled(run: str, x: list[float]) -> float | None:
+def _settled(m: Candidate, x: list[float]) -> float | None:
     f = dict(zip(FEATURES, x, strict=True))
     mixed = 0 < f["digits"] < 1
-    if re.fullmatch(r"(?:AKIA|ASIA)[A-Z0-9]{16}|gh[pousr]_[A-Za-z0-9]{36}|sk_(?:live|test)_[A-Za-z0-9]{16,}|xox[abprs]-[A-Za-z0-9-]{10,}", run):
-        return 1.0
-    if f["key_word_before"] and mixed and f["entropy"] >= 2.5:
+    if m.form in FORMS or (f["key_word_before"] and mixed and f["entropy"] >= 2.5):
         return 1.0
-    if f["in_address"] or f["in_path"] or f["digits"] == 1 or (not f["assigned"] and not f["key_word_near"]):
+    random = f["entropy"] >= 3 and f["upper"] + f["lower"] > 0 and f["dictionary"] < 0.4
+    if f["digits"] == 1 or (not random and (f["in_address"] or f["in_path"] or (not f["assigned"] and not f["key_word_near"]))):
         return 0.0
     return None
 
@@ -176,8 +209,8 @@ def fit(spark: SparkSession, findings: DataFrame, seed: int = 7) -> Forest:
 def scan(documents: DataFrame, forest: Forest, words: frozenset[str], least: float = 0.5) -> DataFrame:
     """`documents` with secrets masked in text, plus n_candidates and spans (start, end, share) of the secrets.
 
-    A candidate is a secret if the mean share of true findings over the trees is at least `least`. Spans
-    count characters of the original text. A null text stays null and has none; an empty text too. Rows
+    A candidate is a secret if its own form settles that it is one (share 1), or if the mean share of true
+    findings over the trees is at least `least`. Secrets that overlap are one span. Spans count characters of the original text. A null text stays null and has none; an empty text too. Rows
     are neither lost nor merged; columns of the new names are replaced; texts are scanned whole.
     """
     held = documents.sparkSession.sparkContext.broadcast((forest, words))
@@ -190,12 +223,17 @@ def scan(documents: DataFrame, forest: Forest, words: frozenset[str], least: flo
         for batch in batches:
             texts = batch["text"].to_pylist()
             found = [(i, m) for i, t in enumerate(texts) for m in candidates(t)]
-            shares = model.share(np.array([features(texts[i], m, known) for i, m in found], float).reshape(len(found), len(FEATURES)))
+            rows = [features(texts[i], m, known) for i, m in found]
+            shares = model.share(np.array(rows, float).reshape(len(found), len(FEATURES)))
+            shares[[_settled(m, x) == 1 for (_, m), x in zip(found, rows, strict=True)]] = 1
             counts, secrets = [0] * len(texts), [[] for _ in texts]
             for (i, m), share in zip(found, shares, strict=True):
                 counts[i] += 1
-                if share >= least:
-                    secrets[i].append({"start": m.start(), "end": m.end(), "share": float(share)})
+                if share >= least and secrets[i] and m.start < secrets[i][-1]["end"]:
+                    last = secrets[i][-1]
+                    last["end"], last["share"] = max(last["end"], m.end), max(last["share"], float(share))
+                elif share >= least:
+                    secrets[i].append({"start": m.start, "end": m.end, "share": float(share)})
             columns = {name: batch[name] for name in batch.schema.names}
             columns["text"] = pa.array([masked(t, s) for t, s in zip(texts, secrets, strict=True)], batch.schema.field("text").type)
             columns["n_candidates"], columns["secrets"] = pa.array(counts, pa.int64()), pa.array(secrets, kind)
