@@ -33,6 +33,16 @@ FORMS = {
     "issued": ("", re.compile(r"(?<![A-Za-z0-9])(?P<secret>(?:AKIA|ASIA)[A-Z0-9]{16}|gh[pousr]_[A-Za-z0-9]{36}|sk_(?:live|test)_[A-Za-z0-9]{16,}|xox[abprs]-[A-Za-z0-9-]{10,})(?![A-Za-z0-9])")),
 }
 _ISSUERS = re.compile("A[KS]IA|gh[pousr]_|sk_(?:live|test)_|xox[abprs]-")
+#: A value assigned to a name that ends with or holds a key word: quoted, or up to white space or the next name.
+ASSIGNMENT = re.compile(
+    r"(?:passw(?:or)?d|passphrase|pwd|secret|token|credential|(?<![a-z])auth(?!or(?!iz))|bearer|private|(?:(?<![a-z])|api|access|private|secret|auth|signing|encryption|master|client)key)"
+    r"[a-z0-9_.\-]{0,40}[\\\"'\]]*\s*(?::=|=>|=(?!=)|:(?!:|//))\s*(?:(?:bearer|basic|token)\s+)?"
+    r"(?:\"(?P<double>(?:[^\"\\\n]|\\.)+)\"|'(?P<single>(?:[^'\\\n]|\\.)+)'|(?P<bare>(?:(?![&;,][\w.\-]+[=:])\S)+))",
+    re.IGNORECASE,
+)
+#: Values that name a secret without being one: variables, placeholders, calls, constants.
+_REFERENCE = re.compile(r"\$.*|<.*>|\{\{.*|%\(?\w*\)?s|[*xX.•\-_]+|(?:none|null|nil|true|false|undefined|required|optional|string|str|text)|[A-Za-z_]\w*(?:\.[A-Za-z_]\w*)+|[A-Za-z_][\w.]*[(\[].*", re.IGNORECASE)
+_PASSWORDS = re.compile(r"passw|passphrase|pwd|secret|credential", re.IGNORECASE)
 _KEY_WORDS = frozenset("password passwd pwd secret token key apikey api_key access_key credential credentials auth bearer private".split())
 _ASSIGNED = re.compile(r"([A-Za-z_\-]{2,40})[\"']?\s*(?:=|:|:=|=>)\s*[\"']?$")
 _WORD = re.compile(r"[a-z]{3,}")
@@ -54,17 +64,22 @@ def dictionary(path: str) -> frozenset[str]:
 
 
 class Candidate(NamedTuple):
-    """A part of a text: one of FORMS, or a "run" of key characters."""
+    """A part of a text: one of FORMS, a value "assigned" to a key word, or a "run" of key characters."""
 
     start: int
     end: int
     form: str
+    #: Of assigned values: whether they are given to a password, and whether they only refer to one.
+    password: bool = False
+    reference: bool = False
 
 
 def candidates(text: str | None) -> Iterator[Candidate]:
-    """What has one of FORMS, and runs of twelve or more key characters that hold a digit, or capitals inside.
+    """What has one of FORMS, runs of twelve or more key characters that hold a digit, or capitals inside, and
+    whole values assigned to key words, whatever their characters and length.
 
-    They come in the order of the text; runs inside of a form are part of it.
+    They come in the order of the text; runs and values inside of a form are part of it, and a value that is
+    a run counts once.
     """
     text = text or ""
     found = [
@@ -73,18 +88,39 @@ def candidates(text: str | None) -> Iterator[Candidate]:
         if (needed in text if needed else _ISSUERS.search(text))
         for m in pattern.finditer(text)
     ]
-    outer = 0
+    found += _assigned(text)
+    outer, given = 0, {(c.start, c.end) for c in found if c.form == "assigned"}
     for m in CANDIDATE.finditer(text):
         run = m[0]
         if any(c.isdigit() for c in run) or sum(a.islower() and b.isupper() for a, b in zip(run, run[1:], strict=False)) >= 2:
-            found.append(Candidate(m.start(), m.end(), "run"))
-    for c in sorted(found, key=lambda c: (c.start, -c.end, c.form == "run")):
-        if c.end > outer or c.form != "run":
+            if m.span() not in given:
+                found.append(Candidate(m.start(), m.end(), "run"))
+    for c in sorted(found, key=lambda c: (c.start, c.form not in FORMS, -c.end)):
+        if c.end > outer or c.form in FORMS:
             yield c
-        if c.form != "run":
+        if c.form in FORMS:
             outer = max(outer, c.end)
 
 
+def _assigned(text: str) -> Iterator[Candidate]:
+    if "=" not in text and ":" not in text:
+        return
+    at = 0
+    while m := ASSIGNMENT.search(text, at):
+        start, end = m.span(m.lastgroup)
+        if m.lastgroup == "bare":
+            # Quotes that do not close, and what ends a list or a sentence, are no part of the value.
+            start += len(m["bare"]) - len(m["bare"].lstrip("\\\"'`"))
+            end -= len(m["bare"]) - len(m["bare"].rstrip("\\\"'`,;.)]}>"))
+        # A value may itself hold an assignment, as in "secrets: token=...".
+        at = m.start(m.lastgroup)
+        if start < end:
+            value, name = text[start:end], text[m.start() : m.start(m.lastgroup)]
+            reference = bool(_REFERENCE.fullmatch(value)) or (value.replace("_", "").isalpha() and any(k in value.lower() for k in _KEY_WORDS))
+            firm = m.lastgroup != "bare" or "=" in name or not value.isalpha()
+            yield Candidate(start, end, "assigned", firm and len(value) >= 4 and not re.search(r"\s", value) and not reference and bool(_PASSWORDS.search(name)), reference)
+
+
 def features(text: str, m: Candidate, words: frozenset[str]) -> list[float]:
     """One number per name in FEATURES, from the candidate and 60 characters on either side."""
     run, n = text[m.start : m.end], m.end - m.start
@@ -93,14 +129,14 @@ def features(text: str, m: Candidate, words: frozenset[str]) -> list[float]:
     letters = [c.lower() in _VOWELS for c in run if c.isalpha()]
     counts = Counter(run)
     assigned = _ASSIGNED.search(before)
-    named = assigned[1].lower() if assigned else ""
+    named = "key" if m.form == "assigned" else assigned[1].lower() if assigned else ""
     near = set(re.findall(r"[a-z_]+", before.lower())[-4:]) | set(re.findall(r"[a-z_]+", after.lower())[:2])
     return [
         n, -sum(c / n * math.log2(c / n) for c in counts.values()), kinds.count("d") / n, kinds.count("u") / n, kinds.count("l") / n,
         sum(c in "0123456789abcdefABCDEF" for c in run) / n, sum(a != b for a, b in zip(kinds, kinds[1:], strict=False)) / n,
         sum(a != b for a, b in zip(letters, letters[1:], strict=False)) / max(1, len(letters)), _covered(run.lower(), words) / n,
         float("/" in run or before[-1:] in ("/", "\\") or after[:1] in ("/", "\\")), float(before[-1:] in ("@", ".") or after[:1] == "@"),
-        float(before[-1:] in ("'", '"') and after[:1] == before[-1:]), float(assigned is not None),
+        float(before[-1:] in ("'", '"') and after[:1] == before[-1:]), float(assigned is not None or m.form == "assigned"),
         float(any(k in named for k in _KEY_WORDS)), float(bool(near & _KEY_WORDS)), max(map(len, re.findall(r"\d+", run)), default=0),
     ]
 
@@ -121,7 +157,8 @@ def labelled_findings(documents: DataFrame, words: frozenset[str], most: int = L
     """(label, features) of candidates whose nature their own form settles: at most `most` of either label.
 
     A finding is true (1) if it has one of FORMS, or is the value assigned to a key word and mixes digits
-    with letters; it is false (0) if it is only digits, or if it does not look random and is part of an
+    with letters, or a single word of four characters or more given to a password; it is false (0) if it is
+    a reference (a variable, a placeholder, a call), only digits and no assigned value, or if it does not look random and is part of an
     address or path or stands in running prose. Others stay unlabelled: that nothing near a random value
     tells its purpose does not make it harmless. The choice among all candidates of the table is by a hash.
     """
@@ -150,10 +187,12 @@ def labelled_findings(documents: DataFrame, words: frozenset[str], most: int = L
 def _settled(m: Candidate, x: list[float]) -> float | None:
     f = dict(zip(FEATURES, x, strict=True))
     mixed = 0 < f["digits"] < 1
-    if m.form in FORMS or (f["key_word_before"] and mixed and f["entropy"] >= 2.5):
+    if m.reference:
+        return 0.0
+    if m.form in FORMS or m.password or (f["key_word_before"] and mixed and f["entropy"] >= 2.5):
         return 1.0
     random = f["entropy"] >= 3 and f["upper"] + f["lower"] > 0 and f["dictionary"] < 0.4
-    if f["digits"] == 1 or (not random and (f["in_address"] or f["in_path"] or (not f["assigned"] and not f["key_word_near"]))):
+    if (f["digits"] == 1 and m.form == "run") or (not random and (f["in_address"] or f["in_path"] or (not f["assigned"] and not f["key_word_near"]))):
         return 0.0
     return None
 

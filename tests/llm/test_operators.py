@@ -260,6 +260,21 @@ def test_secrets_of_every_form_are_masked(spark):
         assert secrets._settled(c, secrets.features(text, c, words)) is None
 
 
+def test_assigned_values_are_masked_whole(spark):
+    r = random.Random(6)
+    texts = [f'the token = "{r.getrandbits(160):040x}" of it' for _ in range(40)] + [f"call {r.randint(10**15, 10**16)} at home" for _ in range(40)]
+    values = [
+        ('password = "hunter2!x9"', 'password = "[SECRET]"'), ('password="Tr0ub4dor&3zz" x', 'password="[SECRET]" x'), ("db_password=correcthorsebatterystaple", "db_password=[SECRET]"),
+        ("{'apiKey': 'a1!b2?c3'}", "{'apiKey': '[SECRET]'}"), ('"secret": "two wo4ds!" and', '"secret": "[SECRET]" and'), ("PASSWORD2=p4$$w, next", "PASSWORD2=[SECRET], next"),
+        ("Authorization: Bearer ab1-x~9z end", "Authorization: Bearer [SECRET] end"), ("secrets: token=zx9!kk4 end", "secrets: [SECRET] end"), ("pwd: 'ünïcödé'", "pwd: '[SECRET]'"),
+        ("/x?password=a%b1&user=bob", "/x?password=[SECRET]&user=bob"), ("password: 48151623", "password: [SECRET]"),
+    ]
+    kept = ["password = ${DB_PASSWORD}", "password=get_password(user)", "monkey: banana1", "author: smith2020"]
+    table = spark.createDataFrame(list(enumerate([*texts, *(v for v, _ in values), *kept])), "doc_id bigint, text string")
+    got = [r.text for r in secrets.scan_with_own_findings(table, public_tokenizers.path("piece_bpe_32k.model")).orderBy("doc_id").collect()]
+    assert got[80 : 80 + len(values)] == [w for _, w in values] and got[80 + len(values) :] == kept and got[40:80] == texts[40:]
+
+
 def test_surrogates_are_consistent_and_distinct(spark):
     texts = ["Mail Bob.7@x.org, bob.7@X.org or +1 (446) 555-8962", "446-555-8962 and 10.0.0.3, Mrs Anna Smith", "Mrs Smith; 4207051279108084", None, "", *[f"10.0.1.{i} u{i}@x.org" for i in range(200)]]
     table = spark.createDataFrame([(i, t, "clash") for i, t in enumerate(texts)], "doc_id bigint, text string, kinds string")
