@@ -8,10 +8,14 @@ import re
 import unicodedata
 from collections.abc import Callable, Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import xxhash
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from statloom.llm.bitmaps import BITS, spread
 from statloom.session import materialize
 
 #: Rounds of the keyed permutation.
@@ -41,17 +45,52 @@ LONGER = 4
 
 _MARKS = "".join(c for c in map(chr, range(0x300, 0x10000)) if unicodedata.category(c) in ("Mn", "Mc"))
 _LETTER = rf"(?:[^\W\d_]|[{_MARKS}])"
+_INITIALS = "".join(sorted({t[0] for group in TITLES.values() for t in group}))
 _TITLE = "|".join(t for group in TITLES.values() for t in group)
+_CAPITAL = rf"[^\W\d_a-zа-я]{_LETTER}+"
+#: Characters of an IBAN after its check digits, by country (the public register).
+IBAN_LENGTHS = {
+    11: "NO", 12: "BE", 14: "DK FI FK FO GL NL SD", 15: "MK SI", 16: "AT BA EE KZ LT LU MN XK", 17: "CH CR HR LI LV", 18: "BG BH DE GB GE IE ME RS VA",
+    19: "AE GI IL IQ OM SO TL", 20: "AD CZ DZ ES MD PK RO SA SE SK TN TR VG", 21: "LY PT ST", 22: "IS IT SM", 23: "AO BF BI CG CM DJ FR GA GR HN MC MG MR MZ SN TF",
+    24: "AL AZ BJ BY CI CV CY DO EG GT GW HU KM LB MA ML NE NI PL PM PS SV TD TG UA WF YT", 25: "BR JO KW MU QA", 27: "MT SC YE", 28: "LC", 29: "RU",
+}
+#: Country codes of telephone numbers of one and two digits; all others have three (fixed values).
+COUNTRY_CODES = frozenset("1 7 20 27 30 31 32 33 34 36 39 40 41 43 44 45 46 47 48 49 51 52 53 54 55 56 57 58 60 61 62 63 64 65 66 81 82 84 86 90 91 92 93 94 95 98".split())
+
+_IBAN = "|".join(rf"(?:{'|'.join(codes.split())})\d{{2}}(?: ?[A-Z0-9]){{{n}}}" for n, codes in IBAN_LENGTHS.items())
+#: As before the area code a country code; E.164 without separators; groups after a country code; pairs of
+#: digits; an area code in brackets; ten digits, or eleven after a trunk zero.
+_PHONES = [
+    r"(?:\+\d{1,3}[ .\-]?)?(?:\(\d{2,4}\)|\d{2,4})[ .\-]\d{3,4}[ .\-]?\d{3,4}",
+    r"(?:\+|00)[1-9]\d{6,14}",
+    r"(?:\+|00)[1-9]\d{0,2}(?:[ .\-]?\(\d{1,5}\))?(?:[ .\-]?\d{1,5}){2,6}",
+    r"\d{2}(?P<gap>[ .\-])\d{2}(?:(?P=gap)\d{2}){2,4}",
+    r"(?:\d[ .\-])?\(\d{2,5}\)[ .\-]?\d{2,4}(?:[ .\-]?\d{2,4}){1,3}",
+    r"[2-9]\d{9}|1[2-9]\d{9}|0[1-9]\d{8,9}",
+]
+#: The part of a name before an underscore is the kind.
 PATTERNS = {
     "email": r"[A-Za-z0-9][A-Za-z0-9._%+\-]*@[A-Za-z0-9](?:[A-Za-z0-9\-]*[A-Za-z0-9])?(?:\.[A-Za-z0-9](?:[A-Za-z0-9\-]*[A-Za-z0-9])?)*\.[A-Za-z]{2,}",
-    "iban": r"\b[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?\b(?<=\d)",
+    "iban": rf"\b(?=[A-Z]{{2}}\d{{2}})(?:{_IBAN}|[A-Z]{{2}}\d{{2}}(?: ?[A-Z0-9]{{4}}){{2,7}}(?: ?[A-Z0-9]{{1,3}})?)(?![A-Za-z0-9])",
     "ip": r"(?<![\d.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?![\d]|\.\d)",
+    "card_long": r"(?<![\w.\-+])(?:[2-6]\d{3}(?P<hyphen>[ \-])(?:\d{4}(?P=hyphen)){3}\d{3}|3\d{3}[ \-]\d{6}[ \-]\d{4,5}|[2-6]\d{12,14}|[2-6]\d{16,18})(?![\w\-])",
     "card": r"(?<![\w.\-])(?:\d{4}[ \-]?){3}\d{4}(?![\w\-])",
     "ssn": r"(?<![\w\-])\d{3}-\d{2}-\d{4}(?![\w\-])",
-    "phone": r"(?<![\w+])(?:\+\d{1,3}[ .\-]?)?(?:\(\d{2,4}\)|\d{2,4})[ .\-]\d{3,4}[ .\-]?\d{3,4}(?![\w\-])",
-    "person": rf"\b(?:{_TITLE})\.?[ ][^\W\d_a-zа-я]{_LETTER}+(?:[ ][^\W\d_a-zа-я]{_LETTER}+)?",
+    "phone": rf"(?<![\w+])(?=[\d+(])(?:{'|'.join(_PHONES)})(?![\w\-])",
+    "person": rf"\b(?=[{_INITIALS}])(?:{_TITLE})\.?[ ]{_CAPITAL}(?:[ ]{_CAPITAL})?",
+    "ip_six": r"(?<![\w:.])(?:[0-9A-Fa-f]{0,4}:){2,7}(?:(?:\d{1,3}\.){3}\d{1,3}|[0-9A-Fa-f]{1,4}|(?<=::))(?![\w:])",
 }
-FINDER = re.compile("|".join(f"(?P<{k}>{v})" for k, v in PATTERNS.items()))
+_SINGLE = {k: re.compile(v) for k, v in PATTERNS.items()}
+FINDER = re.compile("|".join(f"(?P<{k}>{v})" for k, v in PATTERNS.items() if k != "ip_six"))
+FINDER_SIX = re.compile("|".join(f"(?P<{k}>{v})" for k, v in PATTERNS.items()))
+#: Given names of the pools, folded, and the pool of each.
+POOLS = {name.casefold(): [x.casefold() for x in pool] for pool in GIVEN.values() for name in pool}
+_WORDS = re.compile(rf"(?<![^\W_]){_CAPITAL}")
+#: A name of several words without a title: given names of the pools, then another word.
+_GIVEN = "|".join(name for pool in GIVEN.values() for name in pool)
+_FULL = re.compile(rf"(?:(?:{_GIVEN})[ ])+{_CAPITAL}")
+_ANY_WORD = re.compile(rf"(?<![^\W_])[^\W\d_]{_LETTER}+")
+_PAIR = re.compile(rf"({_CAPITAL})[ ]({_CAPITAL})")
 
 
 def _permute(number: int, size: int, key: bytes) -> int:
@@ -134,33 +173,86 @@ def _luhn(digits: str) -> int:
     return -total % 10
 
 
+def _national(found: str) -> str:
+    """A telephone number without country code and trunk zero."""
+    digits = re.sub(r"\D", "", found.replace("(0)", ""))
+    if found[0] == "+" or (digits[:2] == "00" and len(digits) > 10):
+        digits = digits[2:] if found[0] != "+" else digits
+        digits = digits[next((n for n in (1, 2) if digits[:n] in COUNTRY_CODES), 3) :]
+    elif len(digits) == 11 and digits[0] == "1":
+        digits = digits[1:]
+    return digits[1:] if digits[0] == "0" else digits
+
+
 def canonical(kind: str, found: str) -> str:
     """What two mentions of one entity have in common."""
     if kind == "email":
         return found.lower()
     if kind == "phone":
-        digits = re.sub(r"\D", "", found)
-        return digits[-10:] if len(digits) >= 10 else digits
+        return _national(found)
     if kind == "person":
-        return f"{_gender(found)}:{' '.join(found.split()[1:]).casefold()}" if len(found.split()) > 2 else f":{found.split()[1].casefold()}"
+        names = _names(found)
+        if names == [found] and found.casefold() in POOLS:
+            return f"?:{found.casefold()}"
+        return f"{_gender(found) if len(names) > 1 else ''}:{' '.join(names).casefold()}"
     if kind == "ip":
-        return str(ipaddress.ip_address(".".join(str(int(x)) for x in found.split("."))))
+        return str(ipaddress.ip_address(found if ":" in found else ".".join(str(int(x)) for x in found.split("."))))
     return re.sub(r"[ \-]", "", found)
 
 
-def _person(entity: str, key: bytes, longer: int) -> str:
-    """The surname moves by itself, so that a mention without a given name still agrees; a given name stays in its gender's pool."""
+def _names(found: str) -> list[str]:
+    """The words of a mention of a person without the title."""
+    words = found.split()
+    return words[1:] if words[0].rstrip(".") in _GENDERS and len(words) > 1 else words
+
+
+def _valid(kind: str, found: str) -> bool:
+    """What a pattern cannot tell: check digits, numbers of digits, addresses."""
+    if kind == "iban":
+        whole = found.replace(" ", "")
+        return whole[2:4] == _iban_check(whole[:2], whole[4:])
+    if kind == "card_long":
+        digits = re.sub(r"\D", "", found)
+        return _luhn(digits[:-1]) == int(digits[-1])
+    if kind == "phone":
+        return sum(c.isdigit() for c in found) <= (17 if found.startswith("00") else 16 if "(0)" in found else 15) and len(_national(found)) >= 5
+    if kind == "ip_six":
+        try:
+            # One group of letters before or after two colons is a name in some code.
+            return int(ipaddress.IPv6Address(found)) > 0 and (any(c.isdigit() for c in found) or len(re.findall(r"\w+", found)) > 1)
+        except ValueError:
+            return False
+    return True
+
+
+def _iban_check(country: str, account: str) -> str:
+    return f"{98 - int(''.join(str(int(c, 36)) for c in f'{account}{country}00')) % 97:02d}"
+
+
+def parts(kind: str, entity: str) -> list[tuple[str, str]]:
+    """The entities that get a surrogate of their own: of a person every word but given names of the pools."""
+    if kind != "person":
+        return [(kind, entity)]
+    gender, _, name = entity.partition(":")
+    *given, surname = name.split()
+    if gender == "?":
+        return []
+    return [("name", x) for x in given if x not in POOLS] + [("name", surname)]
+
+
+def _pooled(word: str, secret: bytes) -> str:
+    """Another given name of the same pool, the next one in an order by the key."""
+    order = sorted(POOLS[word], key=lambda x: _key(secret, "given", x))
+    return order[(order.index(word) + 1) % len(order)]
+
+
+def person(entity: str, secret: bytes, surrogate_of: Callable[[str], str]) -> str:
+    """Every word of a name moves by itself, so that mentions of some of them agree; given names stay in their pool."""
     gender, _, name = entity.partition(":")
     *given, surname = name.split()
-    out = [_letters(surname, _key(key, "surname"), longer)]
-    for word in given:
-        pool = next((p for (g, _), p in GIVEN.items() if gender in ("", g) and word in [x.casefold() for x in p]), None)
-        if pool:
-            at = [x.casefold() for x in pool].index(word)
-            out.insert(0, pool[_permute(at, len(pool), _key(key, "given", pool[0]))].casefold())
-        else:
-            out.insert(0, _letters(word, _key(key, "given")))
-    return f"{gender}:{' '.join(out)}"
+    if gender == "?":
+        return f"?:{_pooled(surname, secret)}"
+    return f"{gender}:{' '.join([*(_pooled(x, secret) if x in POOLS else surrogate_of(x) for x in given), surrogate_of(surname)])}"
 
 
 def _range_of(ip: int) -> str:
@@ -180,8 +272,10 @@ def surrogate(kind: str, entity: str, secret: bytes, attempt: int = 0, longer: i
         return f"{_letters(local, _key(key, 'local'), longer)}@{_letters(host, _key(key, 'host', top))}.{top}"
     if kind == "ip":
         number = int(ipaddress.ip_address(entity))
+        if ":" in entity:
+            return str(ipaddress.IPv6Address((number >> 112 << 112) + _permute(number & ((1 << 112) - 1), 1 << 112, _key(key, number >> 112))))
         if longer:
-            return str(ipaddress.IPv6Address((0x20010DB8 << 96) + _permute(number, 1 << 96, key)))
+            return str(ipaddress.IPv6Address((0x20010DB8 << 96) + _permute(number, 1 << 96, _key(key, "longer"))))
         return str(ipaddress.ip_address(_until(number, 1 << 32, key, lambda i: _range_of(i) == _range_of(number))))
     if kind == "card":
         off = (int(entity[-1]) - _luhn(entity[:-1])) % 10
@@ -190,21 +284,30 @@ def surrogate(kind: str, entity: str, secret: bytes, attempt: int = 0, longer: i
     if kind == "ssn":
         return _digits(entity + "0" * longer, key, lambda d: (d[:3] in ("000", "666") or d[0] == "9") == (entity[:3] in ("000", "666") or entity[0] == "9"))
     if kind == "phone":
-        return _digits(entity + "0" * longer, _key(key, len(entity)), lambda d: (d[0] in "01") == (entity[0] in "01"))
+        return _digits(entity + "0" * longer, _key(key, len(entity)), lambda d: "01".find(d[0]) == "01".find(entity[0]))
     if kind == "iban":
-        return entity[:2] + _letters(entity[2:].lower(), _key(key, entity[:2]), longer).upper()
-    return _person(entity, key, longer)
+        account = _letters(entity[4:].lower(), _key(key, entity[:2]), longer).upper()
+        return f"{entity[:2]}{_iban_check(entity[:2], account)}{account}"
+    if kind == "person":
+        return person(entity, secret, lambda word: surrogate("name", word, secret, attempt, longer))
+    fits = (lambda x: x not in POOLS) if entity not in POOLS else (lambda x: True)
+    while (entity := _letters(entity, key, longer)) and not fits(entity):
+        longer = 0
+    return entity
 
 
 def in_format(kind: str, found: str, replacement: str) -> str:
     """The replacement written as the mention was: its separators, prefixes, title and capitals."""
     if kind == "person":
-        title, old, new = found.split()[0], found.split()[1:], replacement.partition(":")[2].split()
-        return " ".join([title, *(_cased(n, o) for n, o in zip(new, old, strict=True))])
+        old, new = _names(found), replacement.partition(":")[2].split()
+        return " ".join([*found.split()[: -len(old)], *(_cased(n, o) for n, o in zip(new, old, strict=True))])
     if kind == "email":
         return _cased(replacement, found)
     if kind == "ip":
         return replacement
+    if kind == "phone" and "(0)" in found:
+        at = found.index("(0)") + 3
+        return found[:at] + in_format(kind, found[at:], replacement)
     fresh, out = list(replacement), []
     skip = sum(c.isalnum() for c in found) - len(fresh)
     for c in found:
@@ -222,45 +325,100 @@ def _cased(new: str, like: str) -> str:
     return new.upper() if like.isupper() else new if like.islower() else new.capitalize()
 
 
+_GENDERS = {title: gender for gender, titles in TITLES.items() for title in titles}
+
+
 def _gender(found: str) -> str:
-    title = found.split()[0].rstrip(".")
-    return next(g for g, titles in TITLES.items() if title in titles)
+    return _GENDERS.get(found.split()[0].rstrip("."), "")
 
 
 _DIGIT = re.compile(r"\d").search
+_COLONS = re.compile(r"(?<!\w)[0-9A-Fa-f]{0,4}:[0-9A-Fa-f]{0,4}:").search
 _TITLES = [f"{t}{end}" for group in TITLES.values() for t in group for end in (" ", ". ")]
+_POOL_NAMES = [name for pool in GIVEN.values() for name in pool]
+
 
+def mentions(text: str | None, known: frozenset[str] = frozenset()) -> Iterator[tuple[str, re.Match]]:
+    """(kind, match) from left to right; `known` are folded words of names that count without a title too.
 
-def mentions(text: str | None) -> Iterator[tuple[str, re.Match]]:
-    """(kind, match) from left to right. Every pattern needs an @, a digit or a title; texts without any hold none."""
-    if text and ("@" in text or _DIGIT(text) or any(t in text for t in _TITLES)):
-        for m in FINDER.finditer(text):
-            yield m.lastgroup, m
+    Every pattern needs an @, a digit, two colons or a title; texts without any hold none.
+    """
+    if not text:
+        return
+    at = 0
+    colons = _COLONS(text) is not None
+    for kind, m in _patterned(text, FINDER_SIX if colons else FINDER) if "@" in text or _DIGIT(text) or colons or any(t in text for t in _TITLES) else ():
+        yield from _untitled(text, at, m.start(), known)
+        yield kind, m
+        at = m.end()
+    yield from _untitled(text, at, len(text), known)
+
+
+def _patterned(text: str, finder: re.Pattern) -> Iterator[tuple[str, re.Match]]:
+    at = 0
+    while m := finder.search(text, at):
+        name = m.lastgroup
+        if not _valid(name, m[0]):
+            # What the first pattern claims may still have the form of a later one.
+            names = list(_SINGLE)
+            later = ((k, _SINGLE[k].match(text, m.start())) for k in names[names.index(name) + 1 :])
+            name, m = next(((k, x) for k, x in later if x and _valid(k, x[0])), (None, m))
+        if name:
+            yield name.partition("_")[0], m
+        at = m.end() if name else m.start() + 1
+
+
+def _untitled(text: str, start: int, end: int, known: frozenset[str]) -> Iterator[tuple[str, re.Match]]:
+    """Names without a title between two places: given names of the pools with a capitalized word after them, and known words."""
+    if not known and not any(text.find(name, start, end) >= 0 for name in _POOL_NAMES):
+        return
+    at = start
+    while m := _WORDS.search(text, at, end):
+        word = m[0].casefold()
+        full = word in POOLS and _FULL.match(text, m.start(), end)
+        pair = word in known and _PAIR.match(text, m.start(), end)
+        if full:
+            m = full
+        elif pair and pair[2].casefold() in known:
+            m = pair
+        if m is full or m is pair or word in known:
+            yield "person", m
+        at = m.end()
 
 
 def replace(documents: DataFrame, secret: bytes, attempts: int = 16) -> DataFrame:
     """`documents` with surrogates in text, plus n_entities (mentions) and kinds (kind, mentions) sorted by kind.
 
-    A mention of an e-mail, IBAN, IP, card, social security or phone number, or of a person behind a
-    title, is replaced by a keyed surrogate of the same type and format: e-mails keep their shape and
-    top domain, cards their first digit and check, addresses their range, phones their prefix, persons
-    their title, gender and script. Mentions of one entity get one surrogate in every document, and
-    distinct entities distinct ones, since each surrogate is a permutation within its format. A check
+    A mention of an e-mail, IBAN, IP, card, social security or phone number, or of a person, is replaced by a
+    keyed surrogate of the same type and format: e-mails keep their shape and top domain, cards their first
+    digit and check, IBANs their country, addresses their range, phones their prefix, persons their title,
+    gender and script. Persons are found behind a title, after a given name of the pools, and wherever a
+    word stands alone that some title of the table names and that the table has capitalized at least as
+    often as not. Mentions of one entity get one surrogate in every document, and distinct entities distinct
+    ones, since each surrogate is a permutation within its format; every word of a name has its own. A check
     over all entities of the table draws again for surrogates that are themselves an entity of the table
-    or equal another one. What still clashes after `attempts` draws leaves its format: each further draw
-    is LONGER characters longer, so that formats most of whose values occur get distinct surrogates too.
+    or equal another one (given names of the pools apart, which stay in them). What still clashes after
+    `attempts` draws leaves its format: each further draw is LONGER characters longer, so that formats most
+    of whose values occur get distinct surrogates too.
     A null text stays null; an empty one has no mentions; rows are neither lost nor merged; columns of the
     new names are replaced; other columns stay; texts are read whole.
     """
     kept = documents.drop("n_entities", "kinds")
-    entities = kept.select(F.col("text").cast("string").alias("text")).mapInArrow(_entities, "kind string, entity string").distinct()
-    entities = materialize(entities, "entities")
+    found = kept.select(F.col("text").cast("string").alias("text")).mapInArrow(_entities, "kind string, entity string").distinct()
+    found = materialize(found, "entities")
+    entities, titled = found.where("kind <> 'known'"), found.where("kind = 'known'").select(F.col("entity").alias("word"))
     redrawn = _redrawn(entities, secret, attempts)
     keyed = kept.withColumn("__texthash", F.xxhash64(F.col("text").cast("string")))
+    texts = keyed.select(F.col("text").cast("string").alias("text"), "__texthash")
+    words = _known(texts, titled) if titled.limit(1).count() else None
+    if words is not None:
+        keyed = keyed.join(words, F.col("__texthash") == F.col("texthash"), "left").drop("texthash")
+    else:
+        keyed = keyed.withColumn("__known", F.lit(None).cast("array<string>"))
     if redrawn is None:
         keyed = keyed.withColumn("__again", F.lit(None).cast("array<struct<kind:string,entity:string,attempt:int>>"))
     else:
-        held = keyed.select(F.col("text").cast("string").alias("text"), "__texthash").mapInArrow(_held, "texthash bigint, kind string, entity string").distinct()
+        held = keyed.select(F.col("text").cast("string").alias("text"), "__texthash", "__known").mapInArrow(_held, "texthash bigint, kind string, entity string").distinct()
         lists = held.join(redrawn, ["kind", "entity"]).groupBy("texthash").agg(F.collect_set(F.struct("kind", "entity", "attempt")).alias("__again"))
         keyed = keyed.join(lists, F.col("__texthash") == F.col("texthash"), "left").drop("texthash")
     schema = kept.select("*", F.lit(0).cast("bigint").alias("n_entities"), F.expr("cast(map() as map<string,bigint>) as kinds")).schema
@@ -268,15 +426,53 @@ def replace(documents: DataFrame, secret: bytes, attempts: int = 16) -> DataFram
 
 
 def _entities(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(kind, entity) of what gets a surrogate, and of kind "known" the words that count without a title too."""
     for batch in batches:
-        found = {(k, canonical(k, m[0])) for t in batch["text"] for k, m in mentions(t.as_py())}
+        found = set()
+        for t in batch["text"]:
+            for k, m in mentions(t.as_py()):
+                entity = canonical(k, m[0])
+                found.update(parts(k, entity))
+                if k == "person":
+                    titled = m[0].split()[0].rstrip(".") in _GENDERS
+                    found.update(("known", x) for x in entity.partition(":")[2].split() if titled or x in POOLS)
         columns = list(zip(*sorted(found), strict=True)) or [(), ()]
         yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in columns], ["kind", "entity"])
 
 
+def _known(texts: DataFrame, titled: DataFrame) -> DataFrame:
+    """(texthash, __known): the words of a text that titles name, of those the table has capitalized at least as often as not."""
+    may: Broadcast = spread(titled.select(F.xxhash64("word").alias("hash")), "hash")
+
+    def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits, met = may.value, {}
+        for batch in batches:
+            rows = []
+            for texthash, text in zip(batch["__texthash"].to_pylist(), batch["text"].to_pylist(), strict=True):
+                seen: dict[str, list[int]] = {}
+                for word in _ANY_WORD.findall(text or ""):
+                    if word not in met:
+                        if len(met) >= 1 << 18:
+                            met.clear()
+                        at = xxhash.xxh64_intdigest(word.casefold().encode(), seed=42) & (BITS - 1)
+                        met[word] = (word.casefold(), int(word[0].islower())) if bits[at >> 3] >> np.uint8(at & 7) & 1 else None
+                    if met[word]:
+                        seen.setdefault(met[word][0], [0, 0])[met[word][1]] += 1
+                rows += [(texthash, word, upper, lower) for word, (upper, lower) in seen.items()]
+            columns = list(zip(*rows, strict=True)) or [()] * 4
+            kinds = (pa.int64(), pa.string(), pa.int64(), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], ["texthash", "word", "upper", "lower"])
+
+    seen = materialize(texts.mapInArrow(count, "texthash bigint, word string, upper bigint, lower bigint"), "words")
+    counted = seen.groupBy("word").agg(F.sum("upper").alias("up"), F.sum("lower").alias("low")).where("up >= low")
+    names = materialize(counted.join(titled, "word", "left_semi").select("word"), "names")
+    return seen.where("upper > 0").join(names, "word").groupBy("texthash").agg(F.collect_set("word").alias("__known"))
+
+
 def _held(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        found = {(h, k, canonical(k, m[0])) for h, t in zip(batch["__texthash"].to_pylist(), batch["text"], strict=True) for k, m in mentions(t.as_py())}
+        rows = zip(*(batch[c].to_pylist() for c in ("__texthash", "text", "__known")), strict=True)
+        found = {(h, *part) for h, t, known in rows for k, m in mentions(t, frozenset(known or ())) for part in parts(k, canonical(k, m[0]))}
         columns = list(zip(*sorted(found), strict=True)) or [(), (), ()]
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.string(), pa.string()), strict=True)], ["texthash", "kind", "entity"])
 
@@ -311,19 +507,23 @@ def _redrawn(entities: DataFrame, secret: bytes, attempts: int) -> DataFrame | N
 def _replaced(batches: Iterable[pa.RecordBatch], secret: bytes, attempts: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         texts, counts, kinds = [], [], []
-        for text, again in zip(batch["text"].to_pylist(), batch["__again"].to_pylist(), strict=True):
+        for text, again, known in zip(*(batch[c].to_pylist() for c in ("text", "__again", "__known")), strict=True):
             drawn = {(x["kind"], x["entity"]): x["attempt"] for x in again or ()}
             parts, at, met = [], 0, {}
-            for kind, m in mentions(text):
-                entity = canonical(kind, m[0])
+
+            def made_of(kind: str, entity: str, drawn: dict = drawn) -> str:
                 attempt = drawn.get((kind, entity), 0)
-                made = surrogate(kind, entity, secret, attempt, _longer(attempt, attempts))
+                return surrogate(kind, entity, secret, attempt, _longer(attempt, attempts))
+
+            for kind, m in mentions(text, frozenset(known or ())):
+                entity = canonical(kind, m[0])
+                made = person(entity, secret, lambda word: made_of("name", word)) if kind == "person" else made_of(kind, entity)
                 parts += [text[at : m.start()], in_format(kind, m[0], made)]
                 at, met[kind] = m.end(), met.get(kind, 0) + 1
             texts.append("".join([*parts, text[at:]]) if parts else text)
             counts.append(sum(met.values()))
             kinds.append(sorted(met.items()))
-        columns = {name: batch[name] for name in batch.schema.names if name != "__again"}
+        columns = {name: batch[name] for name in batch.schema.names if name not in ("__again", "__known")}
         columns["text"] = pa.array(texts, batch.schema.field("text").type)
         columns["n_entities"], columns["kinds"] = pa.array(counts, pa.int64()), pa.array(kinds, pa.map_(pa.string(), pa.int64()))
         yield pa.RecordBatch.from_arrays(list(columns.values()), list(columns))

@@ -304,6 +304,42 @@ def test_surrogates_of_every_script_and_of_full_formats(spark):
     assert all(script(a) == script(b) and len(a) == len(b) for a, b in zip(names, made, strict=False))
 
 
+def test_surrogates_of_all_forms():
+    forms = {
+        "phone": ["+14155550123", "+4915112345678", "4155550123", "01 23 45 67 89", "+33 1 23 45 67 89", "+33 (0)1 23 45 67 89", "0033 1 23 45 67 89", "8 (495) 123-45-67", "+7 495 123-45-67", "+1 (446) 555-8962"],
+        "iban": ["MT84MALT011000012345MTLCAST001S", "DE89 3704 0044 0532 0130 00", "GB29 NWBK 6016 1331 9268 19", "NO9386011117947"],
+        "card": ["378282246310005", "3782 822463 10005", "30569309025904", "4222222222222", "4207051279108084", "4207 0512 7910 8084"],
+        "ip": ["2001:db8:85a3::8a2e:370:7334", "fe80::1", "::1", "10.0.0.3"], "ssn": ["078-05-1120"], "email": ["a.b@x.org"],
+        "person": ["Mrs Anna Smith", "Anna Smith"],
+    }
+    for kind, found in forms.items():
+        for one in found:
+            text = f"see {one}, then"
+            assert [(k, m[0]) for k, m in surrogates.mentions(text)] == [(kind, one)], one
+            entity = surrogates.canonical(kind, one)
+            new = surrogates.in_format(kind, one, surrogates.surrogate(kind, entity, b"k"))
+            assert [(k, m[0]) for k, m in surrogates.mentions(f"see {new}, then")] == [(kind, new)] and new != one, (one, new)
+            assert surrogates.canonical(kind, new) == surrogates.surrogate(kind, entity, b"k")
+    same = lambda *found: len({surrogates.canonical("phone", x) for x in found}) == 1
+    assert same("+33 1 23 45 67 89", "01 23 45 67 89", "+33 (0)1 23 45 67 89", "0033 1 23 45 67 89") and same("+14155550123", "4155550123", "+1 (415) 555-0123")
+    assert [k for k, _ in surrogates.mentions("DE88 3704 0044 0532 0130 00 IS")] == ["card"]
+    for text in ("at 12:34:56 :: of 1700000000", "std::vector a::", "378282246310006"):
+        assert not [k for k, _ in surrogates.mentions(text) if k in ("iban", "ip", "card")], text
+
+
+def test_untitled_names_follow_the_titled_ones(spark):
+    texts = [
+        "Then Mrs Zsófia Kovács came. Zsófia Kovács, or Kovács, left.", "In Budapest Kovács met Anna Miller and Dr The Best.", "the best of The Kovácsné, the best one, Zsófia", "Peter spoke; the end.", "Anna left",
+    ]
+    table = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    got = [r.text for r in surrogates.replace(table, b"k").orderBy("doc_id").collect()]
+    given, surname = got[0].split()[2], got[0].split()[3]
+    assert got[0] == f"Then Mrs {given} {surname} came. {given} {surname}, or {surname}, left." and not {given, surname} & {"Zsófia", "Kovács"}
+    anna = got[4].split()[0]
+    assert got[1].startswith(f"In Budapest {surname} met {anna} ") and "Miller" not in got[1] and anna.casefold() in surrogates.POOLS and anna != "Anna"
+    assert got[2] == f"the best of The Kovácsné, the best one, {given}" and got[3] == texts[3]
+
+
 def test_pipeline_stages(spark, tmp_path):
     folder = "/root/testdata/sf0.001"
     docs = spark.read.parquet(f"{folder}/documents.parquet")
