@@ -238,15 +238,26 @@ def _tile(table: pa.Table, known: tuple[np.ndarray, np.ndarray], percent: int) -
     for seed in ORDERS:
         may &= _overlaps([prefix(s, seed, percent, known) for s in sets]) > 0
     may = np.triu(may, 1) & (100 * np.minimum.outer(sizes, sizes) >= percent * np.maximum.outer(sizes, sizes))
-    both = np.where(may, _overlaps(sets), 0)
     links = []
-    for i, j in zip(*np.nonzero(may & (100 * both >= percent * (np.add.outer(sizes, sizes) - both))), strict=True):
-        if root[i] != root[j]:
-            links.append((nodes[i], nodes[j]))
-            root[root == root[j]] = root[i]
+    # Whole sets are intersected for pairs that all orders agree on and that no links tie yet.
+    for i in np.flatnonzero(may.any(axis=1)):
+        others = np.flatnonzero(may[i] & (root != root[i]))
+        for j, both in zip(others, _common(sets[i], [sets[j] for j in others]), strict=True):
+            if root[i] != root[j] and 100 * both >= percent * (len(sets[i]) + len(sets[j]) - both):
+                links.append((nodes[i], nodes[j]))
+                root[root == root[j]] = root[i]
     return links
 
 
+def _common(one: np.ndarray, others: list[np.ndarray]) -> list[int]:
+    """Sizes of the intersections of a set with each of others, none of them empty."""
+    if not others:
+        return []
+    one, tokens = np.sort(one), np.concatenate(others)
+    hit = one[np.minimum(np.searchsorted(one, tokens), len(one) - 1)] == tokens
+    return np.add.reduceat(hit.astype(np.int64), np.cumsum([0, *map(len, others[:-1])])).tolist()
+
+
 def _overlaps(sets: list[np.ndarray]) -> np.ndarray:
     """Sizes of all intersections: products of membership columns, a bounded number of columns at a time."""
     tokens, column, held = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)

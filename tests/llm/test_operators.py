@@ -7,6 +7,7 @@ import unicodedata
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -65,6 +66,30 @@ def test_tiles_and_lists_agree(documents, spark, monkeypatch):
     assert sorted(tuple(r) for r in ngram_join.component_table(table).collect()) == want
 
 
+def test_whole_sets_are_compared_for_survivors_only(monkeypatch):
+    r = np.random.default_rng(3)
+    base = r.integers(0, 2**63, 400, np.uint64)
+    sets = [np.unique(np.concatenate([base[: 400 - n], r.integers(0, 2**63, n, np.uint64)])) for n in [*range(0, 45, 3), *[396] * 15]]
+    known = np.array([], np.uint64), np.array([], np.uint64)
+    table = pa.table({"node": pa.array([bytes([i]) for i in range(30)], pa.binary()), "tokens": pa.array([s.tobytes() for s in sets], pa.binary())})
+    agree = {(i, j) for i in range(30) for j in range(i) if all(set(ngram_join.prefix(sets[i], o, 90, known)) & set(ngram_join.prefix(sets[j], o, 90, known)) for o in ngram_join.ORDERS)}
+    met, overlaps, common = [], ngram_join._overlaps, ngram_join._common
+    monkeypatch.setattr(ngram_join, "_overlaps", lambda given: met.append(max(map(len, given))) or overlaps(given))
+    pairs = []
+    monkeypatch.setattr(ngram_join, "_common", lambda one, others: pairs.extend(others) or common(one, others))
+    label = list(range(30))
+    for a, b in ngram_join._tile(table, known, 90):
+        label = [label[a[0]] if x == label[b[0]] else x for x in label]
+    want = list(range(30))
+    for i in range(30):
+        for j in range(i):
+            both = len(np.intersect1d(sets[i], sets[j]))
+            if 100 * both >= 90 * (len(sets[i]) + len(sets[j]) - both):
+                want = [want[j] if x == want[i] else x for x in want]
+    assert [label.index(x) for x in label] == [want.index(x) for x in want]
+    assert max(met) < 60 and len(pairs) <= len(agree) < 435
+
+
 def test_keep_one_keeps_all_columns(documents):
     kept = ngram_join.keep_one(documents)
     assert kept.columns == documents.columns
