@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from statloom.llm import chat, decontamination, embedding_dedup, language_id, mixing, ngram_join, secrets, surrogates, token_counts, warc
+from statloom.llm import chat, decontamination, embedding_dedup, filter_audit, language_id, mixing, ngram_join, periodic_runs, secrets, surrogates, token_counts, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -159,6 +159,54 @@ def op7(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("doc_id", "n_candidates", F.size("secrets").cast("bigint").alias("n_secrets"), "secrets", F.sha2("text", 256).alias("masked_sha256"))
 
 
+OP11_SQL = """
+with recursive texts as (
+  select doc_id, coalesce(lang, '') as part, coalesce(text, '') as t, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') as w from documents
+), firsts as (select coalesce(text, '') as t, min(doc_id) as first_id from documents group by 1
+), facts as (
+  select doc_id, part,
+    (case when len(w) < 200 then 1 else 0 end) + (case when 100 * len(list_distinct(w)) < 50 * len(w) then 2 else 0 end)
+    + (case when 100 * (length(t) - length(regexp_replace(t, '[A-Z]', '', 'g'))) > 3 * length(t) then 4 else 0 end)
+    + (case when regexp_matches(t, '[#$%&*|]') then 8 else 0 end) + (case when doc_id > first_id then 16 else 0 end) as mask
+  from texts join firsts using (t)
+), marked as (
+  select doc_id, max(coalesce(quality = 1, false)) as good, max(coalesce(toxic = 1, false)) as toxic from labels group by 1
+), masks as (
+  select part, mask, count(*) as n, count(*) filter (good) as g, count(*) filter (toxic) as x from facts left join marked using (doc_id) group by 1, 2
+), orders as (
+  select ''::varchar as o, 0 as before union all select o || l, before from orders, unnest(['A','B','C','D','E']) as u(l) where not contains(o, l)
+), steps as (
+  select o as filter_order, s::integer as step, 1 << (ascii(o[s]) - 65) as bit,
+         (select coalesce(sum(1 << (ascii(o[k]) - 65)), 0) from unnest(range(1, s)) as v(k))::integer as before
+  from orders, unnest(range(1, 6)) as u(s) where length(o) = 5
+), counted as (
+  select m.part, filter_order, step, bit,
+    coalesce(sum(n) filter (mask & (before | bit) = 0), 0) as kept,
+    coalesce(sum(n) filter (mask & bit <> 0 and mask & before = 0), 0) as removed,
+    coalesce(sum(n) filter (mask & bit <> 0 and mask & before <> 0), 0) as redundant,
+    coalesce(sum(n) filter (mask = bit), 0) as unique_fails,
+    coalesce(sum(g) filter (mask & bit <> 0 and mask & before = 0), 0) as good_lost,
+    coalesce(sum(x) filter (mask & bit <> 0 and mask & before = 0), 0) as toxic_lost
+  from masks m, steps group by 1, 2, 3, 4
+)
+select part, filter_order, step, chr(65 + log2(bit)::integer) as filter, kept::bigint as kept, removed::bigint as removed, redundant::bigint as redundant,
+       unique_fails::bigint as unique_fails, good_lost::bigint as good_lost, toxic_lost::bigint as toxic_lost,
+       sum(removed) over (partition by part, bit)::bigint as shapley
+from counted
+"""
+
+
+@query("op11_audit_filters", OP11_SQL)
+def op11(spark: SparkSession, folder: str) -> DataFrame:
+    ids, failing = filter_audit.failing_ids(table(spark, folder, "documents"), table(spark, folder, "labels"))
+    return filter_audit.audit(ids, failing)
+
+
+@query("op12_periodic_runs")
+def op12(spark: SparkSession, folder: str) -> DataFrame:
+    return periodic_runs.collapse(table(spark, folder, "documents"), plant=True).drop("n_words")
+
+
 QUERIES["pipeline"] = corpus_pipeline.run
 if corpus_pipeline.ORACLE_SQL:
     ORACLES["pipeline"] = corpus_pipeline.ORACLE_SQL
