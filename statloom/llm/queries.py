@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from statloom.llm import chat, decontamination, embedding_dedup, filter_audit, language_id, mixing, ngram_join, periodic_runs, secrets, surrogates, token_counts, warc
+from statloom.llm import chat, decontamination, embedding_dedup, filter_audit, language_id, mixing, neighbours, ngram_join, periodic_runs, secrets, surrogates, token_counts, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -207,6 +207,12 @@ def op12(spark: SparkSession, folder: str) -> DataFrame:
     return periodic_runs.collapse(table(spark, folder, "documents"), plant=True).drop("n_words")
 
 
+@query("op13_nearest_neighbours")
+def op13(spark: SparkSession, folder: str) -> DataFrame:
+    embeddings = table(spark, folder, "embeddings")
+    return neighbours.search(neighbours.build(embeddings), embeddings.where("vec_id % 20 = 0"), k=20)
+
+
 QUERIES["pipeline"] = corpus_pipeline.run
 if corpus_pipeline.ORACLE_SQL:
     ORACLES["pipeline"] = corpus_pipeline.ORACLE_SQL
