@@ -25,7 +25,7 @@ OFFERED = 16
 #: Rounds end when fewer than this share of the links is new; each round only ever improves the lists.
 SETTLED, ROUNDS = 0.1, 12
 #: Candidates that a search keeps, those of them it follows in a round, and queries of a block at most.
-BEAM, FOLLOWED, QUERY_NODES = 40, 8, 256
+BEAM, FOLLOWED, QUERY_NODES = 64, 20, 256
 #: Offers are thinned out whenever a task holds that many.
 PENDING = 2_000_000
 _OFFER_BITS, _PLACE_BITS, _BLOCK_BITS = 22, 21, 24
@@ -85,7 +85,7 @@ def build(embeddings: DataFrame, kept: int = KEPT, incoming: int = INCOMING) ->
     nodes = placed.select("node", "dim", "v", "turned")
 
     groups = {dim: n // GROUP_NODES + 1 for dim, (n, _) in lengths.items()}
-    edges = materialize(_best(_first_links(placed, groups, kept), kept).withColumn("fresh", F.lit(True)), "links")
+    edges = materialize(_best(_first_links(placed, groups, kept).withColumn("known", F.lit(False)), kept).select("node", "to", "near", F.lit(True).alias("fresh")), "links")
     for _ in range(ROUNDS):
         edges = materialize(_round(nodes, edges, kept, incoming), "links")
         told = edges.agg(F.count("*").alias("n"), F.count_if("fresh").alias("fresh")).first()
@@ -142,10 +142,10 @@ def _matrix(column: pa.ChunkedArray | pa.Array, kind: type = np.float32) -> np.n
 
 
 def _best(offers: DataFrame, kept: int) -> DataFrame:
-    """The `kept` nearest of the offered links (node, to, near) of every node; each task first keeps that many of its own."""
-    once = offers.groupBy("node", "to").agg(F.max("near").alias("near"))
-    place = F.row_number().over(Window.partitionBy("node").orderBy(F.desc("near"), "to"))
-    return once.withColumn("place", place).where(F.col("place") <= kept).drop("place")
+    """The `kept` nearest links (node, to, near, known) of every node, each once; each task first keeps that many of its own."""
+    place = F.dense_rank().over(Window.partitionBy("node").orderBy(F.desc("near"), "to"))
+    nearest = offers.withColumn("place", place).where(F.col("place") <= kept)
+    return nearest.groupBy("node", "to").agg(F.max("near").alias("near"), F.max("known").alias("known"))
 
 
 def _first_links(placed: DataFrame, groups: dict[int, int], kept: int) -> DataFrame:
@@ -196,9 +196,8 @@ def _round(nodes: DataFrame, edges: DataFrame, kept: int, incoming: int) -> Data
     )
     offers = rows.groupBy("block").applyInArrow(_join_neighbours, "node bigint, to bigint, near float")
     old = edges.select("node", "to", "near", F.lit(True).alias("known"))
-    once = offers.withColumn("known", F.lit(False)).unionByName(old).groupBy("node", "to").agg(F.max("near").alias("near"), F.max("known").alias("known"))
-    place = F.row_number().over(Window.partitionBy("node").orderBy(F.desc("near"), "to"))
-    return once.withColumn("place", place).where(F.col("place") <= kept).select("node", "to", "near", (~F.col("known")).alias("fresh"))
+    found = _best(offers.withColumn("known", F.lit(False)).unionByName(old), kept)
+    return found.select("node", "to", "near", (~F.col("known")).alias("fresh"))
 
 
 def _join_neighbours(table: pa.Table) -> pa.Table:
@@ -214,7 +213,7 @@ def _join_neighbours(table: pa.Table) -> pa.Table:
     known = pa.compute.list_flatten(held["known"]).to_numpy().astype(np.int64) + (1 << 15)
     place = np.empty(len(order), np.int64)
     place[order] = np.arange(len(order))
-    known = np.unique((np.repeat(place, counts) << 16) | known)
+    known = _distinct((np.repeat(place, counts) << 16) | known)
     marks = names % _MARKS
 
     def thinned(offers: np.ndarray) -> np.ndarray:
@@ -225,8 +224,9 @@ def _join_neighbours(table: pa.Table) -> pa.Table:
     for i in listed.tolist():
         at = np.searchsorted(names, to[i].values.to_numpy(zero_copy_only=False))
         new = fresh[i].values.to_numpy(zero_copy_only=False)
-        at, new = np.unique(np.concatenate([at[new], at])), np.unique(at[new])
-        sides.append((new, np.setdiff1d(at, new, assume_unique=True)))
+        new = _distinct(at[new])
+        old = _distinct(at)
+        sides.append((new, old[~_among(old, new)]))
     sides.sort(key=lambda s: (len(s[0]), len(s[1])))
     pending: list[np.ndarray] = []
     waiting = 0
@@ -261,6 +261,19 @@ def _join_neighbours(table: pa.Table) -> pa.Table:
     return pa.table({"node": pa.array(names[node]), "to": pa.array(names[other]), "near": pa.array(near.astype(np.float32))})
 
 
+def _distinct(values: np.ndarray) -> np.ndarray:
+    """Sorted distinct integers (np.unique hashes them, which takes many times as long)."""
+    values = np.sort(values)
+    return values[np.concatenate([[True], values[1:] != values[:-1]])] if len(values) else values
+
+
+def _among(values: np.ndarray, others: np.ndarray) -> np.ndarray:
+    """Whether each value is one of the sorted `others`."""
+    if not len(others):
+        return np.zeros(len(values), bool)
+    return others[np.minimum(np.searchsorted(others, values), len(others) - 1)] == values
+
+
 def _packed(node: np.ndarray, other: np.ndarray, near: np.ndarray) -> np.ndarray:
     """Offers as integers that sort by node, then nearest first (22 bits of it), then by the other end."""
     far = np.clip((1.0 - near) * ((1 << _OFFER_BITS) / 2.5), 0, (1 << _OFFER_BITS) - 1).astype(np.uint64)
@@ -274,9 +287,9 @@ def _ends(offers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def _thinned(offers: np.ndarray, bars: np.ndarray, known: np.ndarray, marks: np.ndarray) -> np.ndarray:
     """The OFFERED best offers of every node that it has no link of, each once; what a node has to beat rises with them."""
-    offers = np.unique(offers)
+    offers = _distinct(offers)
     node, other = _ends(offers)
-    offers = offers[~np.isin((node << 16) | marks[other], known)]
+    offers = offers[~_among((node << 16) | marks[other], known)]
     node, _ = _ends(offers)
     opens = np.flatnonzero(np.concatenate([[True], node[1:] != node[:-1]])) if len(node) else node
     sizes = np.diff(np.append(opens, len(node)))
