@@ -69,7 +69,9 @@ def build(embeddings: DataFrame, kept: int = KEPT, incoming: int = INCOMING) ->
     vectors = materialize(data.groupBy("same").agg(F.first("v").alias("v")).withColumn("dim", F.size("v")), "vectors")
     norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x))
     lengths = {r.dim: (r.n, r.longest) for r in vectors.groupBy("dim").agg(F.count("*").alias("n"), F.max(norm).alias("longest")).collect()}
-    per_block = {dim: max(64, min(BLOCK_NODES, BLOCK_BYTES // (4 * (kept + incoming) * dim))) for dim in lengths}
+    # Two blocks a core at least; beyond that as many as their size asks for.
+    cores = 2 * embeddings.sparkSession.sparkContext.defaultParallelism
+    per_block = {dim: max(64, min(BLOCK_NODES, BLOCK_BYTES // (4 * (kept + incoming) * dim), -(-n // cores))) for dim, (n, _) in lengths.items()}
     first_block, at = {}, 0
     for dim, (n, _) in sorted(lengths.items()):
         first_block[dim], at = at, at + n // per_block[dim] + 1
