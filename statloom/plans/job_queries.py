@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from dataclasses import replace
 from datetime import date
 
@@ -15,6 +16,7 @@ from statloom.plans import bindings as B
 from statloom.plans import jobs as J
 from statloom.plans import text_queries as X
 from statloom.plans.core_queries import aliases
+from statloom.plans.handbook import TITLES, state_handbook
 from statloom.plans.derive_queries import city_map, nation_sales, yearly
 from statloom.plans.registry import Tables, query, view
 
@@ -563,34 +565,127 @@ def job_police_problems(t: Tables) -> DataFrame:
     return J.run("police-strength", {"pages": pages}, reference(t), min_rows=25)[1]
 
 
+# Two tables are not there, one has another title.
+NOT_THERE, RETITLED = (153, 173), 149
+SURVEYS = {"NFHS-4": (date(1995, 1, 1), date(1996, 12, 31), "1995-96"), "NFHS-5": (date(1999, 1, 1), date(2001, 12, 31), "1999-01")}
+
+
+def printed_sheets(t: Tables) -> DataFrame:
+    """Sums per nation and year, printed as the handbook prints its tables, all in one landed table."""
+    st, years = F.col("status"), list(range(1995, 2002))
+    conditions = {"f": st == "F", "p": st == "P", "o": st == "O", "a": F.lit(True)}
+    sums = [F.sum(F.when((F.col("year") == y) & c, F.col("price"))).cast("double").alias(f"{k}{y}") for k, c in conditions.items() for y in years]
+    wide = nation_sales(t).withColumn("state", state()).groupBy("state").agg(*sums).withColumn("x", F.right("state", F.lit(1)))
+
+    def of(kind: str, chosen: list[int] = years, factor: float = 1.0) -> list[str]:
+        return [f"cast({kind}{y} * {factor}D as string)" for y in chosen]
+
+    def only(condition: str, columns: list[str], otherwise: str = "null") -> list[str]:
+        return [f"if({condition}, {c}, {otherwise.format(c)})" for c in columns]
+
+    fiscal = [f"{y}-{(y + 1) % 100:02d}" for y in years]
+    march = [str(y + 1) for y in years]
+    stock = [*march[:3], "1998*", *march[4:]]
+    waters = [f"Stage of Ground Water Extraction (%) ({y})" for y in (1997, 2000)]
+    printed = {
+        10: (["NFHS-4", "NFHS-5", "Other"], of("f", [1995]) + of("o", [1999]) + of("a", [1995])), 20: (fiscal, of("a", factor=0.125)),
+        21: (fiscal, only("x not in ('X', 'Y')", of("a"))), 22: (fiscal, of("o")),
+        99: (["1995", "1997", "1999*", "2000*", "2001*"], of("a", [1995, 1997, 1999]) + only("x <> 'X'", of("a", [2000, 2001]))),
+        107: (["Net Annual", *waters], of("f", [1995]) + only("x <> 'C'", of("a", [1997, 2000]), "{0} || '*'")),
+        138: (fiscal, of("f", factor=0.5)), 140: (fiscal, of("o")), 143: (march, of("p")),
+        144: (stock, of("f")), 145: (stock, of("p")), 146: (stock, only("x <> 'D'", of("o"), "{0} || ' *'")), 147: (stock, of("a")),
+        164: (fiscal, of("f")), 166: (fiscal, of("o")), 168: (fiscal, of("p")),
+        174: ([f"{y} ({'BE' if y == '2001-02' else 'RE'})" for y in fiscal], of("p")), 181: (fiscal, of("a", factor=0.001)),
+    }
+    heads, bodies = [], []
+
+    def head(number: int, part: int, at: int, *texts: str | None) -> None:
+        heads.append({"table_no": number, "sheet": part, "row_no": at, "cells": texts})
+
+    def body(number: int, part: int, columns: list[str]) -> None:
+        bodies.append(f"named_struct('table_no', {number}, 'sheet', {part}, 'row_no', ascii(x), 'cells', array(state, {', '.join(columns)}))")
+
+    for number, (labels, values) in printed.items():
+        head(number, 1, 1, f"TABLE {number}", "(₹ Lakh)" if number in (21, 22) else "(₹ crore)")
+        if number == 22:  # the years stand in a second header row
+            head(number, 1, 2, "State/Union Territory", *["Base: 1995-96"] * len(labels))
+            head(number, 1, 3, None, *labels)
+        else:
+            head(number, 1, 2, "State/Union Territory", *labels)
+        head(number, 1, 900, "Note: as reported", *["1"] * len(labels))
+        body(number, 1, values)
+    for i, y in enumerate(years):
+        head(176, i, 1, f"TABLE 176: LIABILITIES - {y + 1}", None)
+        head(176, i, 2, "State", "Loans", "Outstanding Liabilities")
+        body(176, i, ["'1'", f"cast(f{y} * if(x = 'E', {1000 if y == 1998 else 1}D, 1D) as string)"])
+    sheets = F.from_json(F.lit(json.dumps(heads)), "array<struct<table_no int, sheet int, row_no int, cells array<string>>>")
+    rows = t.region.filter("r_regionkey = 0").select(F.inline(sheets))
+    return rows.unionByName(wide.selectExpr(f"inline(array({', '.join(bodies)}))"))
+
+
+def _landed_handbook(t: Tables) -> dict[str, DataFrame]:
+    listed = [(n, f"Table {n}: " + ("Fax Machines" if n == RETITLED else title)) for n, title in TITLES.items() if n not in NOT_THERE]
+    product = nation_sales(t).filter("place in ('nation-x', 'nation-y')").groupBy("place", "year").agg((F.sum("price").cast("double") * 2).alias("value"))
+    fallback = product.select("place", P.fiscal_label(F.col("year")).alias("period_label"), "value")
+    covered = B.people(t).filter("place < 'nation-k'").select("place")
+    return {
+        "sheets": t.stored("handbook_sheets", printed_sheets), "listing": t.spark.createDataFrame(listed, "number int, title string"),
+        "fallback": fallback, "covered": covered,
+    }
+
+
+def _handbook(t: Tables) -> J.Result:
+    return state_handbook(
+        _landed_handbook(t), reference(t), rounds=SURVEYS, since=1995, base=1995,
+        merged={"Nation Y": "Nation X"}, merged_since=2000, split=["nation-b", "nation-b-undivided"],
+    )
+
+
 @query("JOB_state_handbook", f"""
-  with c as (select right(place, 1) as x, year, sum(price) filter (where status = 'F')::double as f, sum(price) filter (where status = 'P')::double as p,
+  with c as (select upper(right(place, 1)) as x, year, sum(price) filter (where status = 'F')::double as f, sum(price) filter (where status = 'P')::double as p,
     sum(price) filter (where status = 'O')::double as o, sum(price)::double as a from nation_sales group by 1, 2),
-  l as (select *, {_place('x', "make_date(year::int, 9, 30)")} as place, year || '-' || lpad(((year + 1) % 100)::varchar, 2, '0') as label from c)
-  select 'fiscal-deficit-share' as indicator_id, place, label as period_label, 1 as n, f / (a / 100) * 100 as total from l where f is not null
-  union all select 'capital-share', place, label, 1, p / (p + o) * 100 from l where p is not null and o is not null
-  union all select 'growth-real', x.place, x.label, 1, round((x.a / y.a - 1) * 100, 2) from l x join l y on y.place = x.place and y.year = x.year - 1
-  union all select 'road-density', l.place, label, 1, o / (people * 2.0) * 100 from l join population q on q.place = 'nation-' || x where o is not null
-  union all select 'debt-share', place, label, 1, f / (a / 100) * 100 from l where f is not null
+  l as (select *, {_place('x', "make_date(year::int, 9, 30)")} as place, year || '-' || lpad(((year + 1) % 100)::varchar, 2, '0') as label,
+    case when x in ('X', 'Y') then a * 2 else a / 100 end as product from c),
+  d as (select l.*, people, people * 2.0 as area, l.place < 'nation-k' and l.place not like '%undivided' as covered from l join population q on q.place = 'nation-' || lower(x)),
+  one as (
+    select 'fiscal-deficit-share' as indicator_id, place, label as period_label, f / product * 100 as v from d
+    union all select 'own-tax-share', place, label, p / product * 100 from d
+    union all select 'debt-share', place, label, f / product * 100 from d where not (x = 'E' and year = 1998)
+    union all select 'capital-share', place, label, p / (p + o) * 100 from d where year < 2001
+    union all select 'net-product-per-person', place, label, a * 0.125 from d where not covered
+    union all select 'product-current', place, label, a / 100 from d where not covered and x not in ('X', 'Y')
+    union all select 'product-constant', place, label, o / 100 from d where not covered
+    union all select 'power-per-person', place, label, f * 0.5 from d
+    union all select 'renewable-share', place, label, least(p / o * 100, 100) from d where o > 0
+    union all select 'exports-per-person', place, label, a * 0.001 / people * 1e6 from d
+    union all select 'road-density', place, label, o / area * 100 from d where x <> 'D'
+    union all select 'national-highway-density', place, label, f / area * 1000 from d
+    union all select 'state-highway-density', place, label, a / area * 1000 from d
+    union all select 'rail-density', place, label, p / area * 1000 from d
+    union all select 'ground-water-stage', {_place('x', "make_date(year::int, 7, 2)")}, year::varchar, a from c where year in (1997, 2000) and x <> 'C'
+    union all select 'poverty-headcount', {_place('x', "date '1996-01-01'")}, '1995-96', f from c where year = 1995
+    union all select 'poverty-headcount', 'nation-' || lower(x), '1999-01', o from c where year = 1999
+    union all select 'forest-change', case when k.x = 'Y' and b.year >= 2000 then 'nation-x' else {_place('k.x', "make_date(k.year::int, 7, 2)")} end, k.year::varchar, (k.a - b.a) / b.a * 100
+      from c k join c b on b.x = k.x and (b.year, k.year) in ((1995, 1997), (1999, 2000), (2000, 2001)) where (k.x <> 'B' or b.year >= 2000) and (k.x <> 'X' or b.year = 1995)),
+  growth as (select y.place, y.label, y.year, floor((y.o / z.o - 1) * 100 * 100 + 0.5) / 100 as v from d y join d z on z.place = y.place and z.year = y.year - 1 where not y.covered and z.o > 0),
+  rounded as (
+    select indicator_id, place, period_label, floor(v * 1000 + 0.5) / 1000 as v from one where v is not null
+    union all select 'growth-real', place, label, v from growth where v is not null
+    union all select 'growth-real-3y', g.place, i.label || ' to ' || g.label, floor((g.v + h.v + i.v) / 3 * 100 + 0.5) / 100
+      from growth g join growth h on h.place = g.place and h.year = g.year - 1 join growth i on i.place = g.place and i.year = g.year - 2 where g.v + h.v + i.v is not null)
+  select indicator_id, place, period_label, count(*) as n, sum(v) as total from rounded group by 1, 2, 3
 """, "total")
 def job_handbook(t: Tables) -> DataFrame:
-    """Sums per nation and year as wide tables; the four split nations are found under their name of the time."""
-    sales = nation_sales(t).withColumn("state", state())
-    years = list(range(1995, 2002))
-
-    def wide(condition: Column, label) -> DataFrame:
-        return sales.groupBy("state").agg(
-            *[F.sum(F.when((F.col("year") == y) & condition, F.col("price"))).cast("double").cast("string").alias(label(y)) for y in years]
-        )
+    """The four split nations are found under their name of the time; two nations have no product of their own."""
+    return summed(_handbook(t))
 
-    def fiscal(y: int) -> str:
-        return f"{y}-{(y + 1) % 100:02d}"
 
-    st = F.col("status")
-    landed = {
-        "deficit": wide(st == "F", fiscal), "outlay": wide(st == "P", lambda y: f"{fiscal(y)} (RE)"), "revenue": wide(st == "O", fiscal),
-        "product": wide(F.lit(True), fiscal), "roads": wide(st == "O", lambda y: str(y + 1)),
-        "liabilities": sales.groupBy("state", (F.col("year") + 1).alias("year")).agg(F.sum(F.when(st == "F", F.col("price"))).cast("double").alias("value")),
-        "fallback": t.spark.createDataFrame([], "place string, period_label string, value double"),
-    }
-    return summed(J.run("state-handbook", landed, reference(t), since=1995))
+@query("JOB_handbook_problems", """
+  select unnest(['table 149 (Telephones per 100 Population): other title', 'table 153 (Credit-Deposit Ratio of Scheduled Commercial Banks): missing',
+    'table 173 (Capital Expenditure): missing']) as problem
+  union all select 'table 176: Nation E 1998 skipped as a likely typo' where (
+    select sum(price) filter (where year = 1998) * 1000 > 2.5 * greatest(sum(price) filter (where year = 1997), sum(price) filter (where year = 1999))
+    from nation_sales where place = 'nation-e' and status = 'F')
+""")
+def job_handbook_problems(t: Tables) -> DataFrame:
+    return _handbook(t)[1]

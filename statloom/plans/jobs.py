@@ -471,47 +471,6 @@ def population_projections(landed: Landed, ref: Reference, components: DataFrame
     return observations(rows, "population"), _problems(problem)
 
 
-def state_handbook(landed: Landed, ref: Reference, since: int = 2014) -> Result:
-    """`deficit`, `revenue`, `outlay`, `product`, `roads`, `liabilities`: wide tables state × fiscal year
-    (roads × year, liabilities: state, year, value); `fallback`: place, period_label, value."""
-
-    def fiscal(name: str) -> tuple[DataFrame, DataFrame]:
-        cells = X.wide_to_long(landed[name], ["state"])
-        start, status = T.status_of(F.col("label"))
-        value, _ = T.number_and_flag(F.col("value").cast("string"))
-        rows = cells.withColumn("_start", start).withColumn("status", status).withColumn("value", value)
-        rows = rows.filter(F.col("status").isin("A", "RE") & F.col("value").isNotNull())
-        return _placed(_dated(rows, P.fiscal_year(F.col("_start"))), ref)
-
-    tables = {n: fiscal(n) for n in ("deficit", "revenue", "outlay", "product")}
-    key = ["place", "period_label"]
-    gsdp = D.fill_missing(tables["product"][0], landed["fallback"], key, 1 / 100)
-
-    def by_fy(df: DataFrame) -> DataFrame:
-        start = F.substring("period_label", 1, 4).cast("int")
-        return df.select("place", "value", *P.fiscal_year(start).columns())
-
-    deficit = D.ratio(tables["deficit"][0], gsdp, key)
-    share = D.ratio(tables["outlay"][0], tables["revenue"][0], key, form="share")
-    growth = D.yoy_growth(tables["product"][0].select("place", F.year("period_start").alias("year"), "value"), ["place"])
-    growth_rows = _dated(growth.withColumn("value", F.round("growth", 2)), P.fiscal_year(F.col("year")))
-    roads = X.wide_to_long(landed["roads"], ["state"])
-    value, flagged = T.number_and_flag(F.col("value").cast("string"))
-    dated = _dated(roads.withColumn("value", value).withColumn("flagged", flagged), P.stock_year_to_fy(F.col("label"))).filter("period_start is not null")
-    placed, bad_roads = _placed(dated, ref)
-    dense = D.density(placed.select("place", F.year("period_start").alias("year"), "value", "flagged"), ref.area, 100, since)
-    debt = V.drop_spikes(landed["liabilities"], ["state"], "year", "value")
-    spikes = debt.filter("spike").select(F.concat(F.lit("liabilities of "), "state", F.lit(" "), F.col("year").cast("string"), F.lit(" skipped as a likely typo")).alias("problem"))
-    owed, bad_debt = _placed(_dated(debt.filter("not spike"), P.fiscal_year(F.col("year") - 1)), ref)
-    debt_share = D.ratio(owed, gsdp, key)
-    obs = _union(
-        observations(by_fy(deficit), "fiscal-deficit-share"), observations(by_fy(share), "capital-share"),
-        observations(growth_rows, "growth-real"), observations(_dated(dense, P.fiscal_year(F.col("year"))), "road-density"),
-        observations(by_fy(debt_share), "debt-share"),
-    )
-    return obs, _problems(*[b for _, b in tables.values()], bad_roads, bad_debt, spikes)
-
-
 # Kind of source -> job. Sources that print alike share a job with other parameters.
 JOBS: dict[str, Callable[..., Result]] = {
     "national-accounts": national_accounts,
@@ -531,7 +490,6 @@ JOBS: dict[str, Callable[..., Result]] = {
     "airport-traffic": airport_traffic,
     "city-cleanliness": city_cleanliness,
     "municipal-finance": municipal_finance,
-    "state-handbook": state_handbook,
     "crime": numbered_table,
     "metro-crime": metro_crime,
     "suicides": numbered_table,
