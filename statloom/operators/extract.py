@@ -80,8 +80,8 @@ def with_neighbours(pages: DataFrame) -> DataFrame:
     return rows.select(*kept, "line_no", "_l.text", "_l.before", "_l.after")
 
 
-def split_trailing_values(lines: DataFrame, column: str = "text") -> DataFrame:
-    name, values = trailing_values(F.col(column))
+def split_trailing_values(lines: DataFrame, column: str = "text", value: str = VALUE) -> DataFrame:
+    name, values = trailing_values(F.col(column), value)
     return lines.withColumn("name", name).withColumn("values", values)
 
 
@@ -161,17 +161,32 @@ def header_periods(text: Column) -> Column:
     return F.get(F.filter(F.transform(lines_of(text), labels), lambda x: F.size(x) >= 3), F.lit(0))
 
 
-def zip_periods(pages: DataFrame, row_pattern: str) -> DataFrame:
+def leading_values(line: Column) -> tuple[Column, Column]:
+    """(name, values) of a line: the words before its first number, and the run of numbers that starts there."""
+    words = F.split(F.trim(line), r"\s+")
+    numbers = F.transform(words, lambda w: w.rlike(rf"^{VALUE}$"))
+    first = F.array_position(numbers, F.lit(True)).cast("int")
+    start = F.when(first > 0, first).otherwise(F.size(words) + 1)
+    rest = F.slice(numbers, start, F.size(words))
+    ends = F.array_position(rest, F.lit(False)).cast("int")
+    run = F.when(ends > 0, ends - 1).otherwise(F.size(rest))
+    return F.array_join(F.slice(words, F.lit(1), start - 1), " "), F.slice(words, start, run)
+
+
+def zip_periods(pages: DataFrame, row_pattern: str | None = None) -> DataFrame:
     """Table rows of a page paired with its header periods: one row per (name, period), first block only.
 
-    Row pattern groups: 1 the name, 2 the run of values.
+    Row pattern groups: 1 the name, 2 the run of values. Without a pattern a row is a name, which starts with a
+    letter, and the numbers behind it; text may follow them.
     """
     kept = [c for c in pages.columns if c != "text"]
     headed = pages.withColumn("_periods", header_periods(F.col("text")))
-    rows = headed.select(*kept, "_periods", F.explode(F.filter(lines_of(F.col("text")), lambda x: x.rlike(row_pattern))).alias("_line"))
-    name = F.trim(F.regexp_replace(F.regexp_extract("_line", row_pattern, 1), r"[* ]+$", ""))
-    values = F.split(F.trim(F.regexp_extract("_line", row_pattern, 2)), r"\s+")
-    enough = rows.withColumn("name", name).withColumn("_values", values).filter(F.size("_values") >= F.size("_periods"))
+    is_row = row_pattern or r"^\p{L}.*\d"
+    rows = headed.select(*kept, "_periods", F.explode(F.filter(lines_of(F.col("text")), lambda x: x.rlike(is_row))).alias("_line"))
+    name, values = leading_values(F.col("_line"))
+    if row_pattern:
+        name, values = F.regexp_extract("_line", row_pattern, 1), F.split(F.trim(F.regexp_extract("_line", row_pattern, 2)), r"\s+")
+    enough = rows.withColumn("name", F.trim(F.rtrim(name, F.lit("* ")))).withColumn("_values", values).filter(F.size("_values") >= F.size("_periods"))
     zipped = F.arrays_zip(F.col("_periods").alias("period"), F.slice("_values", 1, F.size("_periods")).alias("value"))
     out = enough.select(*kept, "name", F.explode(zipped).alias("_z"))
     return out.select(*kept, "name", F.col("_z.period").alias("period_label"), clean_number(F.col("_z.value")).alias("value"))

@@ -211,7 +211,8 @@ def _figure(f: Figure, since: int, base: int) -> Column:
         value = own["value"] / F.when(own["value"] + other["value"] != 0, own["value"] + other["value"]) * f.factor
         provisional = provisional | (other["status"] == "RE")
     else:
-        value = F.least(own["value"] / F.when((other["status"] == "A") & (other["value"] > 0), other["value"]) * f.factor, F.lit(100.0))
+        share = own["value"] / F.when((other["status"] == "A") & (other["value"] > 0), other["value"]) * f.factor
+        value = F.when(share > 100, 100.0).otherwise(share)
     return F.struct(
         F.lit(f.indicator).alias("indicator"), F.when(allowed, value).alias("value"), F.coalesce(provisional, F.lit(False)).alias("is_provisional"),
         F.lit(f"table {f.table}" + (f" and {f.other}" if f.other else "")).alias("note"),

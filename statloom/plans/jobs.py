@@ -10,6 +10,7 @@ from __future__ import annotations
 from collections.abc import Callable, Mapping
 from dataclasses import dataclass
 from datetime import date
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -238,11 +239,18 @@ def _few_rows(pages: DataFrame, rows: DataFrame, min_rows: int, what: str) -> Da
     return short.select(F.concat(F.lit(f"{what} of "), F.col("doc_id").cast("string"), F.lit(": "), state).alias("problem"))
 
 
+# The heading of the tax table, and the word before its month.
+TAX_TABLE, TAX_UNTIL = "table2:", "till"
+
+
 def tax_collections(landed: Landed, ref: Reference, min_rows: int = 1) -> Result:
     """`reports`: doc_id, text with 'Table-2: … till <Month>, <year>' and rows of last and this year."""
-    head = r"(?i)Table-?\s*2:.*?till\s+([A-Za-z]+,?\s+\d{4})"
-    pages = landed["reports"].filter(F.col("text").rlike(head))
-    dated, bad = P.parse_period(pages.withColumn("month", F.regexp_extract("text", head, 1)), "month")
+    # The first line of the heading, and the two words after 'till' in it: the month and its year.
+    lines = F.filter(X.lines_of(F.col("text")), lambda x: F.replace(F.replace(F.lower(x), F.lit(" ")), F.lit("-")).contains(TAX_TABLE))
+    words = F.split(F.get(lines, F.lit(0)), r"\s+")
+    until = F.array_position(F.transform(words, F.lower), TAX_UNTIL).cast("int")
+    pages = landed["reports"].withColumn("month", F.when(until > 0, F.array_join(F.slice(words, until + 1, F.lit(2)), " "))).filter("month is not null")
+    dated, bad = P.parse_period(pages, "month")
     # Of the month, then of the year so far: last year's sum, this year's, change in per cent.
     lines = X.carry_pending(dated.select("doc_id", "text", F.col("period_end").alias("_end")), r"%\s*$")
     rows = _printed(lines, 6, (-4, -1)).select(
@@ -298,9 +306,14 @@ def airport_traffic(landed: Landed, ref: Reference) -> Result:
     return observations(per, "air-passengers-per-100", T.round_at(F.col("rate"), 1)), _problems(missing, no_people)
 
 
-# Words of heading lines in city rankings, and how a body's name breaks off before its numbers.
-RANKING_HEADS = ("rank", "score", "population", "report", "ulb name", "state/ut", "state/ ut", "©")
-BROKEN_OFF = r"(?i)(?:\bof|\((?:m\.?)?|[-+])$"
+# What the heading lines of the printed city rankings hold.
+RANKING_HEADINGS = ("rank", "score", "ranking", "population", "©", "report", "ulb name", "state/ut", "state/ ut")
+
+
+def _goes_on(name: Column) -> Column:
+    """Whether a body's name is not over: it ends in 'of', in a sign that joins, or inside a bracket that says what body it is."""
+    open_bracket = F.when(~F.substring_index(name, "(", -1).contains(")") & name.contains("("), F.lower(F.substring_index(name, "(", -1)))
+    return (F.lower(F.substring_index(name, " ", -1)) == "of") | F.right(name, F.lit(1)).isin("-", "+") | F.coalesce(open_bracket.isin("", "m", "m."), F.lit(False))
 
 
 def ranked_bodies(pages: DataFrame, names: DataFrame, day: Column) -> DataFrame:
@@ -312,8 +325,8 @@ def ranked_bodies(pages: DataFrame, names: DataFrame, day: Column) -> DataFrame:
         return c.rlike(rf"^\d+\s+\S.*?(?:\s+{X.VALUE}){{4}}$")
 
     def beside(c: str) -> Column:
-        heading = F.lower(c).rlike("|".join(RANKING_HEADS))
-        return F.when(~is_row(F.col(c)) & ~heading, F.col(c)).otherwise("")
+        heading = [F.lower(c).contains(word) for word in RANKING_HEADINGS]
+        return F.when(~is_row(F.col(c)) & ~reduce(Column.__or__, heading), F.col(c)).otherwise("")
 
     name, values = X.trailing_values(F.regexp_replace("text", r"^\d+\s+", ""))
     rows = X.with_neighbours(pages).filter(is_row(F.col("text"))).select(
@@ -322,7 +335,7 @@ def ranked_bodies(pages: DataFrame, names: DataFrame, day: Column) -> DataFrame:
     split = R.split_prefix(rows, names, "name", day).filter("place is not null")
     rest = F.col("rest")
     around = F.trim(F.regexp_replace(F.concat_ws(" ", "before", "rest", "after"), " +", " "))
-    whole = F.when((rest == "") | rest.rlike(BROKEN_OFF), around).when(F.col("after").rlike("^[A-Z]{1,3}$"), F.concat("rest", "after")).otherwise(rest)
+    whole = F.when((rest == "") | _goes_on(rest), around).when(F.col("after").rlike("^[A-Z]{1,3}$"), F.concat("rest", "after")).otherwise(rest)
     return split.select("doc_id", "place", whole.alias("rest"), "score")
 
 
@@ -385,10 +398,11 @@ def numbered_table(landed: Landed, ref: Reference, headings: Mapping[str, str],
     return _union(*parts), _problems(bad, short)
 
 
-# The heading of the subscribers' table, its day, its total, names it prints in another way.
+# The heading of the subscribers' table, its day, its total, the word before places counted in, names it prints in another way.
 SUBSCRIBERS_HEADING = r"(?i)State/UT wise number of Internet Subscribers per 100 population"
 SUBSCRIBERS_DAY = r"(?i)at the end of ([a-z]{3}-\d{2})"
 SUBSCRIBERS_TOTAL = r"^Total\s+(.*)$"
+SUBSCRIBERS_INCLUDED = "incl."
 SUBSCRIBERS_NAMES = {r"(?i)\bdaman\b": "Dadra & Nagar Haveli and Daman & Diu"}
 
 
@@ -400,7 +414,10 @@ def internet_subscribers(landed: Landed, ref: Reference, min_rows: int = 1, spel
     pages = marked.join(first_page, ["doc_id", "page"]).withColumn("_month", newest)
     undated = pages.filter("_month is null").select(F.concat(F.lit("table of subscribers of "), F.col("doc_id").cast("string"), F.lit(": no month")).alias("problem"))
     rows = X.rejoin_wrapped(pages.filter("_month is not null"), 6, SUBSCRIBERS_TOTAL)
-    plain = F.trim(F.regexp_replace(F.regexp_replace("name", r"\s*\([^)]*\)", ""), r"(?i)\s+incl\..*$", ""))
+    # Without brackets, up to the word that says what is counted in.
+    words = F.split(F.concat(F.substring_index("name", "(", 1), F.when(F.col("name").contains(")"), F.substring_index("name", ")", -1)).otherwise("")), " +")
+    counted_in = F.array_position(F.transform(words, lambda w: F.lower(w).startswith(SUBSCRIBERS_INCLUDED)), F.lit(True)).cast("int")
+    plain = F.trim(F.array_join(F.when(counted_in > 0, F.slice(words, F.lit(1), counted_in - 1)).otherwise(words), " "))
     state = F.coalesce(*[F.when(F.col("name").rlike(pattern), name) for pattern, name in spelled.items()], plain)
     dated = _dated(rows.withColumn("state", state).withColumn("value", _printed_number(-1)).filter("value is not null"), P.month_period(F.col("_month")))
     placed, bad = _placed(dated, ref)
@@ -421,11 +438,9 @@ def metro_crime(landed: Landed, ref: Reference) -> Result:
 
 def mortality_report(landed: Landed, ref: Reference, heading: str, indicator: str, min_rows: int = 1) -> Result:
     """`pages`: doc_id, page, text with a period header and annual or pooled columns; text may follow a row's numbers."""
-    number = r"\d+(?:\.\d+)?"
-    row = rf"^(\p{{L}}\D*?)\s+({number}(?:\s+{number})*)(?:\s+\D.*)?$"
     body = F.regexp_extract("text", rf"(?ms)^({heading}.*)", 1)
     pages = landed["pages"].filter(F.col("text").rlike(rf"(?m)^{heading}")).withColumn("text", body)
-    cells = X.zip_periods(pages, row).withColumn("_label", F.col("period_label")).drop("period_label")
+    cells = X.zip_periods(pages).withColumn("_label", F.col("period_label")).drop("period_label")
     period = P.pooled_span(F.col("_label")).otherwise(P.calendar_year(F.col("_label").try_cast("int")))
     dated = _dated(cells, period)
     found, bad = _placed(dated, ref, "name")

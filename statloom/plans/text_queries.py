@@ -111,9 +111,6 @@ def x4(t: Tables) -> DataFrame:
     return rows.select("doc_id", "name", values[0].alias("n"), values[1].alias("quantity"), values[2].alias("returned"))
 
 
-REVENUE = r"^(.*?)\s+(-?[\d,]+)\s+(-?[\d,]+)\s+(-?\d+)%\s+(-?[\d,]+)\s+(-?[\d,]+)\s+(-?\d+)%\s*$"
-
-
 def revenue_pages(t: Tables) -> DataFrame:
     values = F.concat_ws(" ", F.format_number("n", 0), F.format_number("quantity", 0), F.lit("5%"), F.format_number("returned", 0), F.format_number("n", 0), F.lit("-3%"))
     line = F.when(F.col("nation") >= 15, F.concat(F.lit("Upper and\nLower Nation "), "letter", F.lit(" "), values)).otherwise(
@@ -128,8 +125,9 @@ def revenue_pages(t: Tables) -> DataFrame:
   union all select doc_id, 'Grand Total', 10, 11 from report_rows group by 1
 """)
 def x5(t: Tables) -> DataFrame:
-    lines = X.carry_pending(revenue_pages(t), REVENUE)
-    rows = X.extract_rows(lines, REVENUE, {"name": 1, "last": 5, "this": 6}, ("last", "this"))
+    lines = X.carry_pending(revenue_pages(t), r"%\s*$")
+    rows = X.split_trailing_values(lines, value=rf"(?:{X.VALUE}%?)").filter("size(values) = 6")
+    rows = rows.select("doc_id", "name", *[clean_number(F.get("values", F.lit(k))).alias(c) for k, c in ((3, "last"), (4, "this"))])
     return rows.select("doc_id", "name", F.col("last").cast("bigint").alias("last"), F.col("this").cast("bigint").alias("this"))
 
 
