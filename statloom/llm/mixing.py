@@ -94,6 +94,6 @@ def mixed_documents(documents: DataFrame, seed: int = 17, **options: float) -> D
     mixed = mix(documents, seed=seed, **options).where("taken > 0")
     taken = mixed.groupBy("key", "source").agg(F.max("size").alias("n_words"), F.sum("taken").alias("taken"))
     taken = taken.select(F.col("key").alias("__key"), F.col("source").alias("__source"), "n_words", "taken")
-    named = documents.drop("n_words", "taken").withColumn("__key", F.xxhash64(F.lit(seed), F.col("doc_id"), F.col("text"))).dropDuplicates(["__key", "doc_id"])
+    named = documents.drop("n_words", "taken").withColumn("__key", F.xxhash64(F.lit(seed), F.col("doc_id"), F.col("text"))).dropDuplicates(["__key", "doc_id", "source"])
     kept = named.alias("d").join(taken.alias("t"), (F.col("d.__key") == F.col("t.__key")) & F.col("d.source").cast("string").eqNullSafe(F.col("t.__source")))
     return kept.select(*[f"d.{c}" for c in documents.columns if c not in ("n_words", "taken")], "t.n_words", "t.taken")
