@@ -178,7 +178,8 @@ def read_chunks(manifest: DataFrame, with_data: bool = True, chunk_bytes: int =
                     if rows:
                         yield _chunk_batch(rows)
 
-    return manifest.select("archive").repartition(F.col("archive")).mapInArrow(run, CHUNKS)
+    # A given number of partitions is not coalesced, however little a list of names weighs.
+    return manifest.select("archive").repartition(max(1, manifest.count()), "archive").mapInArrow(run, CHUNKS)
 
 
 def _chunk_batch(rows: list[tuple]) -> pa.RecordBatch:
