@@ -33,13 +33,15 @@ FORMS = {
     "issued": ("", re.compile(r"(?<![A-Za-z0-9])(?P<secret>(?:AKIA|ASIA)[A-Z0-9]{16}|gh[pousr]_[A-Za-z0-9]{36}|sk_(?:live|test)_[A-Za-z0-9]{16,}|xox[abprs]-[A-Za-z0-9-]{10,})(?![A-Za-z0-9])")),
 }
 _ISSUERS = re.compile("A[KS]IA|gh[pousr]_|sk_(?:live|test)_|xox[abprs]-")
-#: A value assigned to a name that ends with or holds a key word: quoted, or up to white space or the next name.
+#: A name that ends with or holds a key word and what assigns a value to it; the value is quoted, or goes on up to
+#: white space or the next name.
 ASSIGNMENT = re.compile(
     r"(?:passw(?:or)?d|passphrase|pwd|secret|token|credential|(?<![a-z])auth(?!or(?!iz))|bearer|private|(?:(?<![a-z])|api|access|private|secret|auth|signing|encryption|master|client)key)"
-    r"[a-z0-9_.\-]{0,40}[\\\"'\]]*\s*(?::=|=>|=(?!=)|:(?!:|//))\s*(?:(?:bearer|basic|token)\s+)?"
-    r"(?:\"(?P<double>(?:[^\"\\\n]|\\.)+)\"|'(?P<single>(?:[^'\\\n]|\\.)+)'|(?P<bare>(?:(?![&;,][\w.\-]+[=:])\S)+))",
+    r"[a-z0-9_.\-]{0,40}[\\\"'\]]*\s*(?::=|=>|=(?!=)|:(?!:|//))\s*(?:(?:bearer|basic|token)\s+(?=\S))?",
     re.IGNORECASE,
 )
+_QUOTED = re.compile(r"\"(?P<double>(?:[^\"\\\n]|\\.)++)\"|'(?P<single>(?:[^'\\\n]|\\.)++)'")
+_BARE = re.compile(r"(?:(?![&;,][\w.\-]+[=:])\S)+")
 #: Values that name a secret without being one: variables, placeholders, calls, constants.
 _REFERENCE = re.compile(r"\$.*|<.*>|\{\{.*|%\(?\w*\)?s|[*xX.•\-_]+|(?:none|null|nil|true|false|undefined|required|optional|string|str|text)|[A-Za-z_]\w*(?:\.[A-Za-z_]\w*)+|[A-Za-z_][\w.]*[(\[].*", re.IGNORECASE)
 _PASSWORDS = re.compile(r"passw|passphrase|pwd|secret|credential", re.IGNORECASE)
@@ -103,22 +105,41 @@ def candidates(text: str | None) -> Iterator[Candidate]:
 
 
 def _assigned(text: str) -> Iterator[Candidate]:
+    """Values assigned to key words. A value may hold assignments itself, as in "secrets: token=..."; of those that end
+    together the whole value and the innermost count, so that the work follows the length of the text."""
     if "=" not in text and ":" not in text:
         return
-    at = 0
-    while m := ASSIGNMENT.search(text, at):
-        start, end = m.span(m.lastgroup)
-        if m.lastgroup == "bare":
-            # Quotes that do not close, and what ends a list or a sentence, are no part of the value.
-            start += len(m["bare"]) - len(m["bare"].lstrip("\\\"'`"))
-            end -= len(m["bare"]) - len(m["bare"].rstrip("\\\"'`,;.)]}>"))
-        # A value may itself hold an assignment, as in "secrets: token=...".
-        at = m.start(m.lastgroup)
-        if start < end:
-            value, name = text[start:end], text[m.start() : m.start(m.lastgroup)]
-            reference = bool(_REFERENCE.fullmatch(value)) or (value.replace("_", "").isalpha() and any(k in value.lower() for k in _KEY_WORDS))
-            firm = m.lastgroup != "bare" or "=" in name or not value.isalpha()
-            yield Candidate(start, end, "assigned", firm and len(value) >= 4 and not re.search(r"\s", value) and not reference and bool(_PASSWORDS.search(name)), reference)
+    bare_end, inner = -1, None
+    for m in ASSIGNMENT.finditer(text):
+        at = m.end()
+        quoted = _QUOTED.match(text, at)
+        if not quoted and at < bare_end:
+            inner = (m.start(), at)
+            continue
+        if inner:
+            yield from _value(text, *inner, bare_end, False)
+            inner = None
+        if quoted:
+            yield from _value(text, m.start(), *quoted.span(quoted.lastgroup), True)
+        elif bare := _BARE.match(text, at):
+            bare_end = bare.end()
+            yield from _value(text, m.start(), at, bare_end, False)
+    if inner:
+        yield from _value(text, *inner, bare_end, False)
+
+
+def _value(text: str, named: int, start: int, end: int, quoted: bool) -> Iterator[Candidate]:
+    """The candidate of a value whose name starts at `named`; nothing if no more than quotes and commas is left of it."""
+    name, value = text[named:start], text[start:end]
+    if not quoted:
+        # Quotes that do not close, and what ends a list or a sentence, are no part of the value.
+        bare = value.lstrip("\\\"'`")
+        start, value = start + len(value) - len(bare), bare.rstrip("\\\"'`,;.)]}>")
+        end = start + len(value)
+    if value:
+        reference = bool(_REFERENCE.fullmatch(value)) or (value.replace("_", "").isalpha() and any(k in value.lower() for k in _KEY_WORDS))
+        firm = quoted or "=" in name or not value.isalpha()
+        yield Candidate(start, end, "assigned", firm and len(value) >= 4 and not re.search(r"\s", value) and not reference and bool(_PASSWORDS.search(name)), reference)
 
 
 def features(text: str, m: Candidate, words: frozenset[str]) -> list[float]:
