@@ -7,15 +7,17 @@ import ipaddress
 import re
 import unicodedata
 from collections.abc import Callable, Iterable, Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from statloom.llm.bitmaps import BITS, spread
+from statloom.llm.bitmaps import BITS, holds, marked, spread
 from statloom.session import materialize
 
 #: Rounds of the keyed permutation.
@@ -68,9 +70,10 @@ _PHONES = [
     r"(?:\d[ .\-])?\(\d{2,5}\)[ .\-]?\d{2,4}(?:[ .\-]?\d{2,4}){1,3}",
     r"[2-9]\d{9}|1[2-9]\d{9}|0[1-9]\d{8,9}",
 ]
-#: The part of a name before an underscore is the kind.
+_LABEL = r"[A-Za-z0-9](?:[A-Za-z0-9\-]{0,61}[A-Za-z0-9])?"
+#: The part of a name before an underscore is the kind. Every run is bounded, or starts where no longer one does.
 PATTERNS = {
-    "email": r"[A-Za-z0-9][A-Za-z0-9._%+\-]*@[A-Za-z0-9](?:[A-Za-z0-9\-]*[A-Za-z0-9])?(?:\.[A-Za-z0-9](?:[A-Za-z0-9\-]*[A-Za-z0-9])?)*\.[A-Za-z]{2,}",
+    "email": rf"(?<![A-Za-z0-9])[A-Za-z0-9][A-Za-z0-9._%+\-]{{0,254}}@{_LABEL}(?:\.{_LABEL}){{0,32}}\.[A-Za-z]{{2,63}}",
     "iban": rf"\b(?=[A-Z]{{2}}\d{{2}})(?:{_IBAN}|[A-Z]{{2}}\d{{2}}(?: ?[A-Z0-9]{{4}}){{2,7}}(?: ?[A-Z0-9]{{1,3}})?)(?![A-Za-z0-9])",
     "ip": r"(?<![\d.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?![\d]|\.\d)",
     "card_long": r"(?<![\w.\-+])(?:[2-6]\d{3}(?P<hyphen>[ \-])(?:\d{4}(?P=hyphen)){3}\d{3}|3\d{3}[ \-]\d{6}[ \-]\d{4,5}|[2-6]\d{12,14}|[2-6]\d{16,18})(?![\w\-])",
@@ -81,8 +84,14 @@ PATTERNS = {
     "ip_six": r"(?<![\w:.])(?:[0-9A-Fa-f]{0,4}:){2,7}(?:(?:\d{1,3}\.){3}\d{1,3}|[0-9A-Fa-f]{1,4}|(?<=::))(?![\w:])",
 }
 _SINGLE = {k: re.compile(v) for k, v in PATTERNS.items()}
-FINDER = re.compile("|".join(f"(?P<{k}>{v})" for k, v in PATTERNS.items() if k != "ip_six"))
-FINDER_SIX = re.compile("|".join(f"(?P<{k}>{v})" for k, v in PATTERNS.items()))
+
+
+@cache
+def _finder(without: frozenset[str]) -> re.Pattern:
+    """All patterns as one, but for those that a text has nothing for."""
+    return re.compile("|".join(f"(?P<{k}>{v})" for k, v in PATTERNS.items() if k not in without))
+
+
 #: Given names of the pools, folded, and the pool of each.
 POOLS = {name.casefold(): [x.casefold() for x in pool] for pool in GIVEN.values() for name in pool}
 _WORDS = re.compile(rf"(?<![^\W_]){_CAPITAL}")
@@ -98,12 +107,14 @@ def _permute(number: int, size: int, key: bytes) -> int:
     if size < 2:
         return number
     half = ((size - 1).bit_length() + 1) // 2
-    mask = (1 << half) - 1
+    mask, width = (1 << half) - 1, max(16, (half + 7) // 8)
     while True:
         left, right = number >> half, number & mask
         for r in range(ROUNDS):
-            digest = hashlib.blake2b(b"%d:%d" % (r, right), key=key, digest_size=16).digest()
-            left, right = right, left ^ (int.from_bytes(digest, "big") & mask)
+            # Beyond what one digest holds it seeds a stream of as many bytes as half the number has.
+            digest = hashlib.blake2b(b"%d:%x" % (r, right), key=key, digest_size=min(width, 64)).digest()
+            stream = digest if width <= 64 else hashlib.shake_256(digest).digest(width)
+            left, right = right, left ^ (int.from_bytes(stream, "big") & mask)
         number = (left << half) | right
         if number < size:
             return number
@@ -206,8 +217,8 @@ def _names(found: str) -> list[str]:
     return words[1:] if words[0].rstrip(".") in _GENDERS and len(words) > 1 else words
 
 
-def _valid(kind: str, found: str) -> bool:
-    """What a pattern cannot tell: check digits, numbers of digits, addresses."""
+def _valid(kind: str, found: str, before: str = "") -> bool:
+    """What a pattern cannot tell: check digits, numbers of digits, addresses, and whether groups of digits are but numbers."""
     if kind == "iban":
         whole = found.replace(" ", "")
         return whole[2:4] == _iban_check(whole[:2], whole[4:])
@@ -215,6 +226,10 @@ def _valid(kind: str, found: str) -> bool:
         digits = re.sub(r"\D", "", found)
         return _luhn(digits[:-1]) == int(digits[-1])
     if kind == "phone":
+        if not (found[0] in "+0(" or "-" in found or "(" in found or found.isdigit() or _CALLED(before)):
+            # Groups apart by blanks or dots alone: three, three and four digits are a telephone number, others may count anything.
+            if [len(x) for x in re.split(r"[ .]", found)][-3:] != [3, 3, 4]:
+                return False
         return sum(c.isdigit() for c in found) <= (17 if found.startswith("00") else 16 if "(0)" in found else 15) and len(_national(found)) >= 5
     if kind == "ip_six":
         try:
@@ -333,7 +348,10 @@ def _gender(found: str) -> str:
 
 
 _DIGIT = re.compile(r"\d").search
+#: What is written before a telephone number, in the last letters before it.
+_CALLED = re.compile(r"(?i)(?:\b(?:tel|fon|fono|phone|telefon|telefono|teléfono|téléphone|mobile?|móvil|handy|cell|fax|call|dial|ring|ruf|llame|appele[rz]|whatsapp|sms)|тел(?:ефон)?|факс|電話|电话|手机)\w{0,6}[^\w]{0,4}(?:\w{1,8}[^\w]{1,3})?$").search
 _COLONS = re.compile(r"(?<!\w)[0-9A-Fa-f]{0,4}:[0-9A-Fa-f]{0,4}:").search
+_DIGITS_ONLY = frozenset(PATTERNS) - {"email", "person", "ip_six"}
 _TITLES = [f"{t}{end}" for group in TITLES.values() for t in group for end in (" ", ". ")]
 _POOL_NAMES = [name for pool in GIVEN.values() for name in pool]
 
@@ -346,8 +364,9 @@ def mentions(text: str | None, known: frozenset[str] = frozenset()) -> Iterator[
     if not text:
         return
     at = 0
-    colons = _COLONS(text) is not None
-    for kind, m in _patterned(text, FINDER_SIX if colons else FINDER) if "@" in text or _DIGIT(text) or colons or any(t in text for t in _TITLES) else ():
+    there = {"email": "@" in text, "person": any(t in text for t in _TITLES), "ip_six": _COLONS(text) is not None}
+    missing = frozenset(k for k, is_there in there.items() if not is_there) | (frozenset() if _DIGIT(text) else _DIGITS_ONLY)
+    for kind, m in _patterned(text, _finder(missing)) if len(missing) < len(PATTERNS) else ():
         yield from _untitled(text, at, m.start(), known)
         yield kind, m
         at = m.end()
@@ -358,11 +377,12 @@ def _patterned(text: str, finder: re.Pattern) -> Iterator[tuple[str, re.Match]]:
     at = 0
     while m := finder.search(text, at):
         name = m.lastgroup
-        if not _valid(name, m[0]):
+        before = text[max(0, m.start() - 24) : m.start()]
+        if not _valid(name, m[0], before):
             # What the first pattern claims may still have the form of a later one.
             names = list(_SINGLE)
             later = ((k, _SINGLE[k].match(text, m.start())) for k in names[names.index(name) + 1 :])
-            name, m = next(((k, x) for k, x in later if x and _valid(k, x[0])), (None, m))
+            name, m = next(((k, x) for k, x in later if x and _valid(k, x[0], before)), (None, m))
         if name:
             yield name.partition("_")[0], m
         at = m.end() if name else m.start() + 1
@@ -404,51 +424,56 @@ def replace(documents: DataFrame, secret: bytes, attempts: int = 16) -> DataFram
     new names are replaced; other columns stay; texts are read whole.
     """
     kept = documents.drop("n_entities", "kinds")
-    found = kept.select(F.col("text").cast("string").alias("text")).mapInArrow(_entities, "kind string, entity string").distinct()
-    found = materialize(found, "entities")
-    entities, titled = found.where("kind <> 'known'"), found.where("kind = 'known'").select(F.col("entity").alias("word"))
-    redrawn = _redrawn(entities, secret, attempts)
+    texts = kept.select(F.col("text").cast("string").alias("text")).withColumn("texthash", F.xxhash64("text"))
+    found = materialize(texts.mapInArrow(_entities, "texthash bigint, kind string, entity string"), "mentions")
+    titled = materialize(found.where("kind = 'known'").select(F.col("entity").alias("word")).distinct(), "titled")
+    held = found.where("kind <> 'known'")
+    redrawn = _redrawn(held.select("kind", "entity").distinct(), secret, attempts)
+    words = materialize(_known(texts, titled), "known")
+
+    # What a text has to know: its names without a title, and its entities that were drawn again. Few texts do;
+    # the others are replaced where they lie, and a bitmap of fixed size tells them apart.
+    held = held.unionByName(words.select("texthash", F.lit("name").alias("kind"), F.col("word").alias("entity"))).distinct()
+    told = held.join(redrawn, ["kind", "entity"]).select("texthash", F.struct("kind", "entity", "attempt").alias("again"), F.lit(None).cast("string").alias("word"))
+    told = told.unionByName(words.select("texthash", F.lit(None).cast(told.schema["again"].dataType).alias("again"), "word"))
+    told = materialize(told.groupBy("texthash").agg(F.collect_set("again").alias("__again"), F.collect_set("word").alias("__known")), "told")
+    marks = spread(told, "texthash")
+
     keyed = kept.withColumn("__texthash", F.xxhash64(F.col("text").cast("string")))
-    texts = keyed.select(F.col("text").cast("string").alias("text"), "__texthash")
-    words = _known(texts, titled) if titled.limit(1).count() else None
-    if words is not None:
-        keyed = keyed.join(words, F.col("__texthash") == F.col("texthash"), "left").drop("texthash")
-    else:
-        keyed = keyed.withColumn("__known", F.lit(None).cast("array<string>"))
-    if redrawn is None:
-        keyed = keyed.withColumn("__again", F.lit(None).cast("array<struct<kind:string,entity:string,attempt:int>>"))
-    else:
-        held = keyed.select(F.col("text").cast("string").alias("text"), "__texthash", "__known").mapInArrow(_held, "texthash bigint, kind string, entity string").distinct()
-        lists = held.join(redrawn, ["kind", "entity"]).groupBy("texthash").agg(F.collect_set(F.struct("kind", "entity", "attempt")).alias("__again"))
-        keyed = keyed.join(lists, F.col("__texthash") == F.col("texthash"), "left").drop("texthash")
     schema = kept.select("*", F.lit(0).cast("bigint").alias("n_entities"), F.expr("cast(map() as map<string,bigint>) as kinds")).schema
-    return keyed.drop("__texthash").mapInArrow(lambda batches: _replaced(batches, secret, attempts), schema)
+
+    def alone(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return _replaced((b.filter(pc.invert(marked(b["__texthash"], marks))) for b in batches), secret, attempts)
+
+    plain = keyed.mapInArrow(alone, schema)
+    asked = holds(keyed, "__texthash", marks).join(told, F.col("__texthash") == F.col("texthash"), "left").drop("texthash")
+    return plain.unionByName(asked.mapInArrow(lambda batches: _replaced(batches, secret, attempts), schema))
 
 
 def _entities(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(kind, entity) of what gets a surrogate, and of kind "known" the words that count without a title too."""
+    """(texthash, kind, entity) of what gets a surrogate, and of kind "known" the words that count without a title too."""
     for batch in batches:
         found = set()
-        for t in batch["text"]:
+        for h, t in zip(batch["texthash"].to_pylist(), batch["text"], strict=True):
             for k, m in mentions(t.as_py()):
                 entity = canonical(k, m[0])
-                found.update(parts(k, entity))
+                found.update((h, *part) for part in parts(k, entity))
                 if k == "person":
                     titled = m[0].split()[0].rstrip(".") in _GENDERS
-                    found.update(("known", x) for x in entity.partition(":")[2].split() if titled or x in POOLS)
-        columns = list(zip(*sorted(found), strict=True)) or [(), ()]
-        yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in columns], ["kind", "entity"])
+                    found.update((h, "known", x) for x in entity.partition(":")[2].split() if titled or x in POOLS)
+        columns = list(zip(*sorted(found), strict=True)) or [(), (), ()]
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.string(), pa.string()), strict=True)], ["texthash", "kind", "entity"])
 
 
 def _known(texts: DataFrame, titled: DataFrame) -> DataFrame:
-    """(texthash, __known): the words of a text that titles name, of those the table has capitalized at least as often as not."""
+    """(texthash, word): the words of a text that titles name, of those the table has capitalized at least as often as not."""
     may: Broadcast = spread(titled.select(F.xxhash64("word").alias("hash")), "hash")
 
     def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits, met = may.value, {}
-        for batch in batches:
+        for batch in batches if bits.any() else ():  # no title, no name to look for
             rows = []
-            for texthash, text in zip(batch["__texthash"].to_pylist(), batch["text"].to_pylist(), strict=True):
+            for texthash, text in zip(batch["texthash"].to_pylist(), batch["text"].to_pylist(), strict=True):
                 seen: dict[str, list[int]] = {}
                 for word in _ANY_WORD.findall(text or ""):
                     if word not in met:
@@ -466,23 +491,15 @@ def _known(texts: DataFrame, titled: DataFrame) -> DataFrame:
     seen = materialize(texts.mapInArrow(count, "texthash bigint, word string, upper bigint, lower bigint"), "words")
     counted = seen.groupBy("word").agg(F.sum("upper").alias("up"), F.sum("lower").alias("low")).where("up >= low")
     names = materialize(counted.join(titled, "word", "left_semi").select("word"), "names")
-    return seen.where("upper > 0").join(names, "word").groupBy("texthash").agg(F.collect_set("word").alias("__known"))
-
-
-def _held(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        rows = zip(*(batch[c].to_pylist() for c in ("__texthash", "text", "__known")), strict=True)
-        found = {(h, *part) for h, t, known in rows for k, m in mentions(t, frozenset(known or ())) for part in parts(k, canonical(k, m[0]))}
-        columns = list(zip(*sorted(found), strict=True)) or [(), (), ()]
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.string(), pa.string()), strict=True)], ["texthash", "kind", "entity"])
+    return seen.where("upper > 0").join(names, "word").select("texthash", "word").distinct()
 
 
 def _longer(attempt: int, attempts: int) -> int:
     return LONGER * max(0, attempt - attempts + 1)
 
 
-def _redrawn(entities: DataFrame, secret: bytes, attempts: int) -> DataFrame | None:
-    """(kind, entity, attempt) of the entities whose first surrogate clashes, with the attempt that does not; None without any."""
+def _redrawn(entities: DataFrame, secret: bytes, attempts: int) -> DataFrame:
+    """(kind, entity, attempt) of the entities whose first surrogate clashes, with the attempt that does not."""
 
     def draw(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -490,6 +507,7 @@ def _redrawn(entities: DataFrame, secret: bytes, attempts: int) -> DataFrame | N
             made = [surrogate(k, e, secret, a, _longer(a, attempts)) for k, e, a in rows]
             yield pa.RecordBatch.from_arrays([batch["kind"], batch["entity"], batch["attempt"], pa.array(made, pa.string())], ["kind", "entity", "attempt", "made"])
 
+    entities = materialize(entities, "entities")
     drawn = entities.select("kind", "entity", F.lit(0).alias("attempt"))
     while True:
         drawn = materialize(drawn.mapInArrow(draw, "kind string, entity string, attempt int, made string"), "drawn")
@@ -499,15 +517,15 @@ def _redrawn(entities: DataFrame, secret: bytes, attempts: int) -> DataFrame | N
         later = drawn.join(first, ["kind", "made"]).where("entity <> first.entity").select("kind", "entity")
         clash = materialize(taken.unionByName(later).distinct().withColumn("again", F.lit(1)), "clash")
         if clash.limit(1).count() == 0:
-            redrawn = drawn.where("attempt > 0").select("kind", "entity", "attempt")
-            return redrawn if redrawn.limit(1).count() else None
+            return drawn.where("attempt > 0").select("kind", "entity", "attempt")
         drawn = drawn.join(clash, ["kind", "entity"], "left").select("kind", "entity", (F.col("attempt") + F.coalesce("again", F.lit(0))).cast("int").alias("attempt"))
 
 
 def _replaced(batches: Iterable[pa.RecordBatch], secret: bytes, attempts: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         texts, counts, kinds = [], [], []
-        for text, again, known in zip(*(batch[c].to_pylist() for c in ("text", "__again", "__known")), strict=True):
+        told = [batch[c].to_pylist() if c in batch.schema.names else [None] * len(batch) for c in ("text", "__again", "__known")]
+        for text, again, known in zip(*told, strict=True):
             drawn = {(x["kind"], x["entity"]): x["attempt"] for x in again or ()}
             parts, at, met = [], 0, {}
 
@@ -523,7 +541,7 @@ def _replaced(batches: Iterable[pa.RecordBatch], secret: bytes, attempts: int) -
             texts.append("".join([*parts, text[at:]]) if parts else text)
             counts.append(sum(met.values()))
             kinds.append(sorted(met.items()))
-        columns = {name: batch[name] for name in batch.schema.names if name not in ("__again", "__known")}
+        columns = {name: batch[name] for name in batch.schema.names if name not in ("__texthash", "__again", "__known")}
         columns["text"] = pa.array(texts, batch.schema.field("text").type)
         columns["n_entities"], columns["kinds"] = pa.array(counts, pa.int64()), pa.array(kinds, pa.map_(pa.string(), pa.int64()))
         yield pa.RecordBatch.from_arrays(list(columns.values()), list(columns))
