@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from statloom.operators.terms import MIN_OBSERVED, observe_days, refused_days
@@ -51,13 +51,48 @@ def _claim(spark: SparkSession, checkpoint: str, batch_id: int, free: int) -> in
     return noted[0] if noted else free
 
 
-def load_batches(path: str, checkpoint: str) -> Callable[[DataFrame, int], None]:
+#: Runs after which the current state is written anew, and the parts it is dealt into by key.
+SNAPSHOT_EVERY, BUCKETS = 8, 64
+STATE = [*KEY, "value", "is_provisional"]
+
+
+def _bucket(buckets: int) -> Column:
+    return F.pmod(F.xxhash64(*KEY), F.lit(buckets)).cast("int")
+
+
+def current_state(spark: SparkSession, path: str, run: int, known: list[int], touched: list[int] | None = None, buckets: int = BUCKETS) -> DataFrame | None:
+    """The newest row of every key as it was before `run`, or of the keys of `touched` buckets; None before the first run.
+
+    The state is the newest snapshot of an earlier run and what the runs after it have changed: the partitions of the
+    history are those changes. Of a snapshot only the touched buckets are read, and only runs after it, so that what a
+    batch reads follows the keys that it brings and not the length of the history.
+    """
+    place = f"{path}/_current-{buckets}"
+    snapshots = [n for n in numbered(spark, place, "run_id", "_SUCCESS") if n < run]
+    last = snapshots[-1] if snapshots else None
+    recent = [k for k in known if k < run and (last is None or k > last)]
+    parts = []
+    if last is not None:
+        kept = spark.read.parquet(f"{place}/run_id={last}")
+        parts.append((kept if touched is None else kept.filter(F.col("bucket").isin(touched))).select(*STATE, F.lit(last).alias("run_id")))
+    if recent:
+        changes = spark.read.option("basePath", path).parquet(*[f"{path}/run_id={k}" for k in recent])
+        changes = changes.withColumn("bucket", _bucket(buckets))
+        parts.append((changes if touched is None else changes.filter(F.col("bucket").isin(touched))).select(*STATE, F.col("run_id").cast("int").alias("run_id")))
+    if not parts:
+        return None
+    return latest_vintage(parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1]))
+
+
+def load_batches(path: str, checkpoint: str, every: int = SNAPSHOT_EVERY, buckets: int = BUCKETS) -> Callable[[DataFrame, int], None]:
     """foreachBatch function: appends what is new or revised against the history at `path`.
 
     A batch is the run after the last one listed in the history, whatever its id, and the number is
     noted in the stream's `checkpoint`. A batch that is retried keeps its number, sees only earlier
     runs and overwrites its own partition, so every batch lands exactly once; a new checkpoint over
-    an old history goes on after it. A batch without rows writes nothing.
+    an old history goes on after it. A batch without rows writes nothing. Every `every` runs the state
+    is written as a snapshot, dealt into `buckets` by key, in a folder beside the partitions that readers
+    of the history pass over; a history without snapshots gets its first one then.
     """
     def load(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
@@ -66,14 +101,17 @@ def load_batches(path: str, checkpoint: str) -> Callable[[DataFrame, int], None]
         rows = batch.drop("run_id")
         known = numbered(spark, path, "run_id")
         run = _claim(spark, checkpoint, batch_id, max(known, default=-1) + 1)
-        if any(k < run for k in known):
-            history = spark.read.option("basePath", path).parquet(path).filter(F.col("run_id") < run)
-            latest = latest_vintage(history.select(*KEY, "value", "is_provisional", "run_id"))
-            changed = detect_changes(rows, latest)
-        else:
-            changed = rows.withColumn("change", F.lit("new"))
+        touched = [r[0] for r in rows.select(_bucket(buckets)).distinct().collect()]  # `buckets` numbers at most
+        state = current_state(spark, path, run, known, touched, buckets)
+        changed = rows.withColumn("change", F.lit("new")) if state is None else detect_changes(rows, state)
         kept = changed.filter("change <> 'unchanged'").drop("change").withColumn("run_id", F.lit(run))
         kept.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("run_id").parquet(path)
+        if (run + 1) % every == 0:
+            known = numbered(spark, path, "run_id")
+            whole = current_state(spark, path, run + 1, known, None, buckets)
+            if whole is not None:
+                dealt = whole.select(*STATE, _bucket(buckets).alias("bucket")).repartition("bucket")
+                dealt.write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/_current-{buckets}/run_id={run}")
 
     return load
 

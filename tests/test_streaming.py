@@ -53,6 +53,38 @@ def test_a_new_checkpoint_goes_on_after_the_history(spark, tmp_path):
     assert rows == {("a", 1.0, 0), ("b", 2.0, 0), ("a", 1.5, 1)}
 
 
+def test_what_a_load_reads_does_not_grow_with_the_history(spark, tmp_path):
+    path, want, files = str(tmp_path / "history"), {}, []
+    load = J.load_batches(path, str(tmp_path / "mark"), every=4, buckets=4)
+    for run in range(17):
+        values = {f"p{k}": float(run // (k + 1)) for k in range(12)}
+        known = J.numbered(spark, path, "run_id")
+        state = J.current_state(spark, path, run, known, buckets=4)
+        if state is not None:
+            files.append(len(state.inputFiles()))
+            assert {r.place: r.value for r in state.collect()} == want
+            one = J.current_state(spark, path, run, known, touched=[2], buckets=4)
+            assert {r.place for r in one.collect()} < set(want)
+        load(figures(spark, *values.items()), run)
+        if run % 5 == 0:
+            load(figures(spark, *values.items()), run)  # a retry, also of runs that end in a snapshot
+        want.update(values)
+    rows = spark.read.parquet(path)
+    assert {r.place: r.value for r in latest_vintage(rows).collect()} == want
+    assert rows.count() == sum(1 + sum(r // (k + 1) != (r - 1) // (k + 1) for r in range(1, 17)) for k in range(12))
+    assert max(files) <= 4 + 3 * 4  # a snapshot of four buckets and three runs, however many there are
+
+
+def test_a_history_without_snapshots_goes_on(spark, tmp_path):
+    path = str(tmp_path / "history")
+    for run in range(3):
+        J.load_batches(path, str(tmp_path / "old"), every=100)(figures(spark, ("a", 1.0 + run), ("b", 2.0)), run)
+    for run in range(3):
+        J.load_batches(path, str(tmp_path / "new"), every=2)(figures(spark, ("a", 5.0 + run), ("b", 2.0)), run)
+    rows = sorted((r.place, r.value, r.run_id) for r in spark.read.parquet(path).collect())
+    assert rows == [*(("a", float(v), n) for n, v in enumerate([1, 2, 3, 5, 6, 7])), ("b", 2.0, 0)]
+
+
 def test_late_readings_are_dropped(spark, tmp_path):
     schema = "place string, observed_at timestamp, value double"
     land = str(tmp_path / "land")
