@@ -71,6 +71,15 @@ def _rarest(asked: DataFrame, sizes: DataFrame) -> DataFrame:
     return sized.groupBy("query").agg(F.min("_k").alias("_k")).select("query", "_k.key")
 
 
+def _names_with(names: DataFrame, queries: DataFrame) -> DataFrame:
+    """(name, query) pairs in which the name holds the query, found by the rarest four-letter gram of the query."""
+    distinct = names.groupBy("name").agg(F.count(F.lit(1)).alias("n"))
+    asked = queries.select("query", F.explode(_grams(F.col("query"))).alias("key"))
+    grams = distinct.select("name", "n", F.explode(_grams(F.col("name"))).alias("key")).join(asked.select("key").distinct(), "key")
+    by_gram = _rarest(asked, grams.groupBy("key").agg(F.sum("n").alias("size"))).join(grams.select("key", "name"), "key")
+    return by_gram.filter(F.col("name").contains(F.col("query"))).select("name", "query")
+
+
 def candidates(entries: DataFrame, queries: DataFrame) -> DataFrame:
     """(entry_id, query) pairs that may score.
 
@@ -94,23 +103,75 @@ def candidates(entries: DataFrame, queries: DataFrame) -> DataFrame:
     posted = posting.join(by_word, "word").select("entry_id", "query")
 
     names = entries.select("entry_id", F.explode("names").alias("name"))
-    distinct = names.groupBy("name").agg(F.count(F.lit(1)).alias("n"))
-    asked_grams = queries.select("query", F.explode(_grams(F.col("query"))).alias("key"))
-    grams = distinct.select("name", "n", F.explode(_grams(F.col("name"))).alias("key")).join(asked_grams.select("key").distinct(), "key")
-    by_gram = _rarest(asked_grams, grams.groupBy("key").agg(F.sum("n").alias("size"))).join(grams.select("key", "name"), "key")
-    inside = by_gram.filter(F.col("name").contains(F.col("query"))).select("name", "query")
+    inside = _names_with(names, queries)
     return posted.unionByName(names.join(inside, "name").select("entry_id", "query")).distinct()
 
 
-def score_terms(entries: DataFrame, queries: DataFrame) -> DataFrame:
-    """Score of every (entry, query) pair that matches at all.
+def _by_title() -> list[Column]:
+    return [F.length("title"), F.col("title"), F.col("entry_id")]
 
-    Names count in full, aliases 0.9 and never inside a word; the description only when nothing
-    else matches and every token starts one of its words. Entries and queries are read many times, hence
-    written once.
+
+def _postings(entries: DataFrame) -> DataFrame:
+    """A row per entry and word: kind (name, alias, text), and whether the word begins or is its whole term."""
+
+    def spelled(kind: str, terms: Column) -> Column:
+        def of_one(term: Column) -> Column:
+            words = _words(term)
+            of_text = F.lit(kind == "text")
+            return F.transform(
+                words, lambda w, i: F.struct(
+                    F.lit(kind).alias("kind"), w.alias("word"), ((i == 0) & ~of_text).alias("first"), ((F.size(words) == 1) & ~of_text).alias("whole")
+                )
+            )
+
+        return F.flatten(F.transform(terms, of_one))
+
+    terms = [spelled("name", F.col("names")), spelled("alias", F.col("aliases")), spelled("text", F.array("text"))]
+    every = F.array_distinct(F.concat(*terms))
+    return entries.select("entry_id", "type", "title", F.explode(every).alias("_p")).select("entry_id", "type", "title", "_p.*")
+
+
+def best_candidates(entries: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+    """(entry_id, query) pairs that hold the best k entries of every one-word query.
+
+    All entries of one type that match a query in the same way have the same score there, so of each
+    such list only the first k by title can be among the best: whoever is missing from the list
+    of its best match has k entries before it. Lists are made from short to shorter: k rows per word, then
+    k per beginning of a word, each kept by the tasks before the shuffle, so neither a word that every entry
+    holds nor a query of one letter meets more than k rows a task and list.
     """
-    entries, queries = materialize(entries, "entries"), materialize(queries, "queries")
-    pairs = candidates(entries, queries).join(entries, "entry_id").withColumn("_tokens", _words(F.col("query")))
+    heads = materialize(top_rows(_postings(entries), ["kind", "first", "whole", "type", "word"], _by_title(), k).drop("position"), "postings")
+    row = ["kind", "type", "title", "entry_id"]
+
+    whole = heads.filter("whole").select(F.col("word").alias("query"), "entry_id")
+    starts = F.transform(F.sequence(F.lit(1), F.length("word")), lambda i: F.substr(F.col("word"), F.lit(1), i))
+    begun = top_rows(heads.select(*row, "first", F.explode(starts).alias("query")), ["query", "kind", "first", "type"], _by_title(), k)
+
+    titled = heads.filter("kind <> 'text'")
+    long_words = titled.filter(F.length("word") >= MIN_TYPO - 1).select("word").distinct()
+    long_queries = queries.filter(F.length("query") >= MIN_TYPO)
+    near = long_words.select("word", F.explode(_deletions(F.col("word"))).alias("key")).join(
+        long_queries.select("query", F.explode(_deletions(F.col("query"))).alias("key")), "key"
+    ).filter(F.levenshtein("word", "query", 1) >= 0).select("word", "query").distinct()
+    mistyped = top_rows(titled.join(near, "word"), ["query", "kind", "type"], _by_title(), k)
+
+    names = entries.select("type", "title", "entry_id", F.explode("names").alias("name"))
+    names = materialize(top_rows(names, ["type", "name"], _by_title(), k).drop("position"), "names")
+    # A gram is a query of its own; longer queries are looked up by their rarest gram.
+    grams = names.select("type", "title", "entry_id", F.explode(_grams(F.col("name"))).alias("query"))
+    inside = top_rows(grams, ["query", "type"], _by_title(), k)
+    holding = names.join(_names_with(names, queries.filter(F.length("query") > MIN_INSIDE)), "name")
+    longer = top_rows(holding, ["query", "type"], _by_title(), k)
+
+    out = whole
+    for part in (begun, mistyped, inside, longer):
+        out = out.unionByName(part.select("query", "entry_id"))
+    return out.join(queries, "query", "left_semi").distinct()
+
+
+def _scored(pairs: DataFrame, entries: DataFrame) -> DataFrame:
+    """Scores of (entry_id, query) pairs, those that do not match at all left out."""
+    pairs = pairs.join(entries, "entry_id").withColumn("_tokens", _words(F.col("query")))
     q, tokens = F.col("query"), F.col("_tokens")
     best_name = F.array_max(F.transform("names", lambda n: term_score(n, q, tokens, True)))
     best_alias = F.array_max(F.transform("aliases", lambda a: term_score(a, q, tokens, False))) * ALIAS_FACTOR
@@ -124,12 +185,26 @@ def score_terms(entries: DataFrame, queries: DataFrame) -> DataFrame:
     )
 
 
+def score_terms(entries: DataFrame, queries: DataFrame) -> DataFrame:
+    """Score of every (entry, query) pair that matches at all.
+
+    Names count in full, aliases 0.9 and never inside a word; the description only when nothing
+    else matches and every token starts one of its words. Entries and queries are read many times, hence
+    written once.
+    """
+    entries, queries = materialize(entries, "entries"), materialize(queries, "queries")
+    return _scored(candidates(entries, queries), entries)
+
+
 def search(entries: DataFrame, queries: DataFrame, k: int = 8) -> DataFrame:
     """Best k entries per query: score, then the shorter title, then the title.
 
-    `entries`: entry_id and the columns of search_index; `queries`: raw. Spark keeps k rows per
-    query in each task before the shuffle.
+    `entries`: entry_id and the columns of search_index; `queries`: raw. One-word queries, which may
+    match very many entries, score only the heads of their lists (best_candidates); queries of several
+    words score what holds their rarest one. Spark keeps k rows per query in each task before the shuffle.
     """
     asked = queries.select(normalize_text(F.col("raw")).alias("query")).filter("query <> ''").distinct()
-    order = [F.col("score").desc(), F.length("title"), F.col("title"), F.col("entry_id")]
-    return top_rows(score_terms(entries, asked), ["query"], order, k)
+    entries, asked = materialize(entries, "entries"), materialize(asked, "queries")
+    one_word = ~F.col("query").contains(" ")
+    pairs = best_candidates(entries, asked.filter(one_word), k).unionByName(candidates(entries, asked.filter(~one_word)).select("query", "entry_id"))
+    return top_rows(_scored(pairs, entries), ["query"], [F.col("score").desc(), *_by_title()], k)

@@ -177,3 +177,43 @@ def test_features_that_meet_any_box(spark):
     want = {f[0] for f in features if any(f[1] < b[3] and f[3] > b[1] and f[2] < b[4] and f[4] > b[2] for b in boxes[:30])}
     rows = [r.id for r in got.collect()]
     assert set(rows) == want and len(rows) == len(want)
+
+
+def _random_entries(spark, rng, n):
+    """Few letters and short words, so that every kind of match and many ties occur."""
+    def word():
+        return "".join(rng.choice("abc") for _ in range(rng.randint(1, 6)))
+
+    def term():
+        return " ".join(word() for _ in range(rng.randint(1, 3)))
+
+    rows = [
+        (rng.choice(["state", "city", "page"]), term(), [term() for _ in range(rng.randint(0, 2))] + ["common"], [term()] * rng.randint(0, 1), term())
+        for _ in range(n)
+    ]
+    part = spark.createDataFrame(rows, "type string, title string, names array<string>, aliases array<string>, text string")
+    queries = sorted({word() for _ in range(60)} | {term() for _ in range(40)} | {"common", "c", "comon", "ommo", "a"})
+    return Q.search_index([part]).withColumn("entry_id", F.monotonically_increasing_id()), spark.createDataFrame([(q,) for q in queries], "raw string")
+
+
+@pytest.mark.parametrize("k", [1, 3, 8])
+def test_heads_of_lists_hold_the_best(spark, k):
+    entries, queries = _random_entries(spark, random.Random(k), 250)
+    entries = spark.createDataFrame(entries.collect(), entries.schema)
+    order = [F.col("score").desc(), F.length("title"), F.col("title"), F.col("entry_id")]
+    every = Q.score_terms(entries, queries.select(F.col("raw").alias("query")))
+    want = Q.top_rows(every, ["query"], order, k).select("query", "position", "entry_id", "score")
+    got = Q.search(entries, queries, k).select("query", "position", "entry_id", "score")
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+
+
+def test_one_letter_scores_few_of_many(spark):
+    """20,000 entries begin with the letter: what is scored depends on k and the types, not on their number."""
+    n, k = 20_000, 8
+    entries = spark.range(n).select(
+        F.col("id").alias("entry_id"), F.lit("city").alias("type"), F.format_string("a%05d", "id").alias("title"),
+        F.array(F.format_string("a%05d", "id"), F.lit("all of them")).alias("names"), F.array(F.lit("alias")).alias("aliases"), F.lit("at large").alias("text"),
+    )
+    pairs = Q.best_candidates(entries, spark.createDataFrame([("a",), ("all",), ("them",)], "query string"), k)
+    counts = {r["query"]: r["count"] for r in pairs.groupBy("query").count().collect()}
+    assert set(counts) == {"a", "all", "them"} and max(counts.values()) <= 8 * k
