@@ -112,7 +112,7 @@ def _by_title() -> list[Column]:
 
 
 def _postings(entries: DataFrame) -> DataFrame:
-    """A row per entry and word: kind (name, alias, text), and whether the word begins or is its whole term."""
+    """A row per entry and word: kind (name, alias, text), and whether the word begins or is its whole term; also whole names."""
 
     def spelled(kind: str, terms: Column) -> Column:
         def of_one(term: Column) -> Column:
@@ -126,7 +126,10 @@ def _postings(entries: DataFrame) -> DataFrame:
 
         return F.flatten(F.transform(terms, of_one))
 
-    terms = [spelled("name", F.col("names")), spelled("alias", F.col("aliases")), spelled("text", F.array("text"))]
+    full = F.transform(
+        "names", lambda n: F.struct(F.lit("full").alias("kind"), n.alias("word"), F.lit(False).alias("first"), F.lit(False).alias("whole"))
+    )
+    terms = [spelled("name", F.col("names")), spelled("alias", F.col("aliases")), spelled("text", F.array("text")), full]
     every = F.array_distinct(F.concat(*terms))
     return entries.select("entry_id", "type", "title", F.explode(every).alias("_p")).select("entry_id", "type", "title", "_p.*")
 
@@ -141,32 +144,28 @@ def best_candidates(entries: DataFrame, queries: DataFrame, k: int) -> DataFrame
     holds nor a query of one letter meets more than k rows a task and list.
     """
     heads = materialize(top_rows(_postings(entries), ["kind", "first", "whole", "type", "word"], _by_title(), k).drop("position"), "postings")
-    row = ["kind", "type", "title", "entry_id"]
-
-    whole = heads.filter("whole").select(F.col("word").alias("query"), "entry_id")
-    starts = F.transform(F.sequence(F.lit(1), F.length("word")), lambda i: F.substr(F.col("word"), F.lit(1), i))
-    begun = top_rows(heads.select(*row, "first", F.explode(starts).alias("query")), ["query", "kind", "first", "type"], _by_title(), k)
+    row, word = ["type", "title", "entry_id"], F.col("word")
+    starts = F.transform(F.sequence(F.lit(1), F.length(word)), lambda i: F.substr(word, F.lit(1), i))
+    # Words are met by their beginnings, names by their grams: a gram is a query of its own.
+    own = heads.select(
+        *row, F.concat("kind", F.col("first").cast("string")).alias("list"),
+        F.explode(F.when(F.col("kind") == "full", _grams(word)).otherwise(starts)).alias("query"),
+    )
+    whole = heads.filter("whole").select(*row, F.concat(F.lit("whole "), "kind").alias("list"), word.alias("query"))
 
-    titled = heads.filter("kind <> 'text'")
-    long_words = titled.filter(F.length("word") >= MIN_TYPO - 1).select("word").distinct()
+    titled, names = heads.filter("kind in ('name', 'alias')"), heads.filter("kind = 'full'").withColumnRenamed("word", "name")
+    long_words = titled.filter(F.length(word) >= MIN_TYPO - 1).select("word").distinct()
     long_queries = queries.filter(F.length("query") >= MIN_TYPO)
-    near = long_words.select("word", F.explode(_deletions(F.col("word"))).alias("key")).join(
+    near = long_words.select("word", F.explode(_deletions(word)).alias("key")).join(
         long_queries.select("query", F.explode(_deletions(F.col("query"))).alias("key")), "key"
     ).filter(F.levenshtein("word", "query", 1) >= 0).select("word", "query").distinct()
-    mistyped = top_rows(titled.join(near, "word"), ["query", "kind", "type"], _by_title(), k)
-
-    names = entries.select("type", "title", "entry_id", F.explode("names").alias("name"))
-    names = materialize(top_rows(names, ["type", "name"], _by_title(), k).drop("position"), "names")
-    # A gram is a query of its own; longer queries are looked up by their rarest gram.
-    grams = names.select("type", "title", "entry_id", F.explode(_grams(F.col("name"))).alias("query"))
-    inside = top_rows(grams, ["query", "type"], _by_title(), k)
-    holding = names.join(_names_with(names, queries.filter(F.length("query") > MIN_INSIDE)), "name")
-    longer = top_rows(holding, ["query", "type"], _by_title(), k)
-
-    out = whole
-    for part in (begun, mistyped, inside, longer):
-        out = out.unionByName(part.select("query", "entry_id"))
-    return out.join(queries, "query", "left_semi").distinct()
+    mistyped = titled.join(near, "word").select(*row, F.concat(F.lit("like "), "kind").alias("list"), "query")
+    # Longer queries are looked up by their rarest gram.
+    holding = names.join(_names_with(names, long_queries), "name").select(*row, F.lit("inside").alias("list"), "query")
+
+    lists = own.unionByName(whole).unionByName(mistyped).unionByName(holding)
+    kept = top_rows(lists, ["query", "list", "type"], _by_title(), k)
+    return kept.select("query", "entry_id").join(queries, "query", "left_semi").distinct()
 
 
 def _scored(pairs: DataFrame, entries: DataFrame) -> DataFrame:
