@@ -259,9 +259,8 @@ def indicator_table(latest: DataFrame, places: DataFrame, indicator: str) -> Dat
     """Every place with its newest figure, if any, and how many of all places have one."""
     rows = latest.filter(F.col("indicator_id") == indicator).select("place", "value", "period_label")
     joined = places.select("place").join(rows, "place", "left")
-    return joined.select(
-        "*", joined.agg(F.count("value")).scalar().alias("with_data"), joined.agg(F.count(F.lit(1))).scalar().alias("places")
-    )
+    counted = joined.agg(F.struct(F.count("value").alias("with_data"), F.count(F.lit(1)).alias("places")).alias("_n")).scalar()
+    return joined.withColumn("_n", counted).select(*joined.columns, "_n.with_data", "_n.places")
 
 
 def series(

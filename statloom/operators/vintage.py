@@ -105,9 +105,12 @@ def fingerprint(df: DataFrame, columns: list[str]) -> DataFrame:
     """
     texts = [F.col(c).cast("string") for c in columns]
     row = F.concat(*[F.coalesce(F.concat(F.length(x).cast("string"), F.lit(":"), x), F.lit("-")) for x in texts])
-    hashed = df.select(F.md5(F.encode(row, "UTF-8")).alias("_h"))
-    quarters = [F.conv(F.substring("_h", 1 + 8 * i, 8), 16, 10).cast("decimal(20,0)") for i in range(4)]
-    sums = hashed.agg(F.count(F.lit(1)).alias("rows"), *[F.coalesce(F.sum(q), F.lit(0)).alias(f"p{i}") for i, q in enumerate(quarters)])
+    # Quarters are added as longs within a partition (at most 2^31 rows) and as decimals over all of them.
+    hashed = df.select(F.md5(F.encode(row, "UTF-8")).alias("_h"), F.spark_partition_id().alias("_part"))
+    quarters = [F.conv(F.substring("_h", 1 + 8 * i, 8), 16, 10).cast("bigint") for i in range(4)]
+    parts = hashed.groupBy("_part").agg(F.count(F.lit(1)).alias("rows"), *[F.sum(q).alias(f"p{i}") for i, q in enumerate(quarters)])
+    totals = [F.coalesce(F.sum(F.col(f"p{i}").cast("decimal(20,0)")), F.lit(0)).alias(f"p{i}") for i in range(4)]
+    sums = parts.agg(F.coalesce(F.sum("rows"), F.lit(0)).alias("rows"), *totals)
     text = F.concat_ws("-", F.col("rows").cast("string"), *[F.col(f"p{i}").cast("string") for i in range(4)])
     return sums.select("rows", F.sha2(text, 256).alias("digest"))
 

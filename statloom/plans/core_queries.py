@@ -752,9 +752,12 @@ def n1(t: Tables) -> DataFrame:
 
 
 @query("J18_detect_changes", """
-  select n.indicator_id, n.place, n.period_label, case when o.value is null then 'new'
-    when abs(o.value - n.value) > 1e-9 then 'revised' else 'unchanged' end as change
-  from obs n left join latest_before o using (indicator_id, place, period_start)
+  select indicator_id, place, period_label, case when old is null then 'new' when abs(old - value) > 1e-9 then 'revised' else 'unchanged' end as change
+  from (
+    select *, max(value) filter (where not incoming) over (partition by indicator_id, place, period_start) as old from (
+      select true as incoming, indicator_id, place, period_start, period_label, value from obs
+      union all select false, indicator_id, place, period_start, period_label, value from latest_before))
+  where incoming
 """)
 def j18(t: Tables) -> DataFrame:
     latest = N.latest_vintage(stored(t).filter("run_id <= 2"))

@@ -222,9 +222,10 @@ def j28(t: Tables) -> DataFrame:
 
 
 @query("J29_with_reference_series", """
-  select o.place, indicator_id, period_label, o.value, r.value as reference
-  from obs o left join (select * from obs where place = 'all') r using (indicator_id, period_label)
-  where o.place <> 'all'
+  select place, indicator_id, period_label, value, reference from (
+    select place, indicator_id, period_label, value,
+           max(value) filter (where place = 'all') over (partition by indicator_id, period_label) as reference from obs)
+  where place <> 'all'
 """, "value reference")
 def j29(t: Tables) -> DataFrame:
     obs = B.observations(t)
