@@ -111,25 +111,6 @@ def nearest_vertex(points: DataFrame, vertices: DataFrame, cell: float = 0.02) -
     return near.join(v, ["shape_id", "_x", "_y"]).groupBy("point_id", "shape_id").agg(F.min(km).alias("km"))
 
 
-def points_in_polygons(points: DataFrame, edges: DataFrame, band: float = 1.0) -> DataFrame:
-    """Adds `inside`: whether each point lies in the polygon it is asked about.
-
-    `points`: point_id, polygon_id, lon, lat; `edges`: polygon_id, x1, y1, x2, y2. Crossings of a ray
-    are counted; edges are cut into latitude bands, so a point meets only the edges of its band.
-    """
-    low, high = F.least("y1", "y2"), F.greatest("y1", "y2")
-    banded = edges.withColumn("_band", F.explode(_cells(low, high, band))).alias("e")
-    placed = points.withColumn("_band", F.floor(F.col("lat") / band)).alias("p")
-    x, y = F.col("p.lon"), F.col("p.lat")
-    x1, y1, x2, y2 = (F.col(f"e.{c}") for c in ("x1", "y1", "x2", "y2"))
-    crosses = ((y1 > y) != (y2 > y)) & (x < (x2 - x1) * (y - y1) / (y2 - y1) + x1)
-    joined = placed.join(
-        banded, (F.col("p.polygon_id") == F.col("e.polygon_id")) & (F.col("p._band") == F.col("e._band")) & crosses, "left"
-    )
-    counted = joined.groupBy(*[F.col(f"p.{c}").alias(c) for c in points.columns]).agg(F.count("e.x1").alias("_n"))
-    return counted.withColumn("inside", F.pmod("_n", F.lit(2)) == 1).drop("_n")
-
-
 def polygon_areas(edges: DataFrame) -> DataFrame:
     """Area in km² of each polygon from its edges (shoelace on a local flat projection)."""
     shrink = F.cos(F.radians((F.col("y1") + F.col("y2")) / 2))

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from statloom.functions.text import normalize_text
+from statloom.operators import polygons
 from statloom.operators import search as Q
 from statloom.operators import spatial as L
 from statloom.plans import bindings as B
@@ -216,7 +217,7 @@ view("inside_rows", """
 @query("L4_points_in_polygons", "select point_id, label as polygon_id, inside from inside_rows")
 def l4(t: Tables) -> DataFrame:
     asked_points = points(t).select("point_id", F.col("label").alias("polygon_id"), "lon", "lat")
-    return L.points_in_polygons(asked_points, hex_edges(t)).select("point_id", "polygon_id", "inside")
+    return polygons.points_in_polygons(asked_points, hex_edges(t)).select("point_id", "polygon_id", "inside")
 
 
 @query("L5_choose_boundary", """

@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from statloom.operators import extract as X
+from statloom.operators import polygons
 from statloom.operators import search as Q
 from statloom.operators import spatial as L
 
@@ -147,7 +148,7 @@ def test_point_in_polygon_and_boxes(spark):
     edges = [("s", *a, *b) for a, b in zip(square, square[1:] + square[:1])]
     e = spark.createDataFrame(edges, "polygon_id string, x1 double, y1 double, x2 double, y2 double")
     p = spark.createDataFrame([(1, "s", 2.0, 2.0), (2, "s", 5.0, 2.0), (3, "s", -1.0, 3.5), (4, "s", 0.5, 3.9)], "point_id int, polygon_id string, lon double, lat double")
-    assert {r.point_id: r.inside for r in L.points_in_polygons(p, e).collect()} == {1: True, 2: False, 3: False, 4: True}
+    assert {r.point_id: r.inside for r in polygons.points_in_polygons(p, e).collect()} == {1: True, 2: False, 3: False, 4: True}
     a = spark.createDataFrame([("a", 0.0, 0.0, 10.0, 10.0)], "f string, lon0 double, lat0 double, lon1 double, lat1 double")
     b = spark.createDataFrame([("in", 1.0, 1.0, 2.0, 2.0), ("touch", 10.0, 0.0, 11.0, 1.0), ("over", 9.0, 9.0, 30.0, 30.0)], "b string, lon0 double, lat0 double, lon1 double, lat1 double")
     assert sorted(r.b for r in L.bbox_join(a, b).collect()) == ["in", "over"]
