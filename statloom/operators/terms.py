@@ -278,17 +278,33 @@ def with_review(terms: DataFrame) -> DataFrame:
     return terms.withColumn("needs_review", needs).withColumn("review_note", F.when(text != "", text))
 
 
-def follow_redirects(titles: DataFrame, hops: DataFrame, limit: int = 2) -> DataFrame:
-    """`final` title of each title after at most `limit` hops (normalised, then redirected).
+def follow_redirects(titles: DataFrame, hops: DataFrame) -> DataFrame:
+    """`final` title of each title, however many redirects lead there.
 
-    `pending` tells that the final title redirects once more, so it is not an answer yet.
+    Pointers double: each round replaces a source's target by its target's target, so a chain of n
+    hops needs log2(n) rounds of one join on the hops that are still open. A title that runs into a cycle
+    keeps `circular` and a null `final`. A source with two targets takes the smaller one.
     """
-    step = hops.select(F.col("source").alias("_from"), F.col("target").alias("_to"))
-    out = titles.withColumn("final", F.col("title"))
-    for _ in range(limit):
-        out = out.join(step, F.col("final") == F.col("_from"), "left").withColumn("final", F.coalesce("_to", "final")).drop("_from", "_to")
-    more = hops.select(F.col("source").alias("final")).distinct().withColumn("_more", F.lit(True))
-    return out.join(more, "final", "left").withColumn("pending", F.coalesce("_more", F.lit(False))).drop("_more")
+    one = hops.filter("source is not null and target is not null").groupBy("source").agg(F.min("target").alias("target"))
+    ends = one.join(one.select(F.col("source").alias("target")), "target", "left_anti").select("source", "target")
+    # What is not settled yet leads to another source.
+    settled, open_ = materialize(ends, "ends"), materialize(one.join(ends, "source", "left_anti"), "open")
+    left, before = open_.count(), 0
+    # Each round settles the sources up to twice as far from their end; where none is settled, all that is left goes in circles.
+    while left and left != before:
+        done = settled.select(F.col("source").alias("target"), F.col("target").alias("_end"))
+        further = open_.select(F.col("source").alias("target"), F.col("target").alias("_next"))
+        step = open_.join(done, "target", "left").join(further, "target", "left")
+        moved = materialize(step.select("source", F.coalesce("_end", "_next").alias("target"), F.col("_end").isNotNull().alias("_done")), "hops")
+        settled = settled.unionByName(moved.filter("_done").select("source", "target"))
+        open_ = moved.filter("not _done").select("source", "target")
+        left, before = open_.count(), left
+    answer = settled.withColumn("_circular", F.lit(False)).unionByName(open_.withColumn("_circular", F.lit(True)))
+    found = titles.join(answer.withColumnRenamed("source", "title"), "title", "left")
+    circular = F.coalesce("_circular", F.lit(False))
+    return found.select(
+        *titles.columns, F.when(~circular, F.coalesce("target", "title")).alias("final"), circular.alias("circular")
+    )
 
 
 def office_categories(offices: DataFrame, ranked: Sequence[str], police_places: Sequence[str] = ()) -> DataFrame:

@@ -386,20 +386,30 @@ def j17(t: Tables) -> DataFrame:
 
 
 @query("B10_follow_redirects", """
-  select 'Customer ' || c_custkey as title, case when c_nationkey < 8 then 'item-' || c_nationkey when c_nationkey < 16 then 'Nation ' || c_nationkey
-    else 'Customer ' || c_custkey end as final, c_nationkey < 3 as pending from customer
+  select 'Customer ' || c_custkey as title, c_nationkey in (13, 14) as circular, case when c_nationkey < 3 then 'thing-' || c_nationkey
+    when c_nationkey < 8 then 'item-' || c_nationkey when c_nationkey = 12 then 'step-20' when c_nationkey in (13, 14) then null
+    when c_nationkey < 16 then 'Nation ' || c_nationkey else 'Customer ' || c_custkey end as final from customer
 """)
 def b10(t: Tables) -> DataFrame:
-    """Customers redirect to their nation (below 16), nations below 8 to an item, items below 3 once more."""
+    """Customers redirect to their nation (below 16), nations below 8 to an item, items below 3 once more, nation 12
+    through twenty more titles, nations 13 and 14 to each other."""
     n = F.col("c_nationkey").cast("string")
     titles = t.customer.select(F.concat(F.lit("Customer "), F.col("c_custkey").cast("string")).alias("title"))
     first = t.customer.filter("c_nationkey < 16").select(
         F.concat(F.lit("Customer "), F.col("c_custkey").cast("string")).alias("source"), F.concat(F.lit("Nation "), n).alias("target")
     )
-    k = F.col("n_nationkey").cast("string")
-    second = t.nation.filter("n_nationkey < 8").select(F.concat(F.lit("Nation "), k).alias("source"), F.concat(F.lit("item-"), k).alias("target"))
-    third = t.nation.filter("n_nationkey < 3").select(F.concat(F.lit("item-"), k).alias("source"), F.concat(F.lit("thing-"), k).alias("target"))
-    return T.follow_redirects(titles, first.unionByName(second).unionByName(third))
+    nations = t.nation.selectExpr("n_nationkey as k", "concat('Nation ', n_nationkey) as nation")
+    further = [
+        nations.filter("k < 8").selectExpr("nation as source", "concat('item-', k) as target"),
+        nations.filter("k < 3").selectExpr("concat('item-', k) as source", "concat('thing-', k) as target"),
+        nations.filter("k = 12").selectExpr("nation as source", "'step-0' as target"),
+        nations.filter("k = 12").selectExpr("explode(sequence(0, 19)) as i").selectExpr("concat('step-', i) as source", "concat('step-', i + 1) as target"),
+        nations.filter("k in (13, 14)").selectExpr("nation as source", "concat('Nation ', 27 - k) as target"),
+    ]
+    hops = first
+    for more in further:
+        hops = hops.unionByName(more)
+    return T.follow_redirects(titles, hops)
 
 
 @query("B12_office_categories", """

@@ -120,3 +120,14 @@ def test_fingerprint_of_terms_sees_a_change(spark):
     rows = spark.createDataFrame([("e", "p", date(2020, 1, 1), None, "A", False)], "external_id string, person string, start date, end date, party string, needs_review boolean")
     changed = rows.withColumn("party", F.lit("B"))
     assert T.terms_fingerprint(rows).first().digest != T.terms_fingerprint(changed).first().digest
+
+
+def test_redirects_of_any_length_and_circles(spark):
+    hops = [(f"a{i}", f"a{i + 1}") for i in range(37)] + [("x", "y"), ("y", "z"), ("z", "y"), ("s", "s"), ("u", "v"), ("u", "w"), (None, "a1"), ("b", None)]
+    asked = ["a0", "a5", "a36", "a37", "x", "y", "s", "u", "b", "other", None, "a0"]
+    titles = spark.createDataFrame([(t,) for t in asked], "title string")
+    got = sorted((str(r.title), r.final, r.circular) for r in T.follow_redirects(titles, spark.createDataFrame(hops, "source string, target string")).collect())
+    chain = [("a0", "a37", False), ("a0", "a37", False), ("a36", "a37", False), ("a37", "a37", False), ("a5", "a37", False)]
+    assert got == sorted([*chain, ("x", None, True), ("y", None, True), ("s", None, True), ("u", "v", False), ("b", "b", False), ("other", "other", False), ("None", None, False)], key=lambda r: r[0])
+    empty = spark.createDataFrame([], "source string, target string")
+    assert T.follow_redirects(titles, empty).filter("final <=> title and not circular").count() == len(asked)
