@@ -17,7 +17,7 @@ from statloom.plans import jobs as J
 from statloom.plans import text_queries as X
 from statloom.plans.core_queries import aliases
 from statloom.plans.handbook import TITLES, state_handbook
-from statloom.plans.derive_queries import city_map, nation_sales, yearly
+from statloom.plans.derive_queries import city_map, nation_sales
 from statloom.plans.registry import Tables, query, view
 
 
@@ -464,21 +464,107 @@ def job_roads(t: Tables) -> DataFrame:
     return summed(J.run("road-deaths", {"wide": wide}, reference(t), first_good_year=1999))
 
 
+CITY_TABLES = {
+    "1B.3": J.CityTable(r"^TABLE\s+1B\.3\s*$", "crime-rate", "charge-rate"),
+    "2B.1": J.CityTable(r"^TABLE\s+2B\.1\s*$", "murder-rate"),
+}
+view("metro_years", "select place, year, count(*) as n, count(*) filter (where status = 'P') as n_p from nation_sales group by 1, 2")
+view("metro_rows", """
+  select right(y.place, 1) as x, y.year, y.n, y.n_p, b.n as n1, b.n_p as p1, c.n as n2, c.n_p as p2 from metro_years y
+  left join metro_years b on b.place = y.place and b.year = y.year - 1 left join metro_years c on c.place = y.place and c.year = y.year - 2
+""")
+
+
+def _metro_pages(t: Tables) -> DataFrame:
+    """Yearly editions with one page a table: names from U on wrap, 1998 prints no rate, editions before lack the second table."""
+    now = nation_sales(t).groupBy("place", "year").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("status") == "P").alias("n_p"))
+    back = [now.select("place", (F.col("year") + k).alias("year"), F.col("n").alias(f"n{k}"), F.col("n_p").alias(f"p{k}")) for k in (1, 2)]
+    rows = now.join(back[0], ["place", "year"], "left").join(back[1], ["place", "year"], "left")
+    letter = F.upper(F.substring("place", -1, 1))
+
+    def count(c: str) -> Column:
+        return F.coalesce(F.format_number(c, 0), F.lit("-"))
+
+    def page(table: str, rate: Column, counts: list[str], last: Column) -> DataFrame:
+        values = F.concat_ws(" ", *[count(c) for c in counts], F.lit("2.0"), rate, last)
+        number = (F.ascii(letter) - 64).cast("string")
+        line = F.when(letter >= "U", F.concat(F.lit("Town "), letter, F.lit("\n"), number, F.lit(" "), values)).otherwise(
+            F.concat(number, F.lit(" Town "), letter, F.lit(" "), values)
+        )
+        body = rows.groupBy("year").agg(F.array_join(F.array_sort(F.collect_list(F.struct("place", line.alias("l"))))["l"], "\n").alias("_b"))
+        text = F.concat(F.lit(f"TABLE {table}\nTowns\n"), "_b", F.lit("\n97 Town A 1 2 3\n98 Elsewhere 1 1 1 1.0 1.0 1.0\nSource: records"))
+        return body.select(F.col("year").alias("doc_id"), "year", F.lit(1).alias("page"), text.alias("text"))
+
+    first = page("1B.3", F.when(F.col("year") == 1998, "-").otherwise(F.format_number("n", 1)), ["n2", "n1", "n"], F.format_number(F.col("n") % 100 + 0.5, 1))
+    second = page("2B.1", F.format_number("n_p", 1), ["p2", "p1", "n_p"], F.lit("-")).filter("year >= 1998").withColumn("page", F.lit(2))
+    return first.unionByName(second)
+
+
+def _metro(t: Tables, min_rows: int = 1) -> J.Result:
+    letter = F.lower(B.letter(F.col("n_nationkey")))
+    cities = t.nation.select(F.concat(F.lit("nation-"), letter).alias("parent"), F.concat(F.lit("town "), letter).alias("key"), F.concat(F.lit("city-"), letter).alias("city"))
+    return J.run("metro-crime", {"pages": _metro_pages(t)}, replace(reference(t), cities=cities), tables=CITY_TABLES, min_rows=min_rows)
+
+
 @query("JOB_metro_crime", """
-  with own as (select place, year, n::double as value, 0 as back from yearly where year <> 1998),
-  earlier as (select y.place, y.year, floor(y.n / 2.0 * 10 + 0.5) / 10, e.year - y.year from yearly y join yearly e on e.place = y.place and e.year = y.year + 1),
-  every as (select * from own union all select * from earlier)
-  select 'crime-rate' as indicator_id, place, year::varchar as period_label, 1 as n, value as total from every
-  qualify row_number() over (partition by place, year order by back) = 1
+  with every as (
+    select 'crime-rate' as i, x, year, case when year <> 1998 then n::double end as v, 0 as back from metro_rows
+    union all select 'crime-rate', x, year - 1, floor(n1 / 2.0 * 10 + 0.5) / 10, 1 from metro_rows
+    union all select 'crime-rate', x, year - 2, floor(n2 / 2.0 * 10 + 0.5) / 10, 2 from metro_rows
+    union all select 'murder-rate', x, year, n_p::double, 0 from metro_rows where year >= 1998
+    union all select 'murder-rate', x, year - 1, floor(p1 / 2.0 * 10 + 0.5) / 10, 1 from metro_rows where year >= 1998
+    union all select 'murder-rate', x, year - 2, floor(p2 / 2.0 * 10 + 0.5) / 10, 2 from metro_rows where year >= 1998
+    union all select 'charge-rate', x, year, n % 100 + 0.5, 0 from metro_rows)
+  select i as indicator_id, 'city-' || x as place, year::varchar as period_label, 1 as n, v as total from every where v is not null
+  qualify row_number() over (partition by i, x, year order by back) = 1
 """, "total")
 def job_metro(t: Tables) -> DataFrame:
-    """Each yearly edition repeats the count of the year before; 1998 printed no own rate."""
-    rows = yearly(t).select("place", "year", F.col("n").cast("double").alias("n"))
-    before = rows.select("place", (F.col("year") + 1).alias("year"), F.col("n").alias("b"))
-    editions = rows.join(before, ["place", "year"], "left").select(
-        "place", "year", F.when(F.col("year") != 1998, F.col("n")).alias("rate"), F.array("b").alias("cases"), F.lit(2.0).alias("people")
+    return summed(_metro(t))
+
+
+@query("JOB_metro_problems", """
+  with p as (select distinct year, unnest(case when year >= 1998 then ['1B.3', '2B.1'] else ['1B.3'] end) as t from metro_rows)
+  select 'table ' || t || ' of ' || year || ': unknown city ''Elsewhere''' as problem from p
+  union all select distinct 'table 2B.1 of ' || year || ': not found' from metro_rows where year < 1998
+  union all select 'table ' || t || ' of ' || year || ': few cities read' from p where (select count(*) from metro_rows m where m.year = p.year) < 25
+""")
+def job_metro_problems(t: Tables) -> DataFrame:
+    return _metro(t, 25)[1]
+
+
+def _suicide_pages(t: Tables) -> DataFrame:
+    """Three pages: nations below 12, the rest with the total and a city, then cities alone; every fourth title has a hyphen."""
+    number = (F.col("nation") + 1).cast("string")
+    values = F.concat_ws(" ", F.format_number("n", 0), F.lit("4.0 -"), F.format_number(F.col("returned") + 0.5, 1))
+    line = F.when(F.col("nation") >= 20, F.concat(F.lit("Nation\n"), number, F.lit(" "), values, F.lit("\n"), "letter")).otherwise(
+        F.concat(number, F.lit(" Nation "), "letter", F.lit(" "), values)
     )
-    return summed(J.run("metro-crime", {"editions": editions}, reference(t)))
+    lines = X.report_rows(t).select("doc_id", "nation", line.alias("_line"), "n", "returned")
+
+    def body(which: Column) -> Column:
+        chosen = F.array_sort(F.collect_list(F.when(which, F.struct("nation", "_line"))))
+        return F.array_join(F.transform(chosen, lambda x: x["_line"]), "\n")
+
+    pages = lines.groupBy("doc_id").agg(body(F.col("nation") < 12).alias("_a"), body(F.col("nation") >= 12).alias("_b"), F.sum("n").alias("_n"), F.sum("returned").alias("_r"))
+    title = F.concat(F.lit("Table 2.2\nIncidence and Rate of Suicides "), F.when(F.col("doc_id") % 4 == 0, "- 2000").otherwise("– 2000"), F.lit(" (State/UT-wise)\n"))
+    total = F.concat(F.lit("\nTOTAL (ALL INDIA) "), F.format_number("_n", 0), F.lit(" 100.0 - "), F.format_number(F.col("_r") + 0.5, 1))
+    texts = F.array(F.concat(title, "_a"), F.concat(F.col("_b"), total, F.lit("\n1 Nation A 7 7 7 7.0")), F.lit("2 Nation B 8 8 8 8.0\nTOTAL (CITIES) 9 9 9 9.0"))
+    return pages.select("doc_id", F.lit(2000).alias("year"), F.posexplode(texts).alias("page", "text"))
+
+
+@query("JOB_suicides", """
+  with r as (select 'nation-' || lower(letter) as place, returned from report_rows union all select 'all', sum(returned) from report_rows group by doc_id)
+  select 'suicide-rate' as indicator_id, place, '2000' as period_label, count(*) as n, sum(returned + 0.5)::double as total from r group by 2
+""", "total")
+def job_suicides(t: Tables) -> DataFrame:
+    return summed(J.run("suicides", {"pages": _suicide_pages(t)}, reference(t)))
+
+
+@query("JOB_suicides_problems", _few("table of suicides", "count(*) + 1", 26) + """
+  union all select 'table of suicides of ' || doc_id || ': title not found' from report_rows where doc_id % 7 = 0 group by doc_id
+""")
+def job_suicides_problems(t: Tables) -> DataFrame:
+    return J.run("suicides", {"pages": _some_lost(_suicide_pages(t))}, reference(t), min_rows=26)[1]
 
 
 @query("JOB_consumption_gini", f"""

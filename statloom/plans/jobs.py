@@ -22,6 +22,7 @@ from statloom.operators import derive as D
 from statloom.operators import extract as X
 from statloom.operators import resolve as R
 from statloom.operators import validate as V
+from statloom.operators.skew import newest
 
 OBS = [
     "indicator_id", "place", "period_start", "period_end", "period_label", "period_type", "value", "ci_low", "ci_high",
@@ -377,7 +378,7 @@ def municipal_finance(landed: Landed, ref: Reference) -> Result:
 
 
 def numbered_table(landed: Landed, ref: Reference, headings: Mapping[str, str], columns: Mapping[str, int], min_rows: int) -> Result:
-    """Crime, suicide and similar tables: `pages`: doc_id, year, page, text.
+    """Crime and similar tables: `pages`: doc_id, year, page, text.
 
     `columns`: indicator -> position of its value from the right. City rows below the total are cut
     off; the first row of a place wins.
@@ -427,13 +428,70 @@ def internet_subscribers(landed: Landed, ref: Reference, min_rows: int = 1, spel
     return observations(first, "internet-subscribers-per-100", note=note), _problems(bad, undated, few)
 
 
-def metro_crime(landed: Landed, ref: Reference) -> Result:
-    """`editions`: place, year, rate, cases (earlier counts), people. Own editions win over back-computed rates."""
-    rates = D.prefer_own_edition(D.back_rates(landed["editions"]))
-    none = landed["editions"].filter("rate is null").select(
-        F.concat(F.col("place").cast("string"), F.lit(" "), F.col("year").cast("string"), F.lit(": no rate printed")).alias("problem")
-    )
-    return observations(_dated(rates, P.calendar_year(F.col("year"))), "crime-rate"), _problems(none)
+@dataclass(frozen=True)
+class CityTable:
+    """A table of cities: its heading, the indicator of the rate and, if it is printed, that of the last column."""
+
+    heading: str
+    rate: str
+    last: str | None = None
+
+
+def metro_crime(landed: Landed, ref: Reference, tables: Mapping[str, CityTable], min_rows: int = 1) -> Result:
+    """`pages`: doc_id, year, page, text of yearly editions; rows hold the counts of three years, people, rate and a last share.
+
+    A name that does not fit stands on the line before its numbers. Rates of the two earlier years are worked
+    out from the counts; a year's own edition wins, then the next one. Of a city named twice the last row counts.
+    """
+    pages = X.locate_tables(landed["pages"], {k: v.heading for k, v in tables.items()})
+    lines = X.with_neighbours(pages).filter(F.col("text").rlike(X.ROW))
+    name, values = X.trailing_values(F.regexp_extract("text", X.ROW, 2))
+    rows = lines.withColumn("values", values).withColumn("name", F.when(name == "", F.col("before")).otherwise(name)).filter(F.size("values") == 6)
+    rows = rows.withColumn("key", T.normalize_name(F.col("name"))).withColumn("parent", F.lit(None).cast("string"))
+    found = R.lookup_city(rows, ref.cities, "parent", "key")
+    unknown = found.filter("city is null").select(
+        F.format_string("table %s of %s: unknown city '%s'", "table_id", F.col("doc_id").cast("string"), "name").alias("problem")
+    ).distinct()
+    read = newest(found.filter("city is not null").select("doc_id", "year", "table_id", "city", "page", "line_no", "values"), ["doc_id", "year", "table_id", "city"], ["page", "line_no"])
+    number = [T.clean_number(F.get("values", F.lit(i))) for i in range(6)]
+
+    def named(pick: Callable[[CityTable], str | None]) -> Column:
+        return F.coalesce(*[F.when(F.col("table_id") == k, F.lit(pick(v)).cast("string")) for k, v in tables.items()])
+
+    series = F.struct(named(lambda v: v.rate).alias("indicator_id"), "city", "table_id").alias("place")
+    counts = read.select(series, "year", number[4].alias("rate"), F.array(number[0], number[1]).alias("cases"), number[3].alias("people"))
+    rates = D.prefer_own_edition(D.back_rates(counts)).select("place.*", "year", "value", (F.col("year") + F.col("back")).alias("edition"))
+    shares = read.select(named(lambda v: v.last).alias("indicator_id"), "city", "table_id", "year", number[5].alias("value"), F.col("year").alias("edition"))
+    both = _dated(rates.unionByName(shares.filter("indicator_id is not null and value is not null")).withColumnRenamed("city", "place"), P.calendar_year(F.col("year")))
+    note = F.concat(F.lit("table "), "table_id", F.lit(" of "), F.col("edition").cast("string"))
+    wanted = landed["pages"].select("doc_id").distinct().withColumn("table_id", F.explode(F.array(*[F.lit(k) for k in tables])))
+    short = V.row_count_problems(read, ["doc_id", "table_id"], "city", min_rows, wanted)
+    state = F.when(F.col("rows_read") == 0, ": not found").otherwise(": few cities read")
+    few = short.select(F.concat(F.lit("table "), "table_id", F.lit(" of "), F.col("doc_id").cast("string"), state).alias("problem"))
+    return observations(both, F.col("indicator_id"), note=note), _problems(unknown, few)
+
+
+# The title of the table of suicides (its dash may be a hyphen) and its total.
+SUICIDES_TITLE, SUICIDES_TOTAL = "Incidence and Rate of Suicides – ", "TOTAL (ALL INDIA)"
+
+
+def suicides(landed: Landed, ref: Reference, min_rows: int = 1) -> Result:
+    """`pages`: doc_id, year, page, text of one table over several pages: states, the national total, then cities.
+
+    What follows the total, on its page and on later ones, is not read; the first row of a place wins and its last number is the rate.
+    """
+    pages = landed["pages"]
+    has_total = F.col("text").contains(SUICIDES_TOTAL)
+    title = F.replace("text", F.lit("-"), F.lit("–")).contains(F.concat(F.lit(SUICIDES_TITLE), F.col("year").cast("string")))
+    known = pages.groupBy("doc_id").agg(F.min(F.when(has_total, F.col("page"))).alias("_end"), F.coalesce(F.bool_or(title), F.lit(False)).alias("_titled"))
+    untitled = known.filter("not _titled").select(F.concat(F.lit("table of suicides of "), F.col("doc_id").cast("string"), F.lit(": title not found")).alias("problem"))
+    body = pages.join(known, "doc_id").filter("_end is null or page <= _end").drop("_end", "_titled")
+    rows = X.rejoin_wrapped(X.rows_until(body, SUICIDES_TOTAL)).withColumn("state", F.col("name"))
+    placed, bad = _placed(_dated(rows, P.calendar_year(F.col("year"))), ref)
+    first = D.first_wins(placed.select("doc_id", *KEY, "page", "line_no", "values"), ["doc_id", *KEY], ["page", "line_no"])
+    few = _few_rows(pages, first, min_rows, "table of suicides")
+    note = F.concat(F.lit("table of suicides, "), "period_label")
+    return observations(first, "suicide-rate", T.clean_number(F.element_at("values", -1)), note), _problems(bad, untitled, few)
 
 
 def mortality_report(landed: Landed, ref: Reference, heading: str, indicator: str, min_rows: int = 1) -> Result:
@@ -507,7 +565,7 @@ JOBS: dict[str, Callable[..., Result]] = {
     "municipal-finance": municipal_finance,
     "crime": numbered_table,
     "metro-crime": metro_crime,
-    "suicides": numbered_table,
+    "suicides": suicides,
     "road-deaths": road_deaths,
     "mortality-report": mortality_report,
     "maternal-mortality": rates_with_interval,
