@@ -452,7 +452,8 @@ def holders_during(terms: DataFrame, periods: DataFrame) -> DataFrame:
     if "needs_review" in terms.columns:
         terms = terms.filter("not needs_review")
     # An open term reaches to the last period asked about; years before the first period meet none.
-    opening, horizon = periods.agg(F.min("period_start")).scalar(), periods.agg(F.max("period_end")).scalar()
+    # The two days are read first, one row, so that the plan holds them as values and scans the periods once.
+    opening, horizon = (F.lit(day).cast("date") for day in periods.agg(F.min("period_start"), F.max("period_end")).first())
     alive = terms.filter((F.col("start") <= horizon) & (F.col("end").isNull() | (F.col("end") >= opening)))
     last = F.least(F.coalesce(F.col("end"), horizon), horizon)
     first = F.greatest(F.year("start"), F.year(opening))
