@@ -333,12 +333,7 @@ def job_mortality(t: Tables) -> DataFrame:
     return summed(J.run("mortality-report", {"pages": X.statement_pages(t)}, reference(t), heading="Statement 5:", indicator="annual-lines"))
 
 
-@query("JOB_municipal_finance", """
-  select 'municipal-own-revenue-share' as indicator_id, 'nation-' || lower(letter) as place, '1999-00' as period_label, count(*) as n, sum(n * 100.0)::double as total
-  from report_rows group by 2
-  union all select 'municipal-own-revenue-share', 'nation-' || lower(letter), '2000-01', count(*), sum(returned * 100.0)::double from report_rows where returned > 0 group by 2
-""", "total")
-def job_municipal(t: Tables) -> DataFrame:
+def _municipal_pages(t: Tables) -> DataFrame:
     number = F.col("nation") + 1
     dash = F.when(F.col("returned") == 0, "-").otherwise(F.col("returned").cast("string"))
     line = F.concat(
@@ -348,8 +343,21 @@ def job_municipal(t: Tables) -> DataFrame:
     head = (
         "<table><tr><th>State/UT</th><th colspan=3>Own Revenue</th></tr><tr><th>1999-00 (A)</th><th>2000-01 (RE)</th><th>2001-02 (BE)</th></tr>"
     )
-    pages = X.printed(t, line, head, "</table>").withColumnRenamed("text", "html")
-    return summed(J.run("municipal-finance", {"pages": pages}, reference(t)))
+    return X.printed(t, line, head, "</table>")
+
+
+@query("JOB_municipal_finance", """
+  select 'municipal-own-revenue-share' as indicator_id, 'nation-' || lower(letter) as place, '1999-00' as period_label, count(*) as n, sum(n * 100.0)::double as total
+  from report_rows group by 2
+  union all select 'municipal-own-revenue-share', 'nation-' || lower(letter), '2000-01', count(*), sum(returned * 100.0)::double from report_rows where returned > 0 group by 2
+""", "total")
+def job_municipal(t: Tables) -> DataFrame:
+    return summed(J.run("municipal-finance", {"pages": _municipal_pages(t).withColumnRenamed("text", "html")}, reference(t)))
+
+
+@query("JOB_municipal_problems", _few("statement of own revenue", "count(*)", 25))
+def job_municipal_problems(t: Tables) -> DataFrame:
+    return J.run("municipal-finance", {"pages": _some_lost(_municipal_pages(t)).withColumnRenamed("text", "html")}, reference(t), min_rows=25)[1]
 
 
 @query("JOB_learning_survey", """

@@ -214,7 +214,8 @@ def road_deaths(landed: Landed, ref: Reference, first_good_year: int) -> Result:
     rows = rows.withColumn("value", T.clean_number(F.col("value").cast("string"))).filter("value is not null")
     placed, bad = _placed(_dated(rows, P.calendar_year(F.col("year"))), ref)
     per, missing = D.rate(placed, ref.population, ["place", "year"], 100_000)
-    return observations(per, "road-deaths", T.round_at(F.col("rate"), 1)), _problems(bad, missing)
+    lost = cells.agg(F.count("year").alias("_n")).filter("_n = 0").select(F.lit("road deaths: no column of a year with figures").alias("problem"))
+    return observations(per, "road-deaths", T.round_at(F.col("rate"), 1)), _problems(bad, missing, lost)
 
 
 # --- Text sources ---------------------------------------------------------------------------------
@@ -367,14 +368,15 @@ def city_cleanliness(
     return _union(first, observations(_dated(member, span), "cleanliness-league")), _problems(unknown, few)
 
 
-def municipal_finance(landed: Landed, ref: Reference) -> Result:
-    """`pages`: doc_id, html of the own-revenue statement."""
+def municipal_finance(landed: Landed, ref: Reference, min_rows: int = 1) -> Result:
+    """`pages`: doc_id, html of the own-revenue statement; one without its header, or with few places, is a problem."""
     cells = X.html_table_cells(landed["pages"], "html", r"(?i)^state\s*/\s*ut")
     start, status = T.status_of(F.col("label"))
     rows = cells.withColumn("_start", start).withColumn("status", status).withColumn("value", T.clean_number(F.col("raw")))
     rows = rows.filter(F.col("status").isin("A", "RE") & F.col("value").isNotNull()).withColumn("is_provisional", F.col("status") == "RE")
     placed, bad = _placed(_dated(rows, P.fiscal_year(F.col("_start"))), ref, "name")
-    return observations(placed, "municipal-own-revenue-share", T.round_at(F.col("value") * 100, 1)), _problems(bad)
+    few = _few_rows(landed["pages"], placed, min_rows, "statement of own revenue")
+    return observations(placed, "municipal-own-revenue-share", T.round_at(F.col("value") * 100, 1)), _problems(bad, few)
 
 
 def numbered_table(landed: Landed, ref: Reference, headings: Mapping[str, str], columns: Mapping[str, int], min_rows: int) -> Result:

@@ -61,3 +61,13 @@ def test_suicides_stop_at_the_total(spark, ref):
         *[f"table of suicides of {d}: {what}" for d in (3, 4) for what in ("title not found", "not found")],
     ])
     assert J.suicides({"pages": pages.limit(0)}, ref)[0].count() == 0
+
+
+def test_road_deaths_without_year_columns(spark, ref):
+    people = spark.createDataFrame([("goa", 2020, 1_000_000.0)], "place string, year int, people double")
+    with_people = J.Reference(ref.names, ref.today, ref.national, people)
+    good = spark.createDataFrame([("Goa", "50")], "state string, `2020 Killed` string")
+    got, problems = figures(J.road_deaths({"wide": good}, with_people, 2019))
+    assert got == {("road-deaths", "goa", "2020"): 5.0} and problems == []
+    lost = good.withColumnRenamed("2020 Killed", "Persons killed in 2020")
+    assert figures(J.road_deaths({"wide": lost}, with_people, 2019)) == ({}, ["road deaths: no column of a year with figures"])
