@@ -87,17 +87,25 @@ def cover(edges: DataFrame, most: int = EDGES, depth: int = DEPTH) -> tuple[Data
     edges = edges.select("polygon_id", *[F.col(c).cast("double").alias(c) for c in _EDGE]).dropna()
     box = edges.groupBy("polygon_id").agg(
         F.min(F.least("x1", "x2")).alias("_x"), F.min(F.least("y1", "y2")).alias("_y"),
-        F.max(F.greatest("x1", "x2")).alias("_x1"), F.max(F.greatest("y1", "y2")).alias("_y1"),
+        F.max(F.greatest("x1", "x2")).alias("_x1"), F.max(F.greatest("y1", "y2")).alias("_y1"), F.count(F.lit(1)).alias("_n"),
     )
     extent = F.greatest(F.col("_x1") - F.col("_x"), F.col("_y1") - F.col("_y"), F.lit(1e-9))
     # A first cell is at least as wide as the polygon, so two by two hold it.
     box = box.withColumn("_cw", F.pow(F.lit(4.0), F.floor(F.log2(extent) / 2) + 1))
     polygons = materialize(box.select(
-        "polygon_id", "_cw", F.floor(F.col("_x") / F.col("_cw")).alias("_cx"), F.floor(F.col("_y") / F.col("_cw")).alias("_cy")
+        "polygon_id", "_n", "_cw", F.floor(F.col("_x") / F.col("_cw")).alias("_cx"), F.floor(F.col("_y") / F.col("_cw")).alias("_cy")
     ), "polygons")
-    roots = polygons.withColumns({"_odd": F.lit(False), "_right": F.lit(INF), "_top": F.lit(INF)})
+    # A polygon of few edges is one leaf: the whole plane, numbered -1.
+    small = edges.join(polygons.filter(F.col("_n") <= most).select("polygon_id"), "polygon_id", "left_semi")
+    whole = small.groupBy("polygon_id").agg(F.collect_list(F.struct(*_EDGE)).alias("_edges")).selectExpr(
+        "polygon_id", "0d as _w", "0L as _ix", "0L as _iy", "false as _odd", "_edges", "-1 as _cut"
+    )
+    large = polygons.filter(F.col("_n") > most).drop("_n")
+    if large.isEmpty():
+        return polygons, whole, -1
+    roots = large.withColumns({"_odd": F.lit(False), "_right": F.lit(INF), "_top": F.lit(INF)})
     held, cells = _cut(edges, roots, ["polygon_id"], 2)
-    leaves, cuts = [], 0
+    leaves, cuts = [whole], 0
     while True:
         full = F.col("_n") > (most if cuts < depth else 2**62)
         leaf = cells.filter(~full)
@@ -128,10 +136,12 @@ def points_in_polygons(points: DataFrame, edges: DataFrame, most: int = EDGES, d
     """
     polygons, leaves, cuts = cover(edges, most, depth)
     covered = "coalesce(floor(lon / _cw) - _cx between 0 and 1 and floor(lat / _cw) - _cy between 0 and 1, false)"
-    asked = points.join(polygons, "polygon_id", "left").selectExpr("*", f"{covered} as _covered")
-    asked = asked.selectExpr("*", f"explode(if(_covered, sequence(0, {cuts}), array(0))) as _cut")
-    asked = asked.selectExpr("*", f"_cw / pow({FAN}d, _cut) as _w").selectExpr("*", "floor(lon / _w) as _ix", "floor(lat / _w) as _iy")
-    found = asked.join(leaves, [*_CELL, "_cut"], "left").filter("not _covered or _odd is not null")
+    cut = f"if(coalesce(_n, 0) <= {most}, array(-1), if({covered}, sequence(0, {max(cuts, 0)}), array(0)))"
+    asked = points.join(polygons, "polygon_id", "left").selectExpr("*", f"_n > {most} and {covered} as _covered", f"explode({cut}) as _cut")
+    asked = asked.selectExpr("*", f"if(_cut < 0, 0d, _cw / pow({FAN}d, _cut)) as _w").selectExpr(
+        "*", "if(_cut < 0, 0L, floor(lon / _w)) as _ix", "if(_cut < 0, 0L, floor(lat / _w)) as _iy"
+    )
+    found = asked.join(leaves, [*_CELL, "_cut"], "left").filter("coalesce(not _covered, true) or _odd is not null")
     met = f"size(filter(_edges, e -> {_flips('lon', 'lat', '_right', '_top', 'e.')})) % 2 = 1"
-    found = found.selectExpr("*", "(_ix + 1) * _w as _right", "(_iy + 1) * _w as _top")
+    found = found.selectExpr("*", *[f"if(_cut < 0, double('infinity'), ({c} + 1) * _w) as {name}" for c, name in (("_ix", "_right"), ("_iy", "_top"))])
     return found.select(*[F.col(c) for c in points.columns], F.expr(f"coalesce(_odd <> if(_edges is null, false, {met}), false)").alias("inside"))
