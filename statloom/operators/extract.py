@@ -323,11 +323,12 @@ def html_table_cells(pages: DataFrame, html: str, header: str) -> DataFrame:
     kept = [c for c in pages.columns if c != html]
     parsed = pages.withColumn("_rows", html_rows(F.col(html)))
     at = F.array_position(F.transform("_rows", lambda r: F.coalesce(F.get(r, F.lit(0))["text"].rlike(header), F.lit(False))), F.lit(True)).cast("int")
-    parsed = parsed.withColumn("_at", at).filter("_at > 0")
-    head = F.element_at("_rows", F.col("_at"))
+    # A page without the header has no body. A filter on `_at` would move below and parse every page once more.
+    parsed = parsed.withColumn("_at", at)
+    head = F.get("_rows", F.col("_at") - 1)
     parsed = parsed.withColumn("_width", F.get(head, F.lit(1))["span"])
     labels = F.transform(F.slice(F.coalesce(F.get("_rows", F.col("_at")), F.array().cast("array<struct<span:int,text:string>>")), 1, F.coalesce("_width", F.lit(0))), lambda c: c["text"])
-    body = F.slice("_rows", F.col("_at") + 2, F.greatest(F.size("_rows"), F.lit(1)))
+    body = F.when(F.col("_at") > 0, F.slice("_rows", F.col("_at") + 2, F.greatest(F.size("_rows"), F.lit(1))))
     rows = parsed.select(*kept, labels.alias("_labels"), F.explode(body).alias("_row"))
     rows = rows.filter((F.size("_row") > F.size("_labels")) & ~F.get("_row", F.lit(0))["text"].rlike(r"^\d+$"))
     name = F.regexp_replace(F.get("_row", F.lit(0))["text"], r"^\d+\.\s*", "")

@@ -23,6 +23,7 @@ from statloom.operators import extract as X
 from statloom.operators import resolve as R
 from statloom.operators import validate as V
 from statloom.operators.skew import newest
+from statloom.session import materialize
 
 OBS = [
     "indicator_id", "place", "period_start", "period_end", "period_label", "period_type", "value", "ci_low", "ci_high",
@@ -374,7 +375,9 @@ def municipal_finance(landed: Landed, ref: Reference, min_rows: int = 1) -> Resu
     start, status = T.status_of(F.col("label"))
     rows = cells.withColumn("_start", start).withColumn("status", status).withColumn("value", T.clean_number(F.col("raw")))
     rows = rows.filter(F.col("status").isin("A", "RE") & F.col("value").isNotNull()).withColumn("is_provisional", F.col("status") == "RE")
-    placed, bad = _placed(_dated(rows, P.fiscal_year(F.col("_start"))), ref, "name")
+    dated = C.clean_place_rows(_dated(rows, P.fiscal_year(F.col("_start"))), "name")
+    found = materialize(R.resolve(dated, ref.names, "name"), "municipal")  # read by figures and both kinds of problems
+    placed, bad = R.resolved(found), R.problems_of(found)
     few = _few_rows(landed["pages"], placed, min_rows, "statement of own revenue")
     return observations(placed, "municipal-own-revenue-share", T.round_at(F.col("value") * 100, 1)), _problems(bad, few)
 

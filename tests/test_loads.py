@@ -1,11 +1,14 @@
-"""Loads from the order tables: sums of odd rows, and plans whose tasks hold no more than a shuffle partition's orders."""
+"""Loads and jobs over large tables: results of odd rows, and plans that hold or parse no more than they must."""
 
 from datetime import datetime
 from decimal import Decimal
 
 import pytest
 
+from statloom.operators import extract as X
+from statloom.operators import resolve as R
 from statloom.plans import bindings as B
+from statloom.plans import jobs as J
 from statloom.plans.registry import Tables
 
 
@@ -51,3 +54,31 @@ def test_yearly_sums_keep_no_row_per_order(odd):
     text = plan(B.yearly_sums(odd))
     assert "ShuffledHashJoin [l_orderkey" in text
     assert "HashAggregate(keys=[l_orderkey" not in text and "Sort [l_orderkey" not in text
+
+
+HEAD = "<table><tr><th>State/UT</th><th colspan=2>Own Revenue</th></tr><tr><th>1999-00 (A)</th><th>2000-01 (RE)</th></tr>"
+
+
+def test_html_pages_are_parsed_once(spark):
+    """A filter on the header's row moved below the parsed rows, so that every page was parsed a second time."""
+    pages = spark.createDataFrame(
+        [(1, f"{HEAD}<tr><td>1. X</td><td>5</td><td>6</td></tr></table>"), (2, "Another report"), (3, None), (4, HEAD), (5, "<tr><th>State/UT</th></tr>"),
+         (6, f"<tr><td>z</td></tr>{HEAD}<tr><td>Y</td><td>7</td></tr><tr><td>Z</td><td>8</td><td>9</td><td>1</td></tr>")],
+        "doc_id int, html string",
+    )
+    cells = X.html_table_cells(pages, "html", r"(?i)^state\s*/\s*ut")
+    a, b = "1999-00 (A)", "2000-01 (RE)"
+    assert sorted(map(tuple, cells.collect())) == [(1, "X", a, "5"), (1, "X", b, "6"), (6, "Z", a, "8"), (6, "Z", b, "9")]
+    assert cells._jdf.queryExecution().optimizedPlan().toString().count("regexp_extract_all(") == 2  # its rows, and the cells of a row
+
+
+def test_municipal_problems_read_placed_rows(spark):
+    """Both kinds of problems and the figures start from one resolved table instead of parsing the pages each."""
+    places = spark.createDataFrame([("x", "Xland", "state", None, None)], "slug string, name string, type string, valid_from date, valid_to date")
+    pages = spark.createDataFrame([(1, f"{HEAD}<tr><td>1. Xland</td><td>0.5</td><td>-</td></tr><tr><td>Nowhere</td><td>1</td><td>2</td></tr>"), (2, "Another")], "doc_id int, html string")
+    obs, problems = J.run("municipal-finance", {"pages": pages}, J.Reference(R.name_table(places), B.TODAY, B.NATIONAL), min_rows=2)
+    assert [(r.place, r.period_label, r.value, r.is_provisional) for r in obs.collect()] == [("x", "1999-00", 50.0, False)]
+    assert [r.problem for r in problems.collect()] == [
+        "statement of own revenue of 1: few rows read", "statement of own revenue of 2: not found", "unknown place name 'Nowhere'",
+    ]
+    assert "(?is)<tr" not in problems._jdf.queryExecution().optimizedPlan().toString()
