@@ -20,9 +20,10 @@ view("report_rows", """
 
 
 def load_report_rows(t: Tables) -> DataFrame:
+    """The orders of a partition are hashed, so that lines need no sort."""
     who = t.orders.join(t.customer, F.col("o_custkey") == F.col("c_custkey")).select("o_orderkey", "c_nationkey")
     return (
-        t.lineitem.join(who, F.col("l_orderkey") == F.col("o_orderkey"))
+        t.lineitem.join(who.hint("shuffle_hash"), F.col("l_orderkey") == F.col("o_orderkey"))
         .groupBy(F.col("l_suppkey").alias("doc_id"), F.col("c_nationkey").alias("nation"))
         .agg(
             F.count(F.lit(1)).alias("n"), F.sum("l_quantity").cast("bigint").alias("quantity"),
@@ -159,7 +160,8 @@ def load_statement_pages(t: Tables) -> DataFrame:
     who = t.orders.join(t.customer, F.col("o_custkey") == F.col("c_custkey")).select(
         "o_orderkey", B.letter(F.col("c_nationkey")).alias("letter"), F.year("o_orderdate").alias("year")
     )
-    rows = t.lineitem.join(who, F.col("l_orderkey") == F.col("o_orderkey")).groupBy(F.col("l_suppkey").alias("doc_id"), "letter").agg(
+    lines = t.lineitem.join(who.hint("shuffle_hash"), F.col("l_orderkey") == F.col("o_orderkey"))
+    rows = lines.groupBy(F.col("l_suppkey").alias("doc_id"), "letter").agg(
         *[F.count_if(F.col("year") == y).alias(f"y{y}") for y in YEARS]
     )
     values = [_text(F.col(f"y{y}")) for y in YEARS]

@@ -9,6 +9,7 @@ from statloom.operators import extract as X
 from statloom.operators import resolve as R
 from statloom.plans import bindings as B
 from statloom.plans import jobs as J
+from statloom.plans import text_queries as T
 from statloom.plans.registry import Tables
 
 
@@ -82,3 +83,17 @@ def test_municipal_problems_read_placed_rows(spark):
         "statement of own revenue of 1: few rows read", "statement of own revenue of 2: not found", "unknown place name 'Nowhere'",
     ]
     assert "(?is)<tr" not in problems._jdf.queryExecution().optimizedPlan().toString()
+
+
+@pytest.mark.parametrize("load", [T.load_report_rows, T.load_statement_pages])
+def test_report_loads_sort_no_lines(odd, load):
+    """Sorting the lines of a partition for the join took most of a task's memory."""
+    text = plan(load(odd))
+    assert "ShuffledHashJoin [l_orderkey" in text and "Sort [l_orderkey" not in text
+
+
+def test_report_loads_of_odd_rows(odd):
+    rows = T.load_report_rows(odd).select("doc_id", "nation", "n", "quantity", "returned", "letter").collect()
+    assert sorted(map(tuple, rows)) == [(1, 0, 2, 5, 1, "A"), (2, None, 1, 4, 0, None)]
+    second = {r.doc_id: r.text for r in T.load_statement_pages(odd).collect() if r.page == 2}
+    assert set(second) == {1, 2} and "Nation A* 0 0 0 0 0 2 0 0 0" in second[1].split("\n")
