@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark import Broadcast
-from pyspark.sql import DataFrame, Row
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from statloom.llm.bitmaps import holds, marked, spread
@@ -22,12 +22,19 @@ ORDERS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)
 RANKED_TOKENS = 1 << 18
 #: Nodes of a token up to which its pairs are listed; those of larger ones all join one family.
 SMALL_BLOCK = 128
+#: The first order starts with the tokens of a share of all hashes, which are counted one by one: this many times what a
+#: prefix takes, so that prefixes hold the rarest of them.
+SCOUTED = 2.5
+#: Counts at which a counted token stands in a later class of the first order.
+LEVELS = (2, 4, 16, 64)
+#: Bits of a class's bitmap (8 MB each, whatever the size of the input), and buckets in which tokens are counted.
+SLOT_BITS, BUCKET_BITS = 26, 10
 #: Tokens, and nodes, that make one side of a tile.
 TILE_TOKENS, TILE_NODES = 1 << 19, 1024
-#: Tokens after which a task reports which of them it saw often.
+#: Tokens after which a task reports those of the counted share, and which others it saw often.
 COUNTED_TOKENS = 1_500_000
 
-SUMMARY = "doc_id bigint, n bigint, node binary, texthash bigint, rowhash bigint, tokens binary, counts binary"
+SUMMARY = "doc_id bigint, n bigint, node binary, texthash bigint, rowhash bigint, bucket int, tokens binary, counts binary"
 
 
 def component_table(documents: DataFrame, width: int = 3, percent: int = 90) -> DataFrame:
@@ -35,8 +42,8 @@ def component_table(documents: DataFrame, width: int = 3, percent: int = 90) ->
 
     Two documents link when 100 * |intersection| >= percent * |union| of their distinct `width`-word
     shingles; component_id is the smallest doc_id reachable by links. Documents of equal sets are one
-    node of the graph. Under each global order (frequent tokens last, the rest by a seeded hash) a
-    pair that links shares a token of both prefixes. Candidates come from the first order and must fit
+    node of the graph. Under each global order (frequent tokens last, the rest by a seeded hash; the
+    first one starts with counted tokens, the rarest first) a pair that links shares a token of both prefixes. Candidates come from the first order and must fit
     in size and position; they tie nodes into families, and inside a family only pairs that all
     orders agree on are verified on their whole sets.
     Null or empty texts have an empty set, link with nothing and keep their own doc_id (which may be
@@ -73,7 +80,7 @@ def _placed(documents: DataFrame, width: int, percent: int) -> tuple[DataFrame,
     """A row (doc_id, n, node, texthash, rowhash) per document, and (node, label, component_id) per distinct set."""
     data = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"), _rowhash().alias("rowhash"))
     data = data.withColumn("texthash", F.xxhash64("text"))
-    stored = materialize(data.mapInArrow(lambda batches: _summaries(batches, width), SUMMARY), "shingles")
+    stored = materialize(data.mapInArrow(lambda batches: _summaries(batches, width, percent), SUMMARY), "shingles")
     rows = stored.where("n is not null").select("doc_id", "n", "node", "texthash", "rowhash")
     ranked = _ranked(stored.where("n is null"))
     known = rows.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("least"), F.min("texthash").alias("texthash"), F.first("n").alias("n"))
@@ -94,24 +101,49 @@ def _slices(batches: Iterable[pa.RecordBatch], rows: int = 1000) -> Iterator[pa.
             yield batch.slice(at, rows)
 
 
-def _summaries(batches: Iterable[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
-    """A row per document, and rows without n that hold the tokens many of a task's documents have."""
+def _scouted(mixed: np.ndarray, percent: int) -> np.ndarray:
+    """Whether tokens, mixed with the seed of the first order, are of the share that is counted."""
+    return mixed <= np.uint64(min(2**64 - 1, int(SCOUTED * (1 - percent / 100) * 2**64)))
+
+
+def _half(tokens: np.ndarray) -> np.ndarray:
+    """The upper half of tokens, by which they are counted: two tokens of one half only look more frequent."""
+    return (tokens >> np.uint64(32)).astype(np.uint32)
+
+
+def _counted(halves: np.ndarray, counts: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted distinct halves, and the sum of their counts (1 each if there are none)."""
+    order = np.argsort(halves, kind="stable") if counts is not None else None
+    halves = np.sort(halves) if order is None else halves[order]
+    first = np.flatnonzero(np.concatenate(([True], halves[1:] != halves[:-1]))) if len(halves) else np.empty(0, np.int64)
+    if order is None or not len(halves):
+        return halves[first], np.diff(first, append=len(halves))
+    return halves[first], np.add.reduceat(counts[order].astype(np.int64), first)
+
+
+def _summaries(batches: Iterable[pa.RecordBatch], width: int, percent: int) -> Iterator[pa.RecordBatch]:
+    """A row per document, and rows without n that hold tokens by bucket: all of the counted share, of the others those that many of a task's documents have."""
     hashes, held, seen, documents = WordHashes(), [], 0, 0
 
     def often() -> pa.RecordBatch:
         tokens = np.concatenate(held)
         held.clear()
-        tokens.sort()
-        first = np.flatnonzero(np.concatenate(([True], tokens[1:] != tokens[:-1])))
-        counts, tokens = np.diff(first, append=len(tokens)), tokens[first]
-        keep = counts >= max(3, documents // 2000)
-        return _batch([(None, None, None, None, None, tokens[keep].tobytes(), counts[keep].astype(np.int64).tobytes())])
+        all_of = _scouted(mix(tokens ^ np.uint64(ORDERS[0])), percent)
+        halves, counts = _counted(_half(tokens[all_of]))
+        others, theirs = _counted(_half(tokens[~all_of]))
+        keep = theirs >= max(3, documents // 2000)
+        halves, counts = np.concatenate([halves, others[keep]]), np.concatenate([counts, theirs[keep]])
+        order = np.argsort(halves, kind="stable")
+        halves, counts = halves[order], np.minimum(counts[order], 65535).astype(np.uint16)
+        cuts = np.searchsorted(halves, np.arange(1 << BUCKET_BITS, dtype=np.uint32) << np.uint32(32 - BUCKET_BITS))
+        cuts = [*cuts.tolist(), len(halves)]
+        return _batch([(*[None] * 5, i, halves[x:y].tobytes(), counts[x:y].tobytes()) for i, (x, y) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)) if y > x])
 
     for batch in _slices(batches):
         rows = []
         sets = shingle_sets((x.as_py() for x in batch["text"]), width, hashes)
         for doc_id, texthash, rowhash, tokens in zip(*(batch[c].to_pylist() for c in ("doc_id", "texthash", "rowhash")), sets, strict=True):
-            rows.append((doc_id, len(tokens), _node(tokens) if len(tokens) else None, texthash, rowhash, None, None))
+            rows.append((doc_id, len(tokens), _node(tokens) if len(tokens) else None, texthash, rowhash, None, None, None))
             held.append(tokens)
             seen, documents = seen + len(tokens), documents + 1
             if seen >= COUNTED_TOKENS:
@@ -124,56 +156,87 @@ def _summaries(batches: Iterable[pa.RecordBatch], width: int) -> Iterator[pa.Rec
 
 
 def _batch(rows: list[tuple]) -> pa.RecordBatch:
-    kinds = (pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.binary(), pa.binary())
-    names = ["doc_id", "n", "node", "texthash", "rowhash", "tokens", "counts"]
-    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names)
+    kinds = (pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.binary())
+    names = ["doc_id", "n", "node", "texthash", "rowhash", "bucket", "tokens", "counts"]
+    columns = zip(*rows, strict=True) if rows else [[]] * len(names)
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names)
 
 
-def _ranked(reports: DataFrame) -> tuple[Broadcast, Broadcast]:
-    """The most frequent tokens, sorted, and their counts: at most RANKED_TOKENS, whatever the size of the input."""
+def _ranked(reports: DataFrame) -> tuple[Broadcast, Broadcast, Broadcast]:
+    """The most frequent tokens (halves, sorted), their counts, and a bitmap for each of LEVELS of the tokens seen that often.
 
-    def unpack(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for counts, tokens in zip(batch["counts"].to_pylist(), batch["tokens"].to_pylist(), strict=True):
-                yield pa.RecordBatch.from_arrays([np.frombuffer(tokens, np.int64), np.frombuffer(counts, np.int64)], ["token", "seen"])
-
-    counted = reports.select("counts", "tokens").mapInArrow(unpack, "token bigint, seen bigint").groupBy("token").agg(F.sum("seen").alias("seen"))
-    top: list[Row] = counted.orderBy(F.desc("seen"), "token").limit(RANKED_TOKENS).collect()
-    tokens = np.array([r.token for r in top], np.int64).view(np.uint64)
-    counts, order = np.array([r.seen for r in top], np.uint64), np.argsort(tokens)
+    At most RANKED_TOKENS, as many of every bucket, and bitmaps of fixed size, whatever the size of the input.
+    """
+    slots, top = 1 << (SLOT_BITS - BUCKET_BITS), RANKED_TOKENS >> BUCKET_BITS
+
+    def count(table: pa.Table) -> pa.Table:
+        halves, seen = (np.concatenate([np.frombuffer(x.as_py(), kind) for x in table[c]]) for c, kind in (("tokens", np.uint32), ("counts", np.uint16)))
+        halves, seen = _counted(halves, seen)
+        at, bits = (halves >> np.uint32(32 - SLOT_BITS)) & np.uint32(slots - 1), np.zeros((len(LEVELS), slots), bool)
+        for mine, level in zip(bits, LEVELS, strict=True):
+            mine[at[seen >= level]] = True
+        often = np.flatnonzero(seen >= 3)
+        often = np.sort(often[np.lexsort((halves[often], -seen[often]))[:top]])
+        told = table["bucket"][0].as_py(), np.packbits(bits, bitorder="little").tobytes(), halves[often].tobytes(), seen[often].tobytes()
+        return pa.table({"bucket": pa.array([told[0]], pa.int32())} | {c: pa.array([x], pa.binary()) for c, x in zip(("levels", "tokens", "counts"), told[1:], strict=True)})
+
+    counted = reports.select("bucket", "tokens", "counts").groupBy("bucket").applyInArrow(count, "bucket int, levels binary, tokens binary, counts binary").toArrow()
+    bits = np.zeros((len(LEVELS), 1 << BUCKET_BITS, slots // 8), np.uint8)
+    for bucket, levels in zip(counted["bucket"].to_pylist(), counted["levels"], strict=True):
+        bits[:, bucket] = np.frombuffer(levels.as_buffer(), np.uint8).reshape(len(LEVELS), -1)
+    tokens, counts = (np.concatenate([np.empty(0, kind), *(np.frombuffer(x.as_buffer(), kind) for x in counted[c])]) for c, kind in (("tokens", np.uint32), ("counts", np.int64)))
+    order = np.argsort(tokens)
     context = reports.sparkSession.sparkContext
-    return context.broadcast(tokens[order]), context.broadcast(counts[order])
+    return tuple(context.broadcast(x) for x in (tokens[order].astype(np.uint64), counts[order].astype(np.uint64), bits.reshape(len(LEVELS), -1)))
+
 
+def _level(tokens: np.ndarray, levels: np.ndarray) -> np.ndarray:
+    """How many of LEVELS each token of the counted share may have reached: 0 only for tokens of a single document."""
+    at = tokens >> np.uint64(64 - SLOT_BITS)
+    return sum((bits[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 for bits in levels)
 
-def prefix(tokens: np.ndarray, seed: int, percent: int, ranked: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
-    """The first n - ceil(percent * n / 100) + 1 tokens of a set under one global order."""
+
+def prefix(tokens: np.ndarray, seed: int, percent: int, ranked: tuple[np.ndarray, np.ndarray], levels: np.ndarray | None = None) -> np.ndarray:
+    """The first n - ceil(percent * n / 100) + 1 tokens of a set under one global order.
+
+    With `levels` the counted share comes first, by level and count; then, and without, the others by count.
+    """
     known, counts = ranked
     n = len(tokens)
-    often = np.zeros(n, np.uint64)
+    take, mixed = n + (-percent * n // 100) + 1, mix(tokens ^ np.uint64(seed))
+    first = _scouted(mixed, percent) if levels is not None else None
+    if first is not None and np.count_nonzero(first) >= take:
+        tokens, mixed, first = tokens[first], mixed[first], first[first]
+    often = np.zeros(len(tokens), np.uint64)
     if len(known):
-        at = np.minimum(np.searchsorted(known, tokens), len(known) - 1)
-        often = np.where(known[at] == tokens, counts[at], often)
-    return tokens[np.lexsort((mix(tokens ^ np.uint64(seed)), often))[: n + (-percent * n // 100) + 1]]
+        halves = tokens >> np.uint64(32)
+        at = np.minimum(np.searchsorted(known, halves), len(known) - 1)
+        often = np.where(known[at] == halves, counts[at], often)
+    if first is not None:
+        often |= np.where(first, _level(tokens, levels).astype(np.uint64), np.uint64(len(LEVELS) + 1)) << np.uint64(56)
+    return tokens[np.lexsort((mixed, often))[:take]]
 
 
-def _families(data: DataFrame, ranked: tuple[Broadcast, Broadcast], width: int, percent: int) -> DataFrame:
+def _families(data: DataFrame, ranked: tuple[Broadcast, Broadcast, Broadcast], width: int, percent: int) -> DataFrame:
     """(node, family) of every node that has a candidate under the first order; candidates share their family.
 
     Pairs of tokens that few nodes hold are counted: sharing one token of the prefixes is not enough
     where the sizes ask for more. Nodes of a token that many hold all join the family of the smallest.
+    Tokens counted once are in no other document and are not written.
     """
 
     def post(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, known = WordHashes(), (ranked[0].value, ranked[1].value)
+        hashes, known, levels = WordHashes(), (ranked[0].value, ranked[1].value), ranked[2].value
         for batch in _slices(batches):
             sets = [s for s in shingle_sets((x.as_py() for x in batch["text"]), width, hashes) if len(s)]
             if not sets:
                 continue
-            found = [prefix(s, ORDERS[0], percent, known) for s in sets]
-            lengths = [len(p) for p in found]
-            whose = pa.array(np.repeat(np.arange(len(sets)), lengths))
+            found = [prefix(s, ORDERS[0], percent, known, levels) for s in sets]
+            lengths, tokens = [len(p) for p in found], np.concatenate(found)
+            again = ~_scouted(mix(tokens ^ np.uint64(ORDERS[0])), percent) | (_level(tokens, levels) > 0)
+            whose = pa.array(np.repeat(np.arange(len(sets)), lengths)[again])
             node, n = (pa.array(c, t).take(whose) for c, t in (([_node(s) for s in sets], pa.binary()), ([len(s) for s in sets], pa.int64())))
-            columns = [np.concatenate(found).view(np.int64), node, n, np.concatenate([np.arange(x) for x in lengths])]
+            columns = [tokens[again].view(np.int64), node, n, np.concatenate([np.arange(x) for x in lengths])[again]]
             yield pa.RecordBatch.from_arrays(columns, ["token", "node", "n", "place"])
 
     postings = materialize(data.select("text").mapInArrow(post, "token bigint, node binary, n bigint, place bigint"), "postings")
@@ -196,7 +259,7 @@ def _families(data: DataFrame, ranked: tuple[Broadcast, Broadcast], width: int,
     return connected_components(listed.unionByName(starred)).withColumnRenamed("label", "family")
 
 
-def _links(data: DataFrame, wanted: DataFrame, ranked: tuple[Broadcast, Broadcast], width: int, percent: int) -> DataFrame:
+def _links(data: DataFrame, wanted: DataFrame, ranked: tuple[Broadcast, Broadcast, Broadcast], width: int, percent: int) -> DataFrame:
     """Links (a, b) between nodes: of every tile a spanning forest of its links.
 
     A family is dealt into parts of bounded size by a hash of the node; every pair of parts is a group
